@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import table
+from tidemark.llm.decontaminate import contained_items
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.toxicity import toxicity_scores
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain 80 % or more of the 5-word shingles of a benchmark item."""
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, learned from the labelled rows that are not held out."""
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -22,6 +28,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_toxicity": op3_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
@@ -29,7 +36,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
+_NORMAL = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+
+
+def _grams(key: str, name: str) -> str:
+    return f"""SELECT {key}, unnest(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS g
+  FROM (SELECT {key}, {_NORMAL} AS ws FROM {name})"""
+
+
 SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+WITH d AS ({_grams("doc_id", "documents")}), i AS ({_grams("item_id", "benchmark")}),
+n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
+SELECT doc_id, i.item_id, count(*) AS shared, any_value(n.n) AS item_shingles
+FROM i JOIN d USING (g) JOIN n ON n.item_id = i.item_id
+GROUP BY doc_id, i.item_id HAVING 100 * count(*) >= 80 * any_value(n.n)
+""",
     "op10_ngram_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 s AS (
