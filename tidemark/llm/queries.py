@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.bpe import encoding_digests
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contained_items
 from tidemark.llm.jaccard_join import jaccard_components
@@ -23,6 +24,17 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all documents and of the texts decoded from them."""
+    return encoding_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 #: The key of the surrogates; a deployment passes its own secret.
 SURROGATE_KEY = b"tidemark surrogate key"
 
@@ -40,6 +52,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_toxicity": op3_toxicity,
+    "op4_bpe": op4_bpe,
     "op7_pii_surrogates": op7_pii_surrogates,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
