@@ -11,6 +11,7 @@ from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contained_items
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.pii import with_surrogates
+from tidemark.llm.token_files import token_file_digests
 from tidemark.llm.toxicity import toxicity_scores
 
 
@@ -35,6 +36,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and checksums of all documents' ids, read back from rANS token files."""
+    return token_file_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 #: The key of the surrogates; a deployment passes its own secret.
 SURROGATE_KEY = b"tidemark surrogate key"
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
+    "op6_rans": op6_rans,
     "op7_pii_surrogates": op7_pii_surrogates,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
