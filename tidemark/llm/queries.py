@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encoding_digests
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contained_items
 from tidemark.llm.jaccard_join import jaccard_components
+from tidemark.llm.kd_search import top_k
 from tidemark.llm.pii import with_surrogates
 from tidemark.llm.token_files import token_file_digests
 from tidemark.llm.toxicity import toxicity_scores
+from tidemark.llm.url_filter import canonical, judged_urls, url_host, url_path
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +23,24 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Verdict and rule, host before the first slash.
+URL_RULES = [
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages; listed are the canonical URLs of pages that were reached by a feed or referral link."""
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.where(F.col("url").rlike(r"[?&](?:utm_source|ref)="))
+    return judged_urls(pages, listed.select(canonical(url_host(F.col("url")), url_path(F.col("url"))).alias("key")), URL_RULES)
+
+
+def op8_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth embedding with all others, on integer vectors."""
+    return top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, learned from the labelled rows that are not held out."""
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -57,10 +78,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_url_filter": op2_url_filter,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op6_rans": op6_rans,
     "op7_pii_surrogates": op7_pii_surrogates,
+    "op8_kd_top_k": op8_kd_top_k,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
@@ -82,6 +105,30 @@ n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
 SELECT doc_id, i.item_id, count(*) AS shared, any_value(n.n) AS item_shingles
 FROM i JOIN d USING (g) JOIN n ON n.item_id = i.item_id
 GROUP BY doc_id, i.item_id HAVING 100 * count(*) >= 80 * any_value(n.n)
+""",
+    "op2_url_filter": r"""
+WITH u AS (
+  SELECT page_id, coalesce(url, '') AS url, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+k AS (SELECT *, regexp_replace(host, '^(?:www|m)\.', '') || regexp_replace(path, '(?:\.html|/+)$', '') AS key FROM u),
+l AS (SELECT DISTINCT key FROM k WHERE regexp_matches(url, '[?&](?:utm_source|ref)=')),
+r(v, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+f AS (
+  SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+  FROM k JOIN r ON (k.host = r.h OR ends_with(k.host, '.' || r.h)) AND starts_with(k.path, r.p) GROUP BY page_id)
+SELECT k.page_id, host, path, rule, coalesce(v, CASE WHEN l.key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, l.key IS NOT NULL AS listed
+FROM k LEFT JOIN f USING (page_id) LEFT JOIN l ON l.key = k.key
+""",
+    "op8_kd_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """,
     "op10_ngram_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
