@@ -12,6 +12,7 @@ from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contained_items
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.kd_search import top_k
+from tidemark.llm.lm import text_scores
 from tidemark.llm.pii import with_surrogates
 from tidemark.llm.token_files import token_file_digests
 from tidemark.llm.toxicity import toxicity_scores
@@ -57,6 +58,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_hpyp_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a hierarchical Pitman-Yor model of the documents that are not held out."""
+    return text_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places and checksums of all documents' ids, read back from rANS token files."""
     return token_file_digests(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
+    "op5_hpyp_lm": op5_hpyp_lm,
     "op6_rans": op6_rans,
     "op7_pii_surrogates": op7_pii_surrogates,
     "op8_kd_top_k": op8_kd_top_k,
