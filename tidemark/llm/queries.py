@@ -12,6 +12,7 @@ from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contained_items
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.kd_search import top_k
+from tidemark.llm.licences import CUE, TEMPLATES, TERM, THRESHOLD, licences, template_table
 from tidemark.llm.lm import text_scores
 from tidemark.llm.pii import with_surrogates
 from tidemark.llm.token_files import token_file_digests
@@ -77,6 +78,14 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY, count_col="n_entities")
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own or inherited licences of all documents, filed by source, language and hundreds of ids."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
+    return licences(files, template_table(spark)).withColumnRenamed("file_id", "doc_id")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
@@ -91,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_rans": op6_rans,
     "op7_pii_surrogates": op7_pii_surrogates,
     "op8_kd_top_k": op8_kd_top_k,
+    "op9_licences": op9_licences,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
@@ -136,6 +146,42 @@ s AS (
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op9_licences": f"""
+WITH t(licence, line) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in TEMPLATES)}),
+d AS (
+  SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id // 100 AS VARCHAR), doc_id || '.txt') AS path,
+    concat_ws('/', source, lang, CAST(doc_id // 100 AS VARCHAR)) AS dir, coalesce(text, '') AS text FROM documents),
+l AS (
+  SELECT doc_id, dir, line, regexp_matches(line, '{CUE}') AS cue
+  FROM (SELECT doc_id, dir, trim(unnest(string_split(text, chr(10)))) AS line FROM d) WHERE line <> ''),
+n AS (SELECT line, count(*) AS n FROM l WHERE cue GROUP BY line),
+ov AS (SELECT line, term, count(*) AS tf FROM (SELECT line, unnest(regexp_extract_all(lower(line), '{TERM}')) AS term FROM n) GROUP BY ALL),
+tv AS (SELECT licence, term, count(*) AS tf FROM (SELECT licence, unnest(regexp_extract_all(lower(line), '{TERM}')) AS term FROM t) GROUP BY ALL),
+df AS (SELECT term, sum(n) AS df FROM ov JOIN n USING (line) GROUP BY term),
+ow AS (SELECT line, term, tf * (ln((1 + (SELECT sum(n) FROM n)) / (1 + coalesce(df, 0))) + 1) AS w FROM ov LEFT JOIN df USING (term)),
+tw AS (SELECT licence, term, tf * (ln((1 + (SELECT sum(n) FROM n)) / (1 + coalesce(df, 0))) + 1) AS w FROM tv LEFT JOIN df USING (term)),
+c AS (
+  SELECT line, licence, round(sum(ow.w * tw.w) / (any_value(o.norm) * any_value(x.norm)), 9) AS cosine
+  FROM ow JOIN tw USING (term) JOIN (SELECT line, sqrt(sum(w * w)) AS norm FROM ow GROUP BY line) o USING (line)
+  JOIN (SELECT licence, sqrt(sum(w * w)) AS norm FROM tw GROUP BY licence) x USING (licence) GROUP BY line, licence),
+b AS (
+  SELECT line, licence, cosine FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY cosine DESC, licence) AS r FROM c)
+  WHERE r = 1 AND cosine >= {THRESHOLD}),
+own AS (
+  SELECT doc_id, dir, arg_min(licence, (-cosine, licence)) AS licence, max(cosine) AS cosine, count(*) AS matching FROM l JOIN b USING (line)
+  WHERE cue GROUP BY doc_id, dir),
+a AS (SELECT doc_id, count(*) AS all_lines FROM l GROUP BY doc_id),
+f AS (
+  SELECT dir AS source_dir, arg_min(licence, (-cosine, licence)) AS licence, max(cosine) AS cosine
+  FROM own JOIN a USING (doc_id) WHERE 2 * matching >= all_lines GROUP BY dir),
+near AS (
+  SELECT doc_id, source_dir, f.licence, f.cosine, row_number() OVER (PARTITION BY doc_id ORDER BY length(source_dir) DESC) AS r
+  FROM d JOIN f ON d.dir = f.source_dir OR starts_with(d.dir, f.source_dir || '/'))
+SELECT d.doc_id, d.path, coalesce(own.licence, near.licence) AS licence, coalesce(own.cosine, near.cosine) AS cosine,
+  CASE WHEN own.doc_id IS NOT NULL THEN 'own' WHEN near.doc_id IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+  CASE WHEN own.doc_id IS NULL THEN source_dir END AS source_dir
+FROM d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN near ON near.doc_id = d.doc_id AND near.r = 1
 """,
     "op10_ngram_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
