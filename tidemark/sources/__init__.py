@@ -1 +1 @@
-
+"""Tables in and out: scans, strict parsing, publishing, verification."""
