@@ -39,7 +39,7 @@ MAX_SPAN = 64
 #: Letters that the speller's table keeps, and the length of its n-grams: they bound the table.
 ALPHABET, ORDER = 64, 4
 #: Entries of a worker's memo of words.
-MEMO = 400_000
+MEMO = 120_000
 
 _word = re.compile(r"[^\W\d_]+")
 _single = r"(?:[^\W_]|[@$!|+(€£¡])"
@@ -172,7 +172,7 @@ def _letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for t in batch.column(0):
             words.update(t.as_py().lower().split())
-            if len(words) > 2 * MEMO:
+            if len(words) > MEMO:
                 yield fold()
     yield fold()
 
