@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans import catalog, panel
+from tidemark.plans import catalog, panel, silver
 
-MODULES = (panel, catalog)
+MODULES = (panel, catalog, silver)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
