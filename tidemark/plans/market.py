@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans import catalog, panel, silver
+from tidemark.plans import catalog, features, panel, silver
 
-MODULES = (panel, catalog, silver)
+MODULES = (panel, catalog, silver, features)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
