@@ -4,10 +4,13 @@ The global order of n-grams is the order of their 64-bit hashes. It is cut into
 set falls into m parts. Two sets of one class with Jaccard >= t differ in at most d = (1-t)/(1+t) * 2 * hi elements (hi:
 largest size of the class), so with m > d some parts must be equal. Equal parts are found by their keys, each part's
 overlap is counted on its own, and the partial overlaps are summed per pair. A sum that reaches the bound proves the
-link; the other pairs are counted over their whole sets. Classes overlap by a factor t, so no pair falls between two.
+link; of the others, pairs that coarse counts of the parts cannot exclude are counted over their whole sets. Classes overlap by a factor t, so no pair falls between two.
 
-Groups of one key are not expanded into pairs: a few rounds link each member with one centre, components found so far
-drop out, and a last round takes every pair of the group that is still in different components. Nothing is capped.
+Groups of one key are not expanded into pairs: in each round every member is paired with one centre, and components found
+so far drop out. What is left are texts that share parts with texts of other components. Each of them leaves out its c - 1
+most frequent keys, c being the number of equal parts that any partner must share with it; those that still meet another
+component are joined exactly on the rarest n-grams of their whole sets (a prefix filter in order of frequency), which
+tells apart many variants of one text. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ CLASS_RATIO = 1.6
 
 def spare(d: int) -> int:
     """Fragments beyond d, so that equal parts remain besides the empty ones: few sets have more empty parts than this."""
-    return 3 + d // 16 if d else 0
+    return 3 + d // 6 if d else 0
 
 
 def size_classes(n: int, num: int, den: int) -> list[tuple[int, int]]:
@@ -69,12 +72,30 @@ def fragments(shingles: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.
     return np.concatenate(keys), np.concatenate(sizes), np.concatenate(classes)
 
 
+def cell_counts(shingles: np.ndarray, d: int) -> bytes:
+    """Elements in each of some equal ranges of the hash order, about four in a range; the minima of two sets bound their overlap."""
+    cells = max(16, 3 * d // 2)
+    at = ((shingles >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
+    return np.minimum(np.bincount(at.astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def sure_parts(shingles: np.ndarray, d: int) -> int:
+    """Non-empty equal parts that a linked set of the class has in common with this one, at least."""
+    m = d + 1 + spare(d)
+    empty = m - len(np.unique(((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)))
+    return max(1, m - d - empty)
+
+
+PARTS = "doc_id long, n long, first_id long, keys array<long>, metas array<int>, cells array<struct<cls: int, sure: int, counts: binary>>"
+
+
 def _parts(k: int, num: int, den: int):
     """A row for each text: the parts of its set; a repeated set in the same task only names the text that had it first."""
 
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n", pa.int64()), ("first_id", pa.int64()),
         ("keys", pa.list_(pa.int64())), ("metas", pa.list_(pa.int32())),
+        ("cells", pa.list_(pa.struct([("cls", pa.int32()), ("sure", pa.int32()), ("counts", pa.binary())]))),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,11 +108,15 @@ def _parts(k: int, num: int, den: int):
                     s = shingle_set(lowered(text.as_py()), k)
                     mark = (len(s), int(s.sum()), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum())) if len(s) else None
                 if mark is None or mark in seen:
-                    rows.append((doc_id, len(s), seen.get(mark, doc_id), None, None))
+                    rows.append((doc_id, len(s), seen.get(mark, doc_id), None, None, None))
                     continue
                 seen[mark] = doc_id
                 key, size, cls = fragments(s, num, den)
-                rows.append((doc_id, len(s), doc_id, key.view(np.int64), (cls << 16 | np.minimum(size, 65535)).astype(np.int32)))
+                cells = [
+                    {"cls": c, "sure": sure_parts(s, d), "counts": cell_counts(s, d)}
+                    for c, d in size_classes(len(s), num, den)
+                ]
+                rows.append((doc_id, len(s), doc_id, key.view(np.int64), (cls << 16 | np.minimum(size, 65535)).astype(np.int32), cells))
                 if len(rows) >= 512:
                     yield _batch(rows, schema)
                     rows = []
@@ -109,17 +134,33 @@ def _enough(inter, na, nb, num: int, den: int):
     return F.lit(den) * inter >= F.lit(num) * (na + nb - inter)
 
 
-def _overlaps():
-    """Whole overlap of two sorted sets, as packed 64-bit values."""
+def _may_reach(num: int, den: int):
+    """Pairs whose overlap, bounded by the minima of the cells' counts, may reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, na, nb in zip(*(batch.column(n) for n in ("ca", "cb", "na", "nb")), strict=True):
+                u, v = np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)
+                most = int(np.minimum(u, v).sum(dtype=np.int64))
+                need = num * (na.as_py() + nb.as_py())
+                keep.append((den + num) * most >= need or int(u.max()) == 255 or int(v.max()) == 255)
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _reach(num: int, den: int):
+    """Pairs whose whole sets, packed as sorted 64-bit values, reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            n = [
-                len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True))
-                for x, y in zip(a, b, strict=True)
-            ]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["a", "b", "inter"])
+            keep = []
+            for x, y in zip(batch.column("ga"), batch.column("gb"), strict=True):
+                u, v = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                inter = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append((den + num) * inter >= num * (len(u) + len(v)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -134,30 +175,78 @@ def _sets(k: int):
     return run
 
 
-def _proved(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links among pairs (a, b, na, nb, lb): by the summed partial overlaps, or else by the overlap of the whole sets."""
-    sure = pairs.where(_enough(F.col("lb"), F.col("na"), F.col("nb"), num, den)).select("a", "b")
-    open_ = write_table(pairs.where(~_enough(F.col("lb"), F.col("na"), F.col("nb"), num, den)), "open-pairs")
+def _both(pairs: DataFrame, side: DataFrame, on: list[str], name: str, a: str, b: str) -> DataFrame:
+    """pairs with column name of side, joined for each end of a pair, as columns a and b."""
+    rest = [c for c in on if c != "doc_id"]
+    for end, out in (("a", a), ("b", b)):
+        pairs = pairs.join(side.select(F.col("doc_id").alias(end), *rest, F.col(name).alias(out)), [end, *rest])
+    return pairs
+
+
+def _proved(pairs: DataFrame, texts: DataFrame, parts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links among pairs (a, b, na, nb, cls, lb): by the summed partial overlaps, or else by the overlap of the whole sets."""
+    enough = _enough(F.col("lb"), F.col("na"), F.col("nb"), num, den)
+    sure = pairs.where(enough).select("a", "b")
+    cells = parts.select("doc_id", F.explode("cells").alias("c")).select("doc_id", "c.cls", "c.counts")
+    open_ = _both(pairs.where(~enough), cells, ["doc_id", "cls"], "counts", "ca", "cb")
+    open_ = write_table(open_.mapInArrow(_may_reach(num, den), "a long, b long, na long, nb long"), "open-pairs")
     if open_.isEmpty():
         return sure
     wanted = open_.select(F.col("a").alias("doc_id")).unionByName(open_.select(F.col("b").alias("doc_id"))).distinct()
     sets = write_table(texts.join(wanted, "doc_id").mapInArrow(_sets(k), "doc_id long, grams binary"), "sets")
-    met = (
-        open_.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
-    )
-    counted = met.select("a", "b", "ga", "gb").mapInArrow(_overlaps(), "a long, b long, inter long").join(open_, ["a", "b"])
-    return sure.unionByName(counted.where(_enough(F.col("inter"), F.col("na"), F.col("nb"), num, den)).select("a", "b"))
+    met = _both(open_, sets, ["doc_id"], "grams", "ga", "gb")
+    return sure.unionByName(met.mapInArrow(_reach(num, den), "a long, b long"))
 
 
 def _summed(met: DataFrame) -> DataFrame:
     """Partial overlaps summed per pair; a pair of two classes takes the better sum, not both."""
     each = met.groupBy("a", "b", "na", "nb", "cls").agg(F.sum("size").alias("lb"))
-    return each.groupBy("a", "b", "na", "nb").agg(F.max("lb").alias("lb"))
+    best = each.groupBy("a", "b", "na", "nb").agg(F.max(F.struct("lb", "cls")).alias("best"))
+    return best.select("a", "b", "na", "nb", F.col("best.cls").alias("cls"), F.col("best.lb").alias("lb"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows (key, component, ...) of keys that two components or more share."""
+    w = Window.partitionBy("key")
+    both = rows.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w))
+    return both.where("lo < hi").drop("lo", "hi")
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1024):
+            part = batch.slice(i, 1024)
+            sets = [np.frombuffer(g.as_py(), np.int64) for g in part.column(1)]
+            doc_ids = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
+            yield pa.record_batch([pa.array(doc_ids), pa.array(np.concatenate(sets))], names=["doc_id", "gram"])
+
+
+def _rarest_links(left: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """All links between texts of left (doc_id, component) that are in different components.
+
+    A linked pair shares an n-gram among the n - ceil(t n) + 1 rarest of either text. Those that occur once among these
+    texts take their places in the prefix, but need not be kept.
+    """
+    ids = left.select("doc_id")
+    sets = write_table(texts.join(ids, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(k), "doc_id long, grams binary"), "left-sets")
+    rows = sets.mapInArrow(_grams, "doc_id long, gram long")
+    rows = rows.withColumn("many", F.count("*").over(Window.partitionBy("gram"))).where("many > 1")
+    own = Window.partitionBy("doc_id")
+    sized = left.join(sets.select("doc_id", (F.octet_length("grams") / 8).cast("long").alias("n")), "doc_id")
+    placed = rows.withColumn("place", F.row_number().over(own.orderBy("many", "gram"))).withColumn("common", F.count("*").over(own))
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.col("common"))
+    kept = placed.join(sized, "doc_id").where(F.col("place") <= prefix).withColumn("after", F.col("common") - F.col("place"))
+    kept = write_table(kept.select("gram", "doc_id", "component", "n", "after"), "prefixes")
+    x, y = kept.alias("x"), kept.alias("y")
+    # At the rarest common n-gram of a pair, no more can be common than what comes after it in either.
+    fits = _enough(1 + F.least("x.after", "y.after"), F.col("x.n"), F.col("y.n"), num, den)
+    met = x.join(y, F.expr("x.gram = y.gram and x.doc_id < y.doc_id and x.component <> y.component") & fits)
+    pairs = met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    return _both(pairs, sets, ["doc_id"], "grams", "ga", "gb").mapInArrow(_reach(num, den), "a long, b long")
 
 
 def jaccard_components(
-    docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 2
+    docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 1
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id): components of texts linked by 100 * |A n B| / |A u B| >= 100 * num / den.
 
@@ -167,7 +256,7 @@ def jaccard_components(
     """
     texts = doc_texts(docs, id_col, text_col)
     parts = write_table(
-        texts.mapInArrow(_parts(k, num, den), "doc_id long, n long, first_id long, keys array<long>, metas array<int>"), "parts"
+        texts.mapInArrow(_parts(k, num, den), PARTS), "parts"
     )
     w = Window.partitionBy("key")
     rows = parts.where("keys is not null").select(
@@ -175,55 +264,44 @@ def jaccard_components(
     ).select(
         F.col("p.keys").alias("key"), "doc_id", F.shiftleft("n", 32).bitwiseOR(F.col("p.metas").cast("long")).alias("meta")
     )
-    shared = rows.withColumn("lo", F.min("doc_id").over(w)).withColumn("hi", F.max("doc_id").over(w)).where("lo < hi")
+    shared = rows.withColumn("lo", F.min("doc_id").over(w)).withColumn("hi", F.max("doc_id").over(w)).withColumn("many", F.count("*").over(w)).where("lo < hi")
     shared = write_table(
         shared.select(
-            "key", "doc_id", F.shiftright("meta", 32).alias("n"),
+            "key", "doc_id", "many", F.shiftright("meta", 32).alias("n"),
             F.shiftright("meta", 16).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("cls"),
             F.col("meta").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("size"),
         ),
-        "shared",
+        "met",
     )
+    # The text that others were made from shares the most parts with them: it is the best centre.
+    hub = shared.groupBy("doc_id").agg(F.sum("many").alias("hub"))
+    shared = write_table(shared.join(hub, "doc_id"), "shared")
     links = parts.where("first_id <> doc_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
-    tested = None
-    for turn in range(star_rounds + 1):
-        if turn:
-            label = components(links)
-            named = shared.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-                "component", F.coalesce("component", "doc_id")
-            )
-            least = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-            shared = write_table(named.join(least.select("key"), "key").drop("component"), "shared")
-            if shared.isEmpty():
-                break
-            labelled = shared.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-                "component", F.coalesce("component", "doc_id")
-            )
-        else:
-            labelled = shared.withColumn("component", F.col("doc_id"))
-        if turn < star_rounds:
-            order = F.struct(F.xxhash64("component", F.lit(turn)), F.xxhash64("doc_id", F.lit(turn)), "doc_id", "n", "component")
-            centre = labelled.groupBy("key").agg(F.min(order).alias("c")).select(
-                "key", F.col("c.doc_id").alias("cd"), F.col("c.n").alias("cn"), F.col("c.component").alias("cc")
-            )
-            met = labelled.join(centre, "key").where("cc <> component").select(
-                F.least("doc_id", "cd").alias("a"), F.greatest("doc_id", "cd").alias("b"),
-                F.when(F.col("doc_id") < F.col("cd"), F.col("n")).otherwise(F.col("cn")).alias("na"),
-                F.when(F.col("doc_id") < F.col("cd"), F.col("cn")).otherwise(F.col("n")).alias("nb"), "cls", "size",
-            )
-        else:
-            x, y = labelled.alias("x"), labelled.alias("y")
-            met = x.join(y, F.expr("x.key = y.key and x.doc_id < y.doc_id and x.component <> y.component")).select(
-                F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"),
-                F.col("x.cls").alias("cls"), F.col("x.size").alias("size"),
-            )
+    labelled = shared.withColumn("component", F.col("doc_id"))
+    for turn in range(star_rounds):
+        first = (-F.col("hub"), F.col("doc_id"))[turn % 2]
+        order = F.struct(first.alias("first"), "doc_id", "n", "component")
+        centre = labelled.groupBy("key").agg(F.min(order).alias("c")).select(
+            "key", F.col("c.doc_id").alias("cd"), F.col("c.n").alias("cn"), F.col("c.component").alias("cc")
+        )
+        met = labelled.join(centre, "key").where("cc <> component").select(
+            F.least("doc_id", "cd").alias("a"), F.greatest("doc_id", "cd").alias("b"),
+            F.when(F.col("doc_id") < F.col("cd"), F.col("n")).otherwise(F.col("cn")).alias("na"),
+            F.when(F.col("doc_id") < F.col("cd"), F.col("cn")).otherwise(F.col("n")).alias("nb"), "cls", "size",
+        )
         fits = met.where(_enough(F.least("na", "nb"), F.col("na"), F.col("nb"), num, den))
-        pairs = _summed(fits)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = write_table(pairs, "pairs")
-        links = write_table(links.unionByName(_proved(pairs, texts, k, num, den)), "links")
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        pairs = write_table(_summed(fits), "pairs")
+        links = write_table(links.unionByName(_proved(pairs, texts, parts, k, num, den)), "links")
+        label = components(links)
+        named = labelled.drop("component").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        labelled = write_table(_mixed(named.withColumn("component", F.coalesce("component", "doc_id"))), "labelled")
+    place = F.row_number().over(Window.partitionBy("doc_id", "cls").orderBy(F.desc("many"), "key"))
+    sure = parts.select("doc_id", F.explode("cells").alias("c")).select("doc_id", "c.cls", "c.sure")
+    rare = shared.select("key", "doc_id", "cls", "many").join(sure, ["doc_id", "cls"]).withColumn("place", place).where("place >= sure")
+    rare = _mixed(labelled.join(rare.select("key", "doc_id", "cls"), ["key", "doc_id", "cls"]))
+    left = write_table(rare.groupBy("doc_id").agg(F.min("component").alias("component")), "left")
+    if not left.isEmpty():
+        links = write_table(links.unionByName(_rarest_links(left, texts, k, num, den)), "links")
     label = components(links)
     return parts.select("doc_id", F.col("n").alias("n_shingles")).join(
         label.withColumnRenamed("node", "doc_id"), "doc_id", "left"
