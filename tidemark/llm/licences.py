@@ -12,24 +12,29 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import write_table
 
-# Notices by licence.
+# Notices by licence; what follows # tells notices of one licence apart.
 TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License."),
-    ("MIT", "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification. BSD 3-Clause License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3. It is free software."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0#terms", "You may not use this file except in compliance with the License."),
+    ("MIT", "Released under the MIT License."),
+    ("MIT#grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause#terms", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under a Creative Commons Attribution 4.0 International License, CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0. Attribution-NonCommercial 4.0 International."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0. Attribution-ShareAlike 4.0 International."),
-    ("Proprietary", "All rights reserved. Confidential and proprietary."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0#long", "Licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("Proprietary", "All rights reserved."),
+    ("Proprietary#long", "Confidential and proprietary. Unauthorized copying is prohibited. All rights reserved."),
 ]
 CUE = r"[Ll][Ii][Cc][Ee][Nn][CcSs]|[Cc]opyright|[Rr]ights [Rr]eserved|hereby granted|SPDX|[Rr]edistribution"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 FILE_NAMES = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice)(?:\.[a-z]+)?$"
 #: Least cosine of a line to a template.
-THRESHOLD = 0.45
+THRESHOLD = 0.6
 
 
 def terms(text: Column) -> Column:
@@ -65,7 +70,7 @@ def matched_lines(counted: DataFrame, templates: DataFrame, threshold: float) ->
     scored = dots.join(lw.groupBy("line").agg(norm), "line").join(tw.groupBy("licence").agg(norm.alias("tnorm")), "licence")
     cosine = F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 9)
     best = scored.withColumn("cosine", cosine).groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("best"))
-    return best.select("line", F.col("best.licence").alias("licence"), (-F.col("best.less")).alias("cosine")).where(F.col("cosine") >= threshold)
+    return best.select("line", F.substring_index("best.licence", "#", 1).alias("licence"), (-F.col("best.less")).alias("cosine")).where(F.col("cosine") >= threshold)
 
 
 def licences(files: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -166,7 +166,7 @@ c AS (
   FROM ow JOIN tw USING (term) JOIN (SELECT line, sqrt(sum(w * w)) AS norm FROM ow GROUP BY line) o USING (line)
   JOIN (SELECT licence, sqrt(sum(w * w)) AS norm FROM tw GROUP BY licence) x USING (licence) GROUP BY line, licence),
 b AS (
-  SELECT line, licence, cosine FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY cosine DESC, licence) AS r FROM c)
+  SELECT line, split_part(licence, '#', 1) AS licence, cosine FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY cosine DESC, licence) AS r FROM c)
   WHERE r = 1 AND cosine >= {THRESHOLD}),
 own AS (
   SELECT doc_id, dir, arg_min(licence, (-cosine, licence)) AS licence, max(cosine) AS cosine, count(*) AS matching FROM l JOIN b USING (line)

@@ -31,7 +31,7 @@ SEPARATORS = ".-_*·~'"
 COST_LOOKALIKE, COST_DROP, COST_REPEAT, COST_KEEP_SIGN = 1.0, 0.5, 0.4, 6.0
 
 #: Most labelled rows that the regression is fitted on (the first by hashed id), most features, and rows a feature must be in.
-FIT_ROWS, FIT_FEATURES, MIN_ROWS = 20_000, 1024, 3
+FIT_ROWS, FIT_FEATURES, MIN_ROWS = 20_000, 256, 5
 #: Prefix lengths that are features besides the word.
 PREFIXES = (4, 5)
 #: Longest span that is searched in one piece; longer ones are cut there, since no word is as long.
@@ -236,7 +236,7 @@ def _feature_rows(speller: Speller):
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40) -> np.ndarray:
     """Weights with a ridge penalty, none on the bias, by Newton steps."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
