@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans import catalog, evaluation, features, panel, silver
+from tidemark.plans import catalog, evaluation, features, panel, silver, streams
 
-MODULES = (panel, catalog, silver, features, evaluation)
+MODULES = (panel, catalog, silver, features, evaluation, streams)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
