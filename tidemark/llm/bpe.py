@@ -28,7 +28,7 @@ from tidemark.llm.common import doc_texts, write_table
 #: Bytes a chunk has on average beyond the least, at least, and at most.
 MEAN_CHUNK, LEAST_CHUNK, MOST_CHUNK = 2048, 256, 16384
 #: Entries of a worker's memo of words.
-MEMO = 500_000
+MEMO = 300_000
 
 _gear = np.frombuffer(hashlib.shake_256(b"tidemark gear").digest(1024), np.uint32)
 #: A single space between two characters that are not white space: always a border between pre-tokens.
@@ -266,8 +266,16 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array([_pack(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column(1)], pa.binary())], names=["doc_id", "packed"])
 
 
-def _encode_own(path: str):
-    """Per text: its pieces, with the ids of chunks that are its own and the marks of those it takes from others."""
+def _result(c: Coder, ids: np.ndarray, digest: bool) -> tuple:
+    """(packed ids, number, digest of ids, digest of the decoded text): the ids, or what is asked for in their place."""
+    if not digest:
+        return _pack(ids.tobytes()), len(ids), None, None
+    of_text = hashlib.sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
+    return None, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), of_text
+
+
+def _encode_own(path: str, digest: bool):
+    """Per text: its result, or, if it takes chunks of others, its own pieces' ids and the marks of those it takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
@@ -290,52 +298,52 @@ def _encode_own(path: str):
                     if taken:
                         whole = b"".join(x.tobytes() for x in own if x is not None)
                         wanted = [m if x is None else None for m, x in zip(marks, own, strict=True)]
-                        rows.append((doc_id, packed, _pack(whole), [0 if x is None else len(x) for x in own], wanted, out))
+                        rows.append((doc_id, packed, [0 if x is None else len(x) for x in own], wanted, out, _pack(whole), None, None, None))
                     else:
-                        rows.append((doc_id, None, _pack(joined(c, strings, own).tobytes()), None, None, out))
+                        rows.append((doc_id, None, None, None, out, *_result(c, joined(c, strings, own), digest)))
                 yield _rows(rows, OWN)
 
     return run
 
 
+RESULT = [("ids", pa.binary()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
 OWN = pa.schema([
-    ("doc_id", pa.int64()), ("packed", pa.binary()), ("ids", pa.binary()), ("counts", pa.list_(pa.int32())),
-    ("wanted", pa.list_(pa.binary())), ("given", pa.list_(pa.struct([("mark", pa.binary()), ("ids", pa.binary())]))),
+    ("doc_id", pa.int64()), ("packed", pa.binary()), ("counts", pa.list_(pa.int32())), ("wanted", pa.list_(pa.binary())),
+    ("given", pa.list_(pa.struct([("mark", pa.binary()), ("ids", pa.binary())]))), *RESULT,
 ])
-OWN_SQL = "doc_id long, packed binary, ids binary, counts array<int>, wanted array<binary>, given array<struct<mark: binary, ids: binary>>"
+RESULT_SQL = "ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
+OWN_SQL = (
+    "doc_id long, packed binary, counts array<int>, wanted array<binary>, given array<struct<mark: binary, ids: binary>>, " + RESULT_SQL
+)
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _finish(path: str):
+def _finish(path: str, digest: bool):
     """Per text with borrowed chunks: the ids of its pieces put together and repaired."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        for batch in batches:
-            rows = []
-            for doc_id, packed, ids, counts, wanted, found in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "packed", "ids", "counts", "wanted", "found")), strict=True):
-                data, own = _unpack(packed), np.frombuffer(_unpack(ids), np.uint16)
-                have = {f["mark"]: np.frombuffer(f["ids"], np.uint16) for f in found}
-                at = cuts(data)
-                texts = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(at, at[1:], strict=False)]
-                ends = np.cumsum(counts)
-                pieces = [own[e - n : e] if m is None else have[m] for n, e, m in zip(counts, ends, wanted, strict=True)]
-                rows.append((doc_id, _pack(joined(c, texts, pieces).tobytes())))
-            if rows:
-                yield _rows(rows, pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
+        for whole in batches:
+            for i in range(0, whole.num_rows, 64):
+                batch, rows = whole.slice(i, 64), []
+                columns = (batch.column(n).to_pylist() for n in ("doc_id", "packed", "ids", "counts", "wanted", "found"))
+                for doc_id, packed, ids, counts, wanted, found in zip(*columns, strict=True):
+                    data, own = _unpack(packed), np.frombuffer(_unpack(ids), np.uint16)
+                    have = {f["mark"]: np.frombuffer(f["ids"], np.uint16) for f in found}
+                    at = cuts(data)
+                    texts = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(at, at[1:], strict=False)]
+                    ends = np.cumsum(counts)
+                    pieces = [own[e - n : e] if m is None else have[m] for n, e, m in zip(counts, ends, wanted, strict=True)]
+                    rows.append((doc_id, *_result(c, joined(c, texts, pieces), digest)))
+                yield _rows(rows, pa.schema([("doc_id", pa.int64()), *RESULT]))
 
     return run
 
 
-def encoded_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids of every whole text, as zstd-packed little-endian unsigned 16-bit integers.
-
-    Null and empty texts have no ids. Ids must be distinct: rows that repeat one are told apart by their text only if it
-    is equal, so repeated rows keep one result each. Extra columns are ignored; an empty table gives an empty one.
-    """
+def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, digest: bool) -> DataFrame:
     texts = doc_texts(docs, id_col, text_col)
     marks = texts.mapInArrow(_marks, "doc_id long, mark binary, size int")
     seen = marks.groupBy("mark").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1").select("mark", "owner")
@@ -345,31 +353,25 @@ def encoded_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         F.collect_list(F.when(~F.col("own"), F.col("mark"))).alias("taken"), F.collect_list(F.when(F.col("own"), F.col("mark"))).alias("given")
     )
     packed = texts.mapInArrow(_packed, "doc_id long, packed binary")
-    own = write_table(packed.join(use, "doc_id", "left").mapInArrow(_encode_own(path), OWN_SQL), "own-ids")
-    given = own.select(F.explode("given").alias("g")).select("g.mark", "g.ids").dropDuplicates(["mark"])
+    own = write_table(packed.join(use, "doc_id", "left").mapInArrow(_encode_own(path, digest), OWN_SQL), "own-ids")
+    given = own.select(F.explode("given").alias("g")).select("g.mark", F.col("g.ids").alias("chunk")).dropDuplicates(["mark"])
     open_ = own.where("packed is not null")
     needs = open_.select("doc_id", F.explode(F.array_distinct(F.filter("wanted", lambda m: m.isNotNull()))).alias("mark"))
-    found = needs.join(given, "mark").groupBy("doc_id").agg(F.collect_list(F.struct("mark", "ids")).alias("found"))
-    finished = open_.drop("given").join(found, "doc_id").mapInArrow(_finish(path), "doc_id long, ids binary")
-    return own.where("packed is null").select("doc_id", "ids").unionByName(finished)
+    found = needs.join(given, "mark").groupBy("doc_id").agg(F.collect_list(F.struct("mark", F.col("chunk").alias("ids"))).alias("found"))
+    names = ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    finished = open_.select("doc_id", "packed", "ids", "counts", "wanted").join(found, "doc_id").mapInArrow(_finish(path, digest), f"doc_id long, {RESULT_SQL}")
+    return own.where("packed is null").select(names).unionByName(finished)
 
 
-def _digests(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path)
-        for batch in batches:
-            counts, of_ids, of_texts = [], [], []
-            for packed in batch.column(1):
-                ids = np.frombuffer(_unpack(packed.as_py()), np.uint16)
-                counts.append(len(ids))
-                of_ids.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                of_texts.append(hashlib.sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+def encoded_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, n_tokens): the ids of every whole text, as zstd-packed little-endian unsigned 16-bit integers.
 
-    return run
+    Null and empty texts have no ids. Ids must be distinct: rows that repeat one are told apart by their text only if it
+    is equal, so repeated rows keep one result each. Extra columns are ignored; an empty table gives an empty one.
+    """
+    return _encoded(docs, path, id_col, text_col, False).select("doc_id", "ids", "n_tokens")
 
 
-def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
+def encoding_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): the ids and the text decoded from them, as digests."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return encoded_documents(docs, path).mapInArrow(_digests(path), schema)
+    return _encoded(docs, path, id_col, text_col, True).drop("ids")
