@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans import catalog, evaluation, features, panel, research, silver, streams
+from tidemark.plans import audit, catalog, evaluation, features, panel, research, silver, streams
 
-MODULES = (panel, catalog, silver, features, evaluation, research, streams)
+MODULES = (panel, catalog, audit, silver, features, evaluation, research, streams)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
