@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a side that may be broadcast after its size was measured.
-BROADCAST_BYTES = 32 << 20
-
 
 def scratch(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
@@ -40,9 +36,3 @@ def doc_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
     )
-
-
-def partitions_for(df: DataFrame, bytes_each: int, size_col: str) -> int:
-    """Number of partitions so that each holds about bytes_each of size_col; measured over all rows."""
-    total = df.agg(F.sum(F.octet_length(size_col))).first()[0] or 0
-    return max(1, math.ceil(total / bytes_each))
