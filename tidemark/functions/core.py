@@ -26,9 +26,7 @@ def raise_on(violations: DataFrame, what: str) -> None:
 
 def strict_int(c: Column) -> Column:
     """'1,234' to long; NULL for blank or non-integral text."""
-    return F.expr("try_cast(null as bigint)") if c is None else F.when(
-        F.trim(c).rlike(r"^[+-]?\d{1,3}(?:,\d{3})*$|^[+-]?\d+$"), F.regexp_replace(F.trim(c), ",", "").try_cast("bigint")
-    )
+    return F.when(F.trim(c).rlike(r"^[+-]?\d{1,3}(?:,\d{3})*$|^[+-]?\d+$"), F.regexp_replace(F.trim(c), ",", "").try_cast("bigint"))
 
 
 def strict_decimal(c: Column) -> Column:
