@@ -134,3 +134,42 @@ def trend_signals(levels: DataFrame, key: str, horizons: list[int], window: int)
     r = w.rowsBetween(-(window - 1), 0)
     full = F.count("level").over(r) == window
     return levels.withColumn("tsmom", total / len(horizons)).withColumn("ma_signal", F.when(full, F.when(F.col("level") > F.avg("level").over(r), 1).otherwise(-1)))
+
+
+def realised_vol(levels: DataFrame, key: str, window: int) -> DataFrame:
+    """Annual population deviation of the last `window` log returns; NULL unless all are known."""
+    w = Window.partitionBy(key).orderBy("pos")
+    r = levels.withColumn("lr", F.log(F.col("level") / F.lag("level").over(w)))
+    own = w.rowsBetween(-(window - 1), 0)
+    return r.withColumn("vol", F.when(F.count("lr").over(own) == window, F.stddev_pop("lr").over(own) * math.sqrt(252))).drop("lr")
+
+
+def log_returns(levels: DataFrame, key: str) -> DataFrame:
+    """Log and simple returns of consecutive calendar positions; NULL where the position before is absent."""
+    w = Window.partitionBy(key).orderBy("pos")
+    prev, ppos = F.lag("level").over(w), F.lag("pos").over(w)
+    near = ppos == F.col("pos") - 1
+    return levels.withColumn("log_return", F.when(near, F.log(F.col("level") / prev))).withColumn("simple_return", F.when(near, F.col("level") / prev - 1))
+
+
+def mean_sleeve_returns(streams: DataFrame) -> DataFrame:
+    """Mean over sleeves of the simple returns of a position."""
+    return streams.groupBy("pos").agg(F.avg(F.expm1("log_return")).alias("ret"), F.count("*").alias("sleeves"))
+
+
+def revision_check(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """new rows as unchanged, revised (an error) or appended, against what was recorded before."""
+    was = old.select(*keys, F.col(value).alias("was"), F.lit(True).alias("seen"))
+    state = F.when(F.col("seen").isNull(), "appended").when(F.col("was").eqNullSafe(F.col(value)), "unchanged").otherwise("revised")
+    return new.join(was, keys, "left").select(*keys, state.alias("state"))
+
+
+def effective_position(decisions: DataFrame, calendar: DataFrame, open_hour: int) -> DataFrame:
+    """decisions (pos, sealed_at) with the first later position whose open follows the seal, and whether that is late."""
+    opens = calendar.select(F.col("pos").alias("effective"), (F.col("session").cast("timestamp") + F.make_interval(hours=F.lit(open_hour))).alias("open_at"))
+    starts = opens.withColumn("since", F.coalesce(F.lag("open_at").over(Window.orderBy("effective")), F.lit("1900-01-01").cast("timestamp")))
+    days = starts.withColumn("day", F.explode(F.sequence(F.to_date(F.greatest("since", F.col("open_at") - F.expr("interval 400 days"))), F.to_date("open_at"))))
+    d = decisions.withColumn("day", F.to_date("sealed_at"))
+    hit = d.join(days, "day").where((F.col("sealed_at") < F.col("open_at")) & (F.col("sealed_at") >= F.col("since")))
+    late = hit.withColumn("effective", F.greatest("effective", F.col("pos") + 1))
+    return late.select(*[c for c in decisions.columns], "effective", (F.col("effective") > F.col("pos") + 1).alias("is_late"))

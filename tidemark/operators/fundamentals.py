@@ -58,3 +58,31 @@ def entry_blocks(actions: DataFrame, positions: DataFrame, cap: int) -> DataFram
     cells = cells.withColumn("last_notice", F.max(F.when(F.col("n") == 1, F.col("pos"))).over(w)).withColumn("last_cancel", F.max(F.when(F.col("c") == 1, F.col("pos"))).over(w))
     alive = (F.col("last_notice").isNotNull()) & (F.col("pos") - F.col("last_notice") <= cap) & (F.col("last_cancel").isNull() | (F.col("last_cancel") < F.col("last_notice")))
     return cells.select("instrument_id", "pos", F.coalesce(alive, F.lit(False)).alias("blocked"))
+
+
+def flows_krw(flows: DataFrame, closes: DataFrame, lag: int) -> DataFrame:
+    """Net shares times the close of the flow's own session, at the position where they become known; prices must be positive."""
+    j = flows.join(closes.where("close > 0"), ["instrument_id", "pos"])
+    return j.groupBy("instrument_id", (F.col("pos") + lag).alias("avail_pos")).agg(F.sum(F.col("net") * F.col("close")).alias("krw"))
+
+
+def dividend_ttm(dividends: DataFrame, positions: DataFrame, days: int) -> DataFrame:
+    """Sum of dividends from their ex day on for `days` days: spans become days, then an equi join."""
+    spans = dividends.select("instrument_id", "dps", F.explode(F.sequence("ex_day", F.date_add("ex_day", days))).alias("session"))
+    return positions.join(spans, ["instrument_id", "session"]).groupBy("instrument_id", "session").agg(F.sum("dps").alias("dps_ttm"), F.count("*").alias("paid"))
+
+
+def dividend_plausibility(rows: DataFrame, ratio: float, ceiling: float) -> DataFrame:
+    """Label of a dividend by its printed yield, the reference price and a ceiling; NULL if plausible."""
+    own = F.try_divide("dps", "price")
+    off = F.try_divide(own, "printed_yield")
+    label = (
+        F.when(F.col("price").isNull() | (F.col("price") <= 0), "no_reference_price").when((off > ratio) | (off < 1 / ratio), "yield_mismatch").when(own > ceiling, "yield_above_ceiling")
+    )
+    return rows.withColumn("label", label)
+
+
+def coverage_stats(cells: DataFrame, columns: list[str]) -> DataFrame:
+    """Share of known cells of each column, one row a column."""
+    wide = cells.agg(*[F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in columns])
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("share")) for c in columns])).alias("x")).select("x.*")
