@@ -1,8 +1,11 @@
 """Order arithmetic, blocks, signals and bootstrap by hand."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from tidemark.operators import audit, evaluation, fundamentals, orders
+from tidemark.plans import market
 
 
 def test_rounding_and_costs(spark):
@@ -54,3 +57,19 @@ def test_hash_chain(spark):
     assert evaluation.chain_breaks(chain, "k", "i", F.col("p")).isEmpty()
     bad = chain.withColumn("p", F.when(F.col("i") == 2, "x").otherwise(F.col("p")))
     assert [x.i for x in evaluation.chain_breaks(bad, "k", "i", F.col("p")).collect()] == [2]
+
+
+def test_bootstrap_outcomes_equal_paths(spark):
+    s = spark.createDataFrame([(k, i, ((i * 7919 + len(k) * 31) % 101 - 50) / 400.0 + 0.000123) for k, n in (("a", 90), ("bb", 63), ("short", 62)) for i in range(n)], "k string, pos long, log_return double")
+    s = s.withColumnRenamed("k", "key")
+    starts = evaluation.bootstrap_starts(s.groupBy("key").agg(F.count("*").alias("n")), "key", 30, 200, 63, 7)
+    want = evaluation.growth_profile(evaluation.block_bootstrap(s, starts, "key", 200, 63), "key", 0.05, -0.3).orderBy("key").collect()
+    got = evaluation.outcome_profile(evaluation.bootstrap_outcomes(s, "key", 30, 200, 63, 7, chunk=8), "key", 0.05, -0.3).orderBy("key").collect()
+    assert [r.key for r in got] == ["a", "bb"]
+    for a, b in zip(got, want, strict=True):
+        assert a.asDict() == pytest.approx(b.asDict(), abs=1e-12)
+
+
+def test_bootstrap_profile_draws(spark):
+    got = market.QUERIES["bootstrap_profile"](spark, SF).select("draws").distinct().collect()
+    assert [r.draws for r in got] == [4000]

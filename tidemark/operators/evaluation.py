@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,13 +54,59 @@ def growth_profile(paths: DataFrame, key: str, low: float, limit: float) -> Data
     w = Window.partitionBy(key, "draw").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     p = paths.withColumn("level", F.sum("log_return").over(w))
     p = p.withColumn("dd", F.exp(F.col("level") - F.greatest(F.max("level").over(w), F.lit(0.0))) - 1)
-    d = p.groupBy(key, "draw").agg((F.avg("log_return") * 252).alias("g"), F.min("dd").alias("mdd"))
-    return d.groupBy(key).agg(
+    return outcome_profile(p.groupBy(key, "draw").agg((F.avg("log_return") * 252).alias("g"), F.min("dd").alias("mdd")), key, low, limit)
+
+
+def outcome_profile(outcomes: DataFrame, key: str, low: float, limit: float) -> DataFrame:
+    """growth_profile of draws (key, draw, g, mdd)."""
+    return outcomes.groupBy(key).agg(
         F.expr(f"percentile(g, {low})").alias("g_low"), F.expr("percentile(g, 0.5)").alias("g_median"), F.avg((F.col("g") <= 0).cast("double")).alias("p_loss"),
         F.avg((F.col("mdd") < limit).cast("double")).alias("p_deep"), F.expr("percentile(mdd, 0.5)").alias("mdd_median"), F.count("*").alias("draws"),
     )
 
 
+def _block_shapes(x: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of each block of x: its sum, its highest and lowest level, and its deepest fall from a level of its own."""
+    levels = np.cumsum(np.lib.stride_tricks.sliding_window_view(x, length), axis=1)
+    peaks = np.maximum.accumulate(levels, axis=1)
+    return levels[:, -1], peaks[:, -1], levels.min(axis=1), (levels - peaks).min(axis=1)
+
+
+def bootstrap_outcomes(streams: DataFrame, key: str, draws: int, horizon: int, block: int, seed: int, chunk: int = 250) -> DataFrame:
+    """(key, draw, g, mdd): annual growth and deepest drawdown of the paths of bootstrap_starts, without their rows.
+
+    A path is its blocks one after another, so the shapes of a stream's blocks are taken once and a draw only puts
+    horizon / block of them together. A task's unit is a stream and chunk draws. Positions count from 0 without gaps.
+    """
+    blocks = math.ceil(horizon / block)
+    last = horizon - (blocks - 1) * block
+    r = F.transform(F.array_sort(F.collect_list(F.struct("pos", "log_return"))), lambda x: x["log_return"])
+    long = streams.groupBy(key).agg(r.alias("r")).where(F.size("r") >= block)
+    parts = long.select(key, "r", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(chunk))).alias("first")).repartition(key, "first")
+    hashed = F.transform(
+        F.sequence("first", F.least(F.col("first") + chunk, F.lit(draws)) - 1),
+        lambda d: F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.pmod(F.xxhash64(F.lit(seed), d, k), F.size("r") - block + 1)),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, own = np.array(batch.column(1)[i].values), batch.column(3)[i].values
+                starts = np.array(own.flatten()).reshape(len(own), blocks)
+                whole, tail = _block_shapes(x, block), _block_shapes(x, last)
+                level, peak, fall = (np.zeros(len(own)) for _ in range(3))
+                for k in range(blocks):
+                    total, high, low, inner = (c[starts[:, k]] for c in (tail if k == blocks - 1 else whole))
+                    fall = np.minimum(fall, np.minimum(level + low - peak, inner))
+                    peak, level = np.maximum(peak, level + high), level + total
+                at = batch.column(2)[i].as_py()
+                keys = batch.column(0).take(pa.array([i] * len(own)))
+                yield pa.record_batch([keys, pa.array(np.arange(at, at + len(own), dtype=np.int32)), pa.array(level / horizon * 252), pa.array(np.expm1(fall))], names=[key, "draw", "g", "mdd"])
+
+    kind = streams.schema[key].dataType.simpleString()
+    return parts.select(key, "r", "first", hashed.alias("starts")).mapInArrow(run, f"`{key}` {kind}, draw int, g double, mdd double")
+
+
 def tail_mean(streams: DataFrame, key: str, span: int, share: float) -> DataFrame:
     """Mean of the worst share of non-overlapping sums over span positions, at least one; the number is rounded half to even."""
     sums = streams.groupBy(key, F.floor(F.col("i") / span).alias("b")).agg(F.sum("log_return").alias("s"), F.count("*").alias("c")).where(F.col("c") == span)

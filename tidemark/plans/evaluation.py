@@ -33,9 +33,8 @@ def longest_underwater(spark, sf_dir):
 
 def bootstrap_profile(spark, sf_dir):
     s = streams(spark, sf_dir).select("instrument_id", F.col("i").alias("pos"), "log_return")
-    n = s.groupBy("instrument_id").agg(F.count("*").alias("n"))
-    starts = E.bootstrap_starts(n, "instrument_id", draws=20, horizon=252, block=63, seed=7)
-    return E.growth_profile(E.block_bootstrap(s, starts, "instrument_id", 252, 63), "instrument_id", 0.05, -0.3)
+    d = E.bootstrap_outcomes(s, "instrument_id", draws=4000, horizon=1260, block=63, seed=7)
+    return E.outcome_profile(d, "instrument_id", 0.05, -0.3)
 
 
 def bootstrap_given_starts(spark, sf_dir):
