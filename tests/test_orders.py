@@ -73,3 +73,24 @@ def test_bootstrap_outcomes_equal_paths(spark):
 def test_bootstrap_profile_draws(spark):
     got = market.QUERIES["bootstrap_profile"](spark, SF).select("draws").distinct().collect()
     assert [r.draws for r in got] == [4000]
+
+
+def test_paired_outcomes_equal_paths(spark):
+    x = {("a", i): (((i * 7919) % 101 - 50) / 400.0 + 0.000123, ((i * 6007) % 97 - 40) / 300.0) for i in range(90)}
+    pairs = spark.createDataFrame([(k, i, *v) for (k, i), v in x.items()], "key string, pos long, a double, b double")
+    starts = evaluation.bootstrap_starts(pairs.groupBy("key").agg(F.count("*").alias("n")), "key", 20, 200, 63, 7).orderBy("draw", "k").collect()
+    want = {}
+    for d in range(20):
+        at = [r.start + o for r in starts if r.draw == d for o in range(63)][:200]
+        path = [[x["a", i][c] for i in at] for c in (0, 1)]
+        growth = [sum(p) / 200 * 252 for p in path]
+        tail = [sum(sorted(sum(p[j * 14 : j * 14 + 14]) for j in range(14))[:3]) / 3 for p in path]
+        want[d] = (growth[0] - growth[1], tail[0] - tail[1])
+    got = {r.draw: (r.growth, r.tail) for r in evaluation.paired_outcomes(pairs, "key", "a", "b", 20, 200, 63, 7, 14, 0.2, chunk=8).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[d] == pytest.approx(want[d], abs=1e-9) for d in want)
+
+
+def test_paired_query(spark):
+    got = market.QUERIES["paired_growth_tail_delta"](spark, SF).collect()
+    assert got and all(r.draws == 4000 and r.growth_lower <= r.growth_mean <= r.growth_upper and r.tail_lower <= r.tail_upper for r in got)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +72,33 @@ def _block_shapes(x: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     return levels[:, -1], peaks[:, -1], levels.min(axis=1), (levels - peaks).min(axis=1)
 
 
+def _draw_parts(streams: DataFrame, key: str, names: list[str], draws: int, blocks: int, block: int, seed: int, chunk: int) -> DataFrame:
+    """(key, first, starts, *names): each stream's returns by pos with the block starts of chunk draws, those of bootstrap_starts."""
+    own = F.array_sort(F.collect_list(F.struct("pos", *names)))
+    long = streams.groupBy(key).agg(own.alias("own")).where(F.size("own") >= block)
+    parts = long.select(key, "own", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(chunk))).alias("first")).repartition(key, "first")
+    starts = F.transform(
+        F.sequence("first", F.least(F.col("first") + chunk, F.lit(draws)) - 1),
+        lambda d: F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.pmod(F.xxhash64(F.lit(seed), d, k), F.size("own") - block + 1)),
+    )
+    return parts.select(key, "first", starts.alias("starts"), *[F.col("own")[c].alias(c) for c in names])
+
+
+def _by_draw(parts: DataFrame, key: str, outcomes: Callable[..., list[np.ndarray]], names: list[str]) -> DataFrame:
+    """(key, draw, *names): outcomes(starts, *returns) of each part, an array of draws for each name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own, at = batch.column(2)[i].values, batch.column(1)[i].as_py()
+                got = outcomes(np.array(own.flatten()).reshape(len(own), -1), *(np.array(c[i].values) for c in batch.columns[3:]))
+                keys, draw = batch.column(0).take(pa.array([i] * len(own))), np.arange(at, at + len(own), dtype=np.int32)
+                yield pa.record_batch([keys, pa.array(draw), *map(pa.array, got)], names=[key, "draw", *names])
+
+    kind = parts.schema[key].dataType.simpleString()
+    return parts.mapInArrow(run, ", ".join([f"`{key}` {kind}", "draw int", *(f"{c} double" for c in names)]))
+
+
 def bootstrap_outcomes(streams: DataFrame, key: str, draws: int, horizon: int, block: int, seed: int, chunk: int = 250) -> DataFrame:
     """(key, draw, g, mdd): annual growth and deepest drawdown of the paths of bootstrap_starts, without their rows.
 
@@ -80,31 +107,55 @@ def bootstrap_outcomes(streams: DataFrame, key: str, draws: int, horizon: int, b
     """
     blocks = math.ceil(horizon / block)
     last = horizon - (blocks - 1) * block
-    r = F.transform(F.array_sort(F.collect_list(F.struct("pos", "log_return"))), lambda x: x["log_return"])
-    long = streams.groupBy(key).agg(r.alias("r")).where(F.size("r") >= block)
-    parts = long.select(key, "r", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(chunk))).alias("first")).repartition(key, "first")
-    hashed = F.transform(
-        F.sequence("first", F.least(F.col("first") + chunk, F.lit(draws)) - 1),
-        lambda d: F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.pmod(F.xxhash64(F.lit(seed), d, k), F.size("r") - block + 1)),
-    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                x, own = np.array(batch.column(1)[i].values), batch.column(3)[i].values
-                starts = np.array(own.flatten()).reshape(len(own), blocks)
-                whole, tail = _block_shapes(x, block), _block_shapes(x, last)
-                level, peak, fall = (np.zeros(len(own)) for _ in range(3))
-                for k in range(blocks):
-                    total, high, low, inner = (c[starts[:, k]] for c in (tail if k == blocks - 1 else whole))
-                    fall = np.minimum(fall, np.minimum(level + low - peak, inner))
-                    peak, level = np.maximum(peak, level + high), level + total
-                at = batch.column(2)[i].as_py()
-                keys = batch.column(0).take(pa.array([i] * len(own)))
-                yield pa.record_batch([keys, pa.array(np.arange(at, at + len(own), dtype=np.int32)), pa.array(level / horizon * 252), pa.array(np.expm1(fall))], names=[key, "draw", "g", "mdd"])
-
-    kind = streams.schema[key].dataType.simpleString()
-    return parts.select(key, "r", "first", hashed.alias("starts")).mapInArrow(run, f"`{key}` {kind}, draw int, g double, mdd double")
+    def outcomes(starts: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+        whole, tail = _block_shapes(x, block), _block_shapes(x, last)
+        level, peak, fall = (np.zeros(len(starts)) for _ in range(3))
+        for k in range(blocks):
+            total, high, low, inner = (c[starts[:, k]] for c in (tail if k == blocks - 1 else whole))
+            fall = np.minimum(fall, np.minimum(level + low - peak, inner))
+            peak, level = np.maximum(peak, level + high), level + total
+        return [level / horizon * 252, np.expm1(fall)]
+
+    return _by_draw(_draw_parts(streams, key, ["log_return"], draws, blocks, block, seed, chunk), key, outcomes, ["g", "mdd"])
+
+
+def paired_outcomes(pairs: DataFrame, key: str, a: str, b: str, draws: int, horizon: int, block: int, seed: int, span: int, share: float, chunk: int = 250) -> DataFrame:
+    """(key, draw, growth, tail): of paths of both streams with the same starts, annual growth of a less b, and the mean of
+    the worst share of sums over span positions of a less that of b.
+
+    pairs (key, pos, a, b) are the sessions that both have, counted from 0. Sums are put together of pieces that divide
+    both block and span.
+    """
+    blocks, piece, sums = math.ceil(horizon / block), math.gcd(block, span), horizon // span
+    last, worst = horizon - (blocks - 1) * block, max(1, round(share * sums))
+
+    def one(starts: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        view = np.lib.stride_tricks.sliding_window_view
+        whole, tail, small = (view(x, n).sum(axis=1) for n in (block, last, piece))
+        growth = (whole[starts[:, :-1]].sum(axis=1) + tail[starts[:, -1]]) / horizon * 252
+        at = (starts[:, :, None] + np.arange(0, block, piece)).reshape(len(starts), -1)[:, : sums * span // piece]
+        s = small[at].reshape(len(starts), sums, span // piece).sum(axis=2)
+        return growth, np.sort(s, axis=1)[:, :worst].mean(axis=1)
+
+    def outcomes(starts: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        (ga, ta), (gb, tb) = one(starts, x), one(starts, y)
+        return [ga - gb, ta - tb]
+
+    return _by_draw(_draw_parts(pairs, key, [a, b], draws, blocks, block, seed, chunk), key, outcomes, ["growth", "tail"])
+
+
+def paired_delta(outcomes: DataFrame, key: str, alpha: float) -> DataFrame:
+    """Mean, alpha and 1 - alpha quantile and share above 0, over draws, of both differences of paired_outcomes."""
+    aggs = [
+        x
+        for c in ("growth", "tail")
+        for x in (
+            F.avg(c).alias(f"{c}_mean"), F.expr(f"percentile({c}, {alpha})").alias(f"{c}_lower"), F.expr(f"percentile({c}, {1 - alpha})").alias(f"{c}_upper"),
+            F.avg((F.col(c) > 0).cast("double")).alias(f"{c}_p_positive"),
+        )
+    ]
+    return outcomes.groupBy(key).agg(*aggs, F.count("*").alias("draws"))
 
 
 def tail_mean(streams: DataFrame, key: str, span: int, share: float) -> DataFrame:

@@ -47,6 +47,15 @@ def bootstrap_given_starts(spark, sf_dir):
     return p.select("instrument_id", "draws", *map(_shown, ("g_low", "g_median", "p_loss", "p_deep", "mdd_median")))
 
 
+def paired_growth_tail_delta(spark, sf_dir):
+    """Each stream against the mean of all at its sessions, on the same paths."""
+    s = streams(spark, sf_dir)
+    m = s.groupBy("pos").agg(F.avg("log_return").alias("market"))
+    pairs = s.join(m, "pos").select("instrument_id", F.col("i").alias("pos"), "log_return", "market")
+    d = E.paired_outcomes(pairs, "instrument_id", "log_return", "market", draws=4000, horizon=1260, block=63, seed=7, span=21, share=0.05)
+    return E.paired_delta(d, "instrument_id", 0.05)
+
+
 def tail_mean(spark, sf_dir):
     return E.tail_mean(streams(spark, sf_dir), "instrument_id", 21, 0.1).select("instrument_id", F.col("k").cast("long").alias("k"), _shown("cvar"))
 
@@ -98,7 +107,7 @@ def trend_signals(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    point_metrics, longest_underwater, bootstrap_profile, bootstrap_given_starts, tail_mean, ols_beta, rolling_beta, hash_chain_check, journal_reconcile,
+    point_metrics, longest_underwater, bootstrap_profile, bootstrap_given_starts, paired_growth_tail_delta, tail_mean, ols_beta, rolling_beta, hash_chain_check, journal_reconcile,
     stream_differences, asof_targets, select_top, trend_signals,
 )}
 
