@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tidemark.operators import audit, evaluation, fundamentals, orders
-from tidemark.plans import market
+from tidemark.plans import market, research
 
 
 def test_rounding_and_costs(spark):
@@ -94,3 +94,18 @@ def test_paired_outcomes_equal_paths(spark):
 def test_paired_query(spark):
     got = market.QUERIES["paired_growth_tail_delta"](spark, SF).collect()
     assert got and all(r.draws == 4000 and r.growth_lower <= r.growth_mean <= r.growth_upper and r.tail_lower <= r.tail_upper for r in got)
+
+
+def test_every_session_has_its_quarter(spark):
+    got = market.QUERIES["shown_quarter_sessions"](spark, SF).toPandas()
+    facts = research._facts(spark, SF).groupBy("company_id", "quarter").agg(F.max("avail_pos").alias("p")).collect()
+    last, known = int(got.pos.max()), {}
+    for r in facts:
+        known.setdefault(r.company_id, []).append((r.p, r.quarter))
+    want = {(c, pos, max(q for p, q in ks if p <= pos)) for c, ks in known.items() for pos in range(min(p for p, _ in ks), last + 1)}
+    assert set(zip(got.company_id.tolist(), got.pos.tolist(), got.quarter.tolist(), strict=True)) == want
+
+
+def test_notice_word_in_a_later_line(spark, tmp_path):
+    spark.createDataFrame([(1, "A notice\nThe shares are delisted."), (2, "A notice\nNothing.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.kind, r.n) for r in market.QUERIES["action_kinds_texts"](spark, str(tmp_path)).collect()} == {("delisting", 1), ("other", 1)}

@@ -117,6 +117,11 @@ def action_kinds(spark, sf_dir):
     return T.table(spark, sf_dir, "documents").select(A.action_kind(F.substring_index("text", "\n", 1)).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def action_kinds_texts(spark, sf_dir):
+    """action_kinds by whole texts."""
+    return T.table(spark, sf_dir, "documents").select(A.action_kind(F.col("text")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def flow_targets(spark, sf_dir):
     return states(spark, sf_dir).where("price_state = 'tradable'").select("instrument_id", "session").distinct().groupBy("session").agg(F.count("*").alias("targets"))
 
@@ -136,7 +141,7 @@ def notice_fields(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     window_complete, subject_covered, unanswered, final_sessions, batch_plan, segment_of, implausible_balance, pay_dates, fallback_ready, missing_or_degraded,
-    freshness_age, universe_mask, purged_training, decision_rows, breakeven, expiry_sessions, equal_weight_return, stream_alignment, action_kinds, flow_targets,
+    freshness_age, universe_mask, purged_training, decision_rows, breakeven, expiry_sessions, equal_weight_return, stream_alignment, action_kinds, action_kinds_texts, flow_targets,
     normalized_facts, notice_fields,
 )}
 
@@ -185,6 +190,9 @@ r AS (SELECT x.pos, count(*) AS members, ln(1 + avg(x.close / y.close - 1)) AS r
 SELECT pos, members, floor(r * 1e6 + 0.5000001) / 1e6 AS log_return FROM r""",
     "stream_alignment": f"WITH {S} SELECT instrument_id % 10 AS run, count(*) AS n FROM s GROUP BY ALL",
     "action_kinds": """WITH t AS (SELECT regexp_replace(lower(split_part(text, chr(10), 1)), '\\s+', ' ', 'g') AS t FROM documents)
+SELECT CASE WHEN contains(t, 'withdraw') THEN 'withdrawal' WHEN contains(t, 'delist') THEN 'delisting' WHEN contains(t, 'liquid') THEN 'liquidation' WHEN contains(t, 'halt') THEN 'halt'
+  WHEN contains(t, 'licen') THEN 'licence' WHEN contains(t, 'with') THEN 'designation' ELSE 'other' END AS kind, count(*) AS n FROM t GROUP BY ALL""",
+    "action_kinds_texts": """WITH t AS (SELECT regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM documents)
 SELECT CASE WHEN contains(t, 'withdraw') THEN 'withdrawal' WHEN contains(t, 'delist') THEN 'delisting' WHEN contains(t, 'liquid') THEN 'liquidation' WHEN contains(t, 'halt') THEN 'halt'
   WHEN contains(t, 'licen') THEN 'licence' WHEN contains(t, 'with') THEN 'designation' ELSE 'other' END AS kind, count(*) AS n FROM t GROUP BY ALL""",
     "flow_targets": f"WITH {STATES} SELECT session, count(*) AS targets FROM states WHERE price_state = 'tradable' GROUP BY session",
