@@ -1,6 +1,7 @@
 """Each operator against brute force, with nulls, empty and long texts, ties, repeats and empty tables."""
 
 import random
+import re
 import zlib
 from itertools import combinations
 
@@ -274,3 +275,24 @@ def test_pipeline_stages(docs, spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     kept = {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()}
     assert kept == {i for i in range(100) if i % 5} | {202, 203}
+
+
+def test_pii_links_mentions_of_a_person(docs):
+    text = "Mr John Smith came.\nLater Mr Smith and Dr Anna Smith met; Ms Anna Smith left. JOHN SMITH and John\nSmith stayed, Johnny Smithers too. Dr Vega spoke, so did Ms Vega."
+    got = pii.with_surrogates(docs([(1, text), (2, "Ms Anna Smith")]), b"k", count_col="n_entities").orderBy("doc_id").collect()
+    new = got[0].text
+    assert got[0].n_entities == 8 and "Johnny Smithers" in new
+    words = re.fullmatch(
+        r"Mr (\w+) (\w+) came.\nLater Mr (\w+) and Dr (\w+) (\w+) met; Ms (\w+) (\w+) left. (\w+) (\w+) and (\w+)\n(\w+) stayed, Johnny Smithers too. Dr (\w+) spoke, so did Ms (\w+).", new
+    ).groups()
+    given, family = words[0], words[1]
+    assert words[2] == family and words[7:11] == (given.upper(), family.upper(), given, family)
+    assert words[3:5] == words[5:7] and words[4] == family and words[3] in pii.GIVEN["f", "latin"]
+    assert words[11] == words[12] and not {"John", "Anna", "Smith", "Vega"} & set(words)
+    assert got[1].text == f"Ms {words[3]} {words[4]}"
+
+
+def test_many_bearers_of_a_family_name(spark):
+    names = spark.range(1500).selectExpr("'name' as kind", "concat('m ', translate(cast(id as string), '0123456789', 'abcdefghij'), ' smith') as canon")
+    made = [r.surrogate for r in pii.surrogate_table(names, b"k").collect()]
+    assert len(set(made)) == 1500

@@ -1,7 +1,8 @@
 """PII surrogates: detected entities get keyed replacements of their own type, format, script and gender.
 
-Every distinct (kind, canonical value) of the corpus has one surrogate everywhere, so mentions of one person or account
-still refer to one; surrogates are checked against each other and against all real values, and the losers of a collision
+Every distinct (kind, canonical value) of the corpus has one surrogate everywhere, so mentions of one account still refer to
+one. Names of persons are linked within a text: family names after a title to the titled full form, and that form again
+without its title. Surrogates are checked against each other and against all real values, and the losers of a collision
 are drawn again until none is left, so distinct values stay distinct. Texts without a trigger sign are passed on without
 a shuffle; the others meet their own surrogates by a join on the id.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -76,6 +78,71 @@ def _script(text: str) -> str:
     return "cyrillic" if "Ѐ" <= ch <= "ӿ" else "greek" if "Ͱ" <= ch <= "Ͽ" else "latin"
 
 
+def _whole(names: list[str]) -> re.Pattern:
+    """Full names as written, in capitals or capitalised, the longest first."""
+    forms = {f for n in names for f in (n, n.upper(), " ".join(w.capitalize() for w in n.split(" ")))}
+    return re.compile(r"(?<!\w)(?:" + "|".join(re.escape(f).replace(r"\ ", r"\s+") for f in sorted(forms, key=lambda f: (-len(f), f))) + r")(?!\w)")
+
+
+def _linked(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """found with the mentions of a person under one canonical value, that of the titled full form.
+
+    A family name alone goes to the nearest full form before it (or else after it) whose gender does not differ, and
+    full forms that recur without a title are mentions too. A title without gender takes that of the person's others.
+    """
+    names = [(a, *canon.partition(" ")[::2]) for a, _, kind, canon in found if kind == "name"]
+    if not names:
+        return found
+    full = [n for n in names if " " in n[2]]
+    known: dict[str, set[str]] = {}
+    for _, gender, who in full:
+        known.setdefault(who, set()).add(gender)
+    by_family: dict[str, list[str]] = {}
+    for who in known:
+        by_family.setdefault(who.rsplit(" ", 1)[1], []).append(who)
+    alone: dict[str, set[str]] = {}
+    for _, gender, who in names:
+        if " " not in who:
+            alone.setdefault(who, set()).add(gender)
+    for family, own in by_family.items():
+        told = alone.get(family, set()) - {"n"}
+        if len(own) == 1 and known[own[0]] == {"n"} and len(told) == 1:
+            known[own[0]] |= told
+
+    def of(genders: set[str], gender: str) -> str:
+        told = genders - {"n"}
+        return next(iter(told)) if gender == "n" and len(told) == 1 else gender
+
+    forms: dict[str, list[tuple[int, str, str]]] = {}
+    for a, gender, who in full:
+        forms.setdefault(who.rsplit(" ", 1)[1], []).append((a, of(known[who], gender), who))
+
+    def canonical(at: int, gender: str, who: str) -> str:
+        if " " in who:
+            return f"{of(known[who], gender)} {who}"
+        fits = [f for f in forms.get(who, []) if gender == "n" or f[1] in (gender, "n")]
+        if fits:
+            _, g, w = next((f for f in reversed(fits) if f[0] < at), fits[0])
+            return f"{g} {w}"
+        return f"{of(alone[who], gender)} {who}"
+
+    out = [(a, b, kind, canonical(a, *canon.partition(" ")[::2]) if kind == "name" else canon) for a, b, kind, canon in found]
+    if full:
+        taken = list(out)
+        starts = [x[0] for x in taken]
+        for m in _whole([text[a:b] for a, b, kind, canon in found if kind == "name" and " " in canon.partition(" ")[2]]).finditer(text):
+            i = bisect_right(starts, m.start())
+            if (i and taken[i - 1][1] > m.start()) or (i < len(taken) and taken[i][0] < m.end()):
+                continue
+            who = " ".join(m[0].lower().split())
+            near = forms[who.rsplit(" ", 1)[1]]
+            own = [f for f in near if f[2] == who]
+            g = next((f[1] for f in reversed(own) if f[0] < m.start()), own[0][1])
+            out.append((m.start(), m.end(), "name", f"{g} {who}"))
+        out.sort()
+    return out
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) of what a text holds, in order and without overlap."""
     out = []
@@ -102,7 +169,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                     continue
                 out.append((at + m.start(group), at + m.end(group), kind, canon))
         at += len(line) + 1
-    return out
+    return _linked(text, out)
 
 
 class _Stream:
@@ -156,11 +223,14 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
     if kind == "name":
         gender, _, who = canon.partition(" ")
         script, words = _script(who), who.split(" ")
-        parts = SYLLABLES[script]
-        size = 2 + attempt // 4
-        made = ["".join(parts[s.below(len(parts))] for _ in range(size)) for _ in words[-1:]]
-        given = [GIVEN[gender, script][s.below(len(GIVEN[gender, script]))].lower() for _ in words[:-1]]
-        return f"{gender} {' '.join(given + made)}"
+        parts, pool = SYLLABLES[script], GIVEN[gender, script]
+        # By parts, so that a family or given name has one surrogate. Of full names that collide the given ones are drawn
+        # again three times, then whole names are, since a common family name has more bearers than there are given names.
+        whole = [who, str(attempt)] if attempt > 3 or not words[1:] and attempt else []
+        f = _Stream(key, "family", words[-1], *whole)
+        made = "".join(parts[f.below(len(parts))] for _ in range(2 + attempt // 4))
+        given = [pool[_Stream(key, "given", gender, w, str(attempt)).below(len(pool))].lower() for w in words[:-1]]
+        return f"{gender} {' '.join([*given, made])}"
     return s.alike(canon)
 
 
@@ -171,7 +241,9 @@ def dressed(kind: str, original: str, canon: str) -> str:
         return "".join(next(signs, "") if c.isalnum() else c for c in original) + "".join(signs)
     if kind == "name":
         who = canon.partition(" ")[2]
-        return who.upper() if original.isupper() and len(original) > 1 else " ".join(w[:1].upper() + w[1:] for w in who.split(" "))
+        words = who.split(" ")[-len(original.split()) :]
+        shown = iter([w.upper() if original.isupper() and len(original) > 1 else w[:1].upper() + w[1:] for w in words])
+        return re.sub(r"\S+", lambda _: next(shown), original)
     if kind == "email":
         return canon.upper() if original.isupper() else canon
     return canon
