@@ -35,8 +35,12 @@ _gear = np.frombuffer(hashlib.shake_256(b"tidemark gear").digest(1024), np.uint3
 _border = re.compile(r"(?<=\S) (?=\S)")
 #: Words whose characters every version of the Unicode tables classes alike.
 _plain = re.compile(r"(?:[!-~¡-ʯΑ-ωЀ-ѿ]+(?:\n+(?=[!-~¡-ʯΑ-ωЀ-ѿ])|(?: (?=[!-~¡-ʯΑ-ωЀ-ѿ]))|\Z))+")
-# Fixed value: how byte-level BPE splits a text before merging.
+# How byte-level BPE splits a text before merging; the same for texts without runs of white space, where it
+# needs no look-ahead and runs as an automaton.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+NO_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
+#: A sign that is neither space, line feed nor of the kind that _plain allows.
+_unplain = re.compile("[^\n !-~¡-ʯΑ-ωЀ-ѿ]")
 _loose = re.compile(r" \s|\s |\A | \Z")
 
 
@@ -62,15 +66,17 @@ class Coder:
             for i, t in ((i, self.tokenizer.id_to_token(i) or "") for i in range(size))
         ]
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        self.specials = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in merges]
         #: Where the merges are in the order of their ids, ranks say the same as merges, and the rank coder is faster.
-        self.ranked = (
-            tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks={b: i for i, b in enumerate(self.bytes) if i not in added}, special_tokens={})
-            if all(x < y for x, y in zip(made, made[1:], strict=False)) and len(made) + 256 == len(vocab) - len(added & set(vocab.values()))
-            else None
-        )
+        self.ranked = self.ranked_no_runs = None
+        if all(x < y for x, y in zip(made, made[1:], strict=False)) and len(made) + 256 == len(vocab) - len(added & set(vocab.values())):
+            ranks = {b: i for i, b in enumerate(self.bytes) if i not in added}
+            self.ranked, self.ranked_no_runs = (
+                tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) for name, pattern in (("ranked", PATTERN), ("no runs", NO_RUNS))
+            )
         self.memo: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
 
@@ -93,8 +99,17 @@ class Coder:
                 memo[w] = ids[start:end]
                 start = end
 
-    def encode_many(self, texts: list[str], at_once: int = 64) -> list[np.ndarray]:
-        """Ids of whole texts, as unsigned 16-bit integers."""
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts, as unsigned 16-bit integers: plain ones by ranks in one piece, the others by remembered words."""
+        out = [None if self.ranked is None or _unplain.search(t) or any(x in t for x in self.specials) else self._by_ranks(t) for t in texts]
+        others = iter(self._by_words([t for t, x in zip(texts, out, strict=True) if x is None]))
+        return [next(others) if x is None else x for x in out]
+
+    def _by_ranks(self, text: str) -> np.ndarray:
+        runs = "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+        return (self.ranked if runs else self.ranked_no_runs).encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
+
+    def _by_words(self, texts: list[str], at_once: int = 64) -> list[np.ndarray]:
         out = []
         for i in range(0, len(texts), at_once):
             split = [_border.split(t) if _loose.search(t) else t.split(" ") for t in texts[i : i + at_once]]
