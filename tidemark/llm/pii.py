@@ -16,7 +16,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,8 +61,14 @@ _entity = re.compile(
     rf"|(?P<name>(?<!\w)(?P<title>{_titles})\.? (?P<who>{_name}(?: {_name}){{0,2}}))"
 )
 _trigger = re.compile(rf"[@0-9]|(?<!\w)(?:{_titles})\.? [{_upper}]|(?i:password|passwd|pwd|secret|token|key)\s?[:=]")
-#: The same triggers for the JVM, to tell texts that need no Python.
-TRIGGER = rf"[@0-9]|(?<![\p{{L}}\p{{N}}_])(?:{_titles})\.? [{_upper}]|(?i:password|passwd|pwd|secret|token|key)\s?[:=]"
+_initials = "".join(sorted({t[0] for ts in TITLES.values() for t in ts}))
+
+
+def has_trigger(text: Column) -> Column:
+    """The same triggers for the JVM, to tell texts that need no Python; the look-aheads pass over most places at one sign."""
+    titled = rf"(?=[{_initials}])(?<![\p{{L}}\p{{N}}_])(?:{_titles})\.? [{_upper}]"
+    keyed = r"(?=[pPsStTkK])(?i:password|passwd|pwd|secret|token|key)\s?[:=]"
+    return text.rlike("[@0-9]") | text.rlike(titled) | (text.rlike("[:=]") & text.rlike(keyed))
 
 
 def _luhn(digits: str) -> bool:
@@ -300,7 +306,7 @@ def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text", id_col:
     Null texts stay null and empty ones empty. Rows that repeat an id are rewritten each. All other columns are kept as
     they are, whatever their names, but n_chars follows the new text. An empty table gives an empty one.
     """
-    texts = doc_texts(docs, id_col, text_col).where(F.col("text").rlike(TRIGGER))
+    texts = doc_texts(docs, id_col, text_col).where(has_trigger(F.col("text")))
     found = write_table(texts.mapInArrow(_entity_rows, "doc_id long, kind string, canon string"), "entities")
     table = surrogate_table(found, key)
     used = {c.lower() for c in docs.columns}
@@ -311,7 +317,7 @@ def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text", id_col:
         .agg(F.collect_list(F.struct("kind", "canon", "surrogate")).alias(spare))
     )
     schema = T.StructType([*docs.schema.fields, *([T.StructField(count_col, T.LongType())] if count_col is not None else [])])
-    triggered = F.coalesce(F.col(f"`{text_col}`").rlike(TRIGGER), F.lit(False))
+    triggered = F.coalesce(has_trigger(F.col(f"`{text_col}`")), F.lit(False))
     clean = docs.where(~triggered)
     if count_col is not None:
         clean = clean.withColumn(count_col, F.lit(0).cast("long"))
