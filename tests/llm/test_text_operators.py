@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +11,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, decontaminate, jaccard_join, lm, pii, rans, token_files, toxicity
+from tidemark.llm import bpe, decontaminate, jaccard_join, lm, pii, rans, seating, token_files, toxicity
+from tidemark.llm.shingles import word_hashes
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = [a + b for a in ("ba", "do", "ki", "lu", "me", "no", "pa", "ri") for b in ("n", "r", "st", "l", "x")]
@@ -198,33 +200,131 @@ def test_token_files(docs):
     assert token_files.token_file_digests(docs([]), PATH).count() == 0
 
 
-def test_lm_counts_and_scores(docs):
+def lm_by_hand(rows):
+    """lm.text_scores with dictionaries and loops over restaurants."""
+    learned = [i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
+    docs = [(t or "").encode().lower().split() for _, t in rows]
+    hashes = {w: np.uint64(h) for d in docs for w, h in zip(d, word_hashes(b" ".join(d)), strict=True)} | {None: lm.END}
+    pairs = [list(zip([None, *d], [*d, None], strict=True)) for d in docs]
+    count = Counter(p for ps, ok in zip(pairs, learned, strict=True) if ok for p in ps)
+    c, contexts, total, followers = Counter(), Counter(), Counter(), Counter()
+    for (u, w), k in count.items():
+        c[w] += k
+        total[u] += k
+        contexts[w] += 1
+        followers[u] += 1
+    n, v, only = sum(c.values()), len(c), sum(k == 1 for k in c.values())
+    of_pairs = lm._discount(*(sum(k == i for k in count.values()) for i in (1, 2)))
+    of_words = lm._discount(*(sum(k == i for k in contexts.values()) for i in (1, 2)))
+    unknown = (only + 1) / (v + only + 2)
+    base = (1 - unknown) / max(1, v)
+    words, many = list(c), [p for p in count if count[p] > 1]
+    wh, one = np.array([hashes[w] for w in words]), np.ones(len(words), np.int64)
+    customers, tables = np.array([contexts[w] for w in words]), v
+    seats = lm.arrive(customers, (1 + of_words * (np.full(len(words), tables) - one)) * base, np.full(len(words), of_words * base), of_words, lm._seeds(wh, 0))
+    tables = int(seats.counts.sum()) + v
+    extra, state, p_of = Counter(), None, {}
+    samples = []
+    for sweep in range(lm.SWEEPS):
+        p_of = {w: (k - of_words * (s + 1) + (1 + of_words * tables) * base) / (1 + customers.sum()) for w, k, s in zip(words, customers, seats.counts, strict=True)}
+        if many:
+            more = state.counts if state else np.zeros(len(many), np.int64)
+            shown = Counter(followers)
+            for (u, _), m in zip(many, more, strict=True):
+                shown[u] += int(m)
+            p = np.array([p_of[w] for _, w in many])
+            a = (1 + of_pairs * (np.array([shown[u] for u, _ in many]) - (more + 1))) * p
+            k = np.array([count[x] for x in many])
+            with np.errstate(over="ignore"):
+                seeds = lm._seeds(np.array([hashes[u] * lm._pair + hashes[w] for u, w in many]), sweep)
+            state = lm.resample(state, k, a, of_pairs * p, of_pairs, seeds) if sweep else lm.arrive(k, a, of_pairs * p, of_pairs, seeds)
+            extra = Counter(dict(zip(many, state.counts.tolist(), strict=True)))
+        present, customers = customers if sweep else one, np.array([contexts[w] + sum(x for (_, y), x in extra.items() if y == w) for w in words])
+        present = np.array([contexts[w] for w in words]) if not sweep else present
+        a = (1 + of_words * (tables - (seats.counts + 1))) * base
+        b = np.full(len(words), of_words * base)
+        seats = lm.arrive(customers, a, b, of_words, lm._seeds(wh, 2 * sweep + 2), seats.cut(customers), np.minimum(present, customers))
+        seats = lm.resample(seats, customers, a, b, of_words, lm._seeds(wh, 2 * sweep + 3))
+        tables = int(seats.counts.sum()) + v
+        if sweep >= lm.BURN_IN:
+            of = {w: (k - of_words * (s + 1) + (1 + of_words * tables) * base) / (1 + customers.sum()) for w, k, s in zip(words, customers, seats.counts, strict=True)}
+            shown = Counter(followers)
+            for (u, _), m in extra.items():
+                shown[u] += m
+            samples.append((of, (1 + of_words * tables) * unknown / (1 + customers.sum()), dict(extra), shown))
+    out = []
+    for ps in pairs:
+        score = 0.0
+        for u, w in ps:
+            k = count.get((u, w), 0)
+            each = [((k - of_pairs * (1 + x.get((u, w), 0)) if k else 0) + (1 + of_pairs * shown[u]) * of.get(w, free)) / (1 + total[u]) for of, free, x, shown in samples]
+            score += np.log10(np.mean(each))
+        out.append((len(ps), sum(c[w] > 0 for _, w in ps), n, sum(np.log10((c[w] + 1) / (n + v + 1)) for _, w in ps), score))
+    return out
+
+
+@pytest.mark.parametrize("size", [1 << 24, 4000])
+def test_lm_equals_brute_force(docs, monkeypatch, size):
+    monkeypatch.setattr(lm, "BUCKET_BYTES", size)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", size)
+    monkeypatch.setattr(lm, "TOP", 7)
     rng = random.Random(8)
-    rows = [(i, prose(rng, 60)) for i in range(120)] + [(200, None), (201, ""), (202, "neverseen " * 5), (203, prose(rng, 5000))]
-    got = {r.doc_id: r for r in lm.text_scores(docs(rows)).collect()}
-    assert len(got) == len(rows)
-    assert got[200].n_tokens == got[201].n_tokens == 1 and got[202].n_tokens == 6
-    assert all(np.isfinite(r.score) and r.score < 0 for r in got.values())
-    out = [r for r in got.values() if r.held_out and r.n_tokens > 1]
-    assert sum(r.score for r in out) > sum(r.base_score for r in out) * 1.05
-    again = {r.doc_id: r.score for r in lm.text_scores(docs(rows)).collect()}
-    assert all(abs(again[i] - got[i].score) < 1e-9 * abs(again[i]) for i in got)
+    rows = [(i, prose(rng, 60)) for i in range(60)] + [(200, None), (201, ""), (202, "neverseen " * 5), (203, prose(rng, 3000)), (None, "no id ban ban")]
+    rows += [(300, rows[1][1]), (301, rows[1][1].upper()), (302, rows[1][1]), (302, "another text under one id")]
+    got = sorted((r.doc_id is None, r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.text_scores(docs(rows).repartition(3)).collect())
+    want = sorted((i is None, i, *x) for (i, _), x in zip(rows, lm_by_hand(rows), strict=True))
+    assert [x[:5] for x in got] == [x[:5] for x in want]
+    for a, b in zip(got, want, strict=True):
+        assert a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
+def test_lm_heeds_order_and_learns(docs):
+    rng = random.Random(9)
+    follow = {w: rng.sample(WORDS, 3) for w in WORDS}
+
+    def walk(n):
+        out = [rng.choice(WORDS)]
+        while len(out) < n:
+            out.append(rng.choice(follow[out[-1]]))
+        return out
+
+    texts = [walk(60) for _ in range(150)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    shuffled = [(1000 + i, " ".join(rng.sample(t, len(t)))) for i, t in enumerate(texts[:20]) if zlib.crc32(str(1000 + i).encode()) % 7 == 2]
+    got = {r.doc_id: r for r in lm.text_scores(docs(rows + shuffled)).collect()}
+    assert all(got[i].score < got[i - 1000].score * 1.2 for i, _ in shuffled)
+    out = [r for r in got.values() if r.held_out and r.doc_id < 1000]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out) * 0.6
     assert lm.text_scores(docs([])).count() == 0
+    none = lm.text_scores(docs([(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2), "a b")])).collect()
+    assert none[0].n_known == none[0].train_tokens == 0 and np.isfinite(none[0].score)
 
 
-def test_seating_matches_one_by_one():
-    rng = np.random.default_rng(1)
-    c, base, d, w = 3000, 0.02, 0.5, 200.0
-    tables = lm.seat(np.full(400, c), np.full(400, base), d, w, rng.integers(0, 2**63, 400).astype(np.uint64))
-    plain = []
-    for _ in range(60):
-        t = 1
-        u = rng.random(c)
+def test_seatings_have_the_exact_distribution(monkeypatch):
+    rng, d, a, b = np.random.default_rng(1), 0.6, 2.0, 1.2
+    for c in (2, 3, 7, 25):
+        ways = {1: 1.0}
+        for n in range(1, c):
+            grown = Counter()
+            for t, x in ways.items():
+                grown[t] += x * (n - d * t)
+                grown[t + 1] += x
+            ways = grown
+        p = np.array([ways[t] * np.prod([a + b * i for i in range(1, t)]) for t in range(1, c + 1)])
+        size = 20_000
+        args = (np.full(size, c), np.full(size, a), np.full(size, b), d)
+        now = seating.Seatings.single(size)
+        for _ in range(20):
+            now = seating.resample(now, *args, rng.integers(0, 2**63, size).astype(np.uint64))
+        assert np.abs(np.bincount(now.counts, minlength=c) / size - p / p.sum()).max() < 0.015
+        one_by_one = np.ones(size)
         for n in range(1, c):
-            a = w * base
-            t += u[n] < a / (a + n - d * t)
-        plain.append(t)
-    assert abs(tables.mean() - np.mean(plain)) < 4 * np.std(plain) / 60**0.5 + 0.5
+            one_by_one += rng.random(size) < (a + b * one_by_one) / (a + b * one_by_one + n - d * one_by_one)
+        for steps in (1, 1024):
+            monkeypatch.setattr(seating, "STEPS", steps)
+            came = seating.arrive(*args, rng.integers(0, 2**63, size).astype(np.uint64))
+            assert abs((came.counts + 1).mean() - one_by_one.mean()) < 0.05
+        assert (came.cut(np.full(size, c - 1)).at < c - 1).all()
 
 
 def test_pii_surrogates(docs):

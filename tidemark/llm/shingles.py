@@ -42,16 +42,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(data: bytes) -> np.ndarray:
     """One hash for each run of bytes other than ASCII white space, in order."""
+    return spaced_words(data)[0]
+
+
+def spaced_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and where they begin."""
     a = np.frombuffer(data, np.uint8)
     edge = np.diff(np.concatenate(([False], ~WHITE[a], [False])).view(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), starts
     power, inverse = _power_tables(len(a) + 1)
     sums = np.empty(len(a) + 1, np.uint64)
     sums[0] = 0
     np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[: len(a)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
