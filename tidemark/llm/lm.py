@@ -27,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import doc_texts, write_table
+from tidemark.llm.common import doc_texts, write_bucketed, write_table
 from tidemark.llm.seating import Seatings, arrive, resample
 from tidemark.llm.shingles import lowered, mix, spaced_words
 
 #: Bytes of text in a chunk, and on average in a bucket.
-CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 #: Rows of the sample that shows which contexts are frequent; a context is spread over the buckets if its share exceeds
 #: one in SPREAD times their number. It settles only where pairs are worked on.
 SAMPLE_ROWS, SPREAD = 20_000, 8
@@ -42,7 +42,7 @@ TOP = 1 << 16
 RARE = np.uint16(0xFFFF)
 STRENGTH = 1.0
 #: Sweeps, and how many of the first are not averaged.
-SWEEPS, BURN_IN = 4, 1
+SWEEPS, BURN_IN = 3, 1
 END = np.uint64(0x51ED270B7F3A9C15)
 _pair = np.uint64(0xA0761D6478BD642F)
 _piece = 1 << 19
@@ -56,7 +56,7 @@ def packed(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value, their bytes in planes."""
     head = ";".join(f"{a.dtype.str},{len(a)}" for a in arrays).encode()
     planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
-    return zstandard.compress(len(head).to_bytes(4, "little") + head + b"".join(planes), 1)
+    return zstandard.compress(len(head).to_bytes(4, "little") + head + b"".join(planes), 3)
 
 
 def unpacked(data: bytes) -> list[np.ndarray]:
@@ -93,11 +93,11 @@ def text_pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     found = [(h, s + at) for at, part in _pieces(data) for h, s in (spaced_words(part),)]
     words = np.concatenate([h for h, _ in found]) if found else np.empty(0, np.uint64)
     starts = np.concatenate([s for _, s in found]) if found else np.empty(0, np.int64)
-    own = np.searchsorted(np.cumsum(sizes), starts, side="right")
+    own = np.searchsorted(np.cumsum(sizes), starts, side="right").astype(np.int32)
     after = np.full(len(words) + len(texts), END)
     after[np.arange(len(words)) + own] = words
     before = np.concatenate(([END], after[:-1]))
-    return before, after, np.repeat(np.arange(len(texts)), np.bincount(own, minlength=len(texts)) + 1)
+    return before, after, np.repeat(np.arange(len(texts), dtype=np.int32), np.bincount(own, minlength=len(texts)) + 1)
 
 
 def _route(before: np.ndarray, after: np.ndarray, spread: np.ndarray) -> np.ndarray:
@@ -117,10 +117,20 @@ def _bucket(route: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _sampled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(texts: list[bytes]) -> pa.RecordBatch:
+        found, n = np.unique(text_pairs(texts)[1], return_counts=True)
+        return pa.record_batch([pa.array(found.view(np.int64)), pa.array(n)], names=["w", "n"])
+
+    held, size = [], 0
     for batch in batches:
-        _, words, _ = text_pairs([lowered(t.as_py()) for t in batch.column(0)])
-        found, n = np.unique(words, return_counts=True)
-        yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n)], names=["w", "n"])
+        for t in batch.column(0):
+            held.append(lowered(t.as_py()))
+            size += len(held[-1]) + 1
+            if size >= CHUNK_BYTES:
+                yield counted(held)
+                held, size = [], 0
+    if held:
+        yield counted(held)
 
 
 def _row(schema: pa.Schema, *values) -> pa.RecordBatch:
@@ -166,7 +176,7 @@ def _chunks(buckets: int, spread: np.ndarray, frequent: np.ndarray):
         code = _codes(after, frequent)
         code_before = np.concatenate((_codes(np.array([END]), frequent), code[:-1]))
         route = _route(before, after, spread)
-        order = np.argsort(route)
+        order = np.argsort(route, kind="stable")
         before, after, own, bucket = before[order], after[order], own[order].astype(np.uint16), _bucket(route[order], buckets)
         code, code_before = code[order], code_before[order]
         at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
@@ -180,7 +190,8 @@ def _chunks(buckets: int, spread: np.ndarray, frequent: np.ndarray):
         number, size = TaskContext.get().partitionId() << 32, 0
         doc_ids, groups, rows, seen = [], [], [], {}
         for batch in batches:
-            for doc_id, text, learned in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(batch.num_rows):
+                doc_id, text, learned = (c[i].as_py() for c in batch.columns)
                 data = lowered(text)
                 doc_ids.append(doc_id)
                 groups.append(seen.setdefault(data, len(seen)))
@@ -479,7 +490,8 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     frequent = np.sort(often.astype(np.int64).view(np.uint64))
 
     chunks = texts.mapInArrow(_chunks(buckets, spread, frequent), CHUNKS_SQL)
-    merged = write_table(chunks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged(frequent), BUCKETS_SQL), "pairs")
+    by_bucket = chunks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged(frequent), BUCKETS_SQL)
+    merged = write_bucketed(by_bucket, "pairs", "bucket", buckets)
     pairs = merged.where("pairs is not null")
     sums = pairs.select("pairs").mapInArrow(_totals(spread), "kind byte, key long, a long, b long")
     sums = write_table(sums.groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "totals")
@@ -511,15 +523,16 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def parent_once(tables: int, customers: int) -> float:
         return (1 - of_words + (STRENGTH + of_words * tables) * base) / (STRENGTH + customers)
 
-    seats = write_table(pairs.select("bucket", "pairs").mapInArrow(_repeated, "bucket int, state binary"), "seats")
+    seats = write_bucketed(pairs.select("bucket", "pairs").mapInArrow(_repeated, "bucket int, state binary"), "seats", "bucket", buckets)
     hot = Top(state).words
     asked = write_table(seats.mapInArrow(_asked(3, hot), "bucket int, w long"), "asked")
     totals, samples, singles, kept = dict(followers), [], [], None
     for sweep in range(SWEEPS):
-        now = state.select("w", "top", parent_p(tables, customers).alias("p"))
+        now = state.select("w", "top", parent_p(tables, customers).cast("float").alias("p"))
         told = asked.join(now.select("w", "p"), "w")
         seats = seats.select("bucket", "state").groupBy("bucket").cogroup(told.groupBy("bucket"))
-        seats = write_table(seats.applyInPandas(_sweep(Top(now, "p"), totals, of_pairs, sweep), "bucket int, state binary, sums binary"), "seats")
+        seats = seats.applyInPandas(_sweep(Top(now, "p"), totals, of_pairs, sweep), "bucket int, state binary, sums binary")
+        seats = write_bucketed(seats, "seats", "bucket", buckets)
         more = seats.select("sums").mapInArrow(_sweep_sums, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
         more = write_table(more, "sweep-sums")
         wide = {int(np.int64(r.key).view(np.uint64)): r.n for r in more.where("kind = 1").collect()}
@@ -535,9 +548,9 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             own = seats.select("bucket", "state").mapInArrow(_samples_of, "bucket int, state binary").withColumn("sample", F.lit(len(samples))).withColumn("w", F.lit(0).cast("long"))
             kept = own if kept is None else kept.unionByName(own)
 
-    columns = [F.col("ps")[i].alias(f"p{i}") for i in range(len(samples))]
+    columns = [F.col("ps")[i].cast("float").alias(f"p{i}") for i in range(len(samples))]
     final = state.select("w", "top", "c", *columns)
-    once = words.where("c = 1").select("w", "c", *(F.lit(p).alias(f"p{i}") for i, p in enumerate(singles)))
+    once = words.where("c = 1").select("w", "c", *(F.lit(p).cast("float").alias(f"p{i}") for i, p in enumerate(singles)))
     told = pairs.select("bucket", "pairs").mapInArrow(_asked(1, hot), "bucket int, w long").join(final.drop("top").unionByName(once), "w")
     told = told.unionByName(kept, allowMissingColumns=True)
     counts = {k: 0 for k in followers}
