@@ -34,10 +34,9 @@ COST_LOOKALIKE, COST_DROP, COST_REPEAT, COST_KEEP_SIGN = 1.0, 0.5, 0.4, 6.0
 FIT_ROWS, FIT_FEATURES, MIN_ROWS = 20_000, 256, 5
 #: Prefix lengths that are features besides the word.
 PREFIXES = (4, 5)
-#: Longest span that is searched in one piece; longer ones are cut there, since no word is as long.
-MAX_SPAN = 64
-#: Letters that the speller's table keeps, and the length of its n-grams: they bound the table.
-ALPHABET, ORDER = 64, 4
+#: Length of the speller's n-grams, and the least share of all letters that one must have to be kept: at most 1 / LEAST_SHARE
+#: of each length have it, which bounds the table at any size of the corpus.
+ORDER, LEAST_SHARE = 4, 1e-6
 #: Entries of a worker's memo of words.
 MEMO = 120_000
 
@@ -52,7 +51,9 @@ _edge = "\x02"
 
 
 def _code(ch: str) -> int:
-    return ord(ch) & 0x7FFF
+    """15 bits: the code point itself up to 0x6FFF; those above share the last 4,096 values and never a lower one."""
+    at = ord(ch)
+    return at if at < 0x7000 else 0x7000 | at & 0xFFF
 
 
 class Speller:
@@ -89,32 +90,37 @@ class Speller:
             return known
         if len(self.memo) > MEMO:
             self.memo.clear()
-        out = "".join(self._best(span[i : i + MAX_SPAN]) for i in range(0, len(span), MAX_SPAN))
-        self.memo[span] = out
+        self.memo[span] = out = self._best(span)
         return out
 
     def _best(self, span: str) -> str:
-        beams: dict[tuple[str, str], tuple[float, str]] = {(_edge * (ORDER - 1), ""): (0.0, "")}
+        # A path is its last letter and the path before; of equal costs the first found stays.
+        beams: dict[tuple[str, str], tuple[float, tuple | None]] = {(_edge * (ORDER - 1), ""): (0.0, None)}
         for at, sign in enumerate(span):
-            nxt: dict[tuple[str, str], tuple[float, str]] = {}
+            nxt: dict[tuple[str, str], tuple[float, tuple | None]] = {}
             repeat = span[max(0, at - 2) : at + 3].count(sign) > 2
 
-            def push(state, cost, text, nxt=nxt):
+            def push(state, cost, path, nxt=nxt):
                 old = nxt.get(state)
-                if old is None or (cost, text) < old:
-                    nxt[state] = (cost, text)
+                if old is None or cost < old[0]:
+                    nxt[state] = (cost, path)
 
-            for (ctx, last), (cost, text) in beams.items():
+            for (ctx, last), (cost, path) in beams.items():
                 plain = sign.isalpha()
                 for letter in sign if plain else LOOKALIKES.get(sign, ""):
                     paid = cost if plain else cost + COST_LOOKALIKE
                     if letter == last and repeat:
-                        push((ctx, last), paid + COST_REPEAT, text)
-                    push((ctx[1:] + letter, letter), paid + self.cost(ctx, letter), text + letter)
+                        push((ctx, last), paid + COST_REPEAT, path)
+                    push((ctx[1:] + letter, letter), paid + self.cost(ctx, letter), (letter, path))
                 if not plain:
-                    push((ctx, last), cost + (COST_DROP if sign in SEPARATORS else COST_KEEP_SIGN), text)
+                    push((ctx, last), cost + (COST_DROP if sign in SEPARATORS else COST_KEEP_SIGN), path)
             beams = nxt
-        return min((cost + self.cost(ctx, _edge), text) for (ctx, _), (cost, text) in beams.items())[1]
+        path = min(((cost + self.cost(ctx, _edge), path) for (ctx, _), (cost, path) in beams.items()), key=lambda x: x[0])[1]
+        out = []
+        while path:
+            letter, path = path
+            out.append(letter)
+        return "".join(reversed(out))
 
 
 def restored_token(token: str, speller: Speller) -> str:
@@ -150,12 +156,13 @@ def _letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     words: Counter = Counter()
 
     def fold() -> pa.RecordBatch:
-        clean = [(w, n) for t, n in words.items() if (w := t.rstrip(_tail)).isalpha() and len(w) <= MAX_SPAN]
+        clean = [(w, n) for t, n in words.items() if (w := t.rstrip(_tail)).isalpha()]
         words.clear()
         total: list[tuple[np.ndarray, np.ndarray]] = []
         if clean:
             pad = _edge * (ORDER - 1)
-            a = np.frombuffer("".join(pad + w + _edge for w, _ in clean).encode("utf-32-le"), np.uint32).astype(np.int64) & 0x7FFF
+            a = np.frombuffer("".join(pad + w + _edge for w, _ in clean).encode("utf-32-le"), np.uint32).astype(np.int64)
+            a = np.where(a < 0x7000, a, 0x7000 | a & 0xFFF)
             lengths = np.array([len(w) + ORDER for w, _ in clean])
             weight = np.repeat(np.array([n for _, n in clean], np.int64), lengths)
             offset = np.arange(len(a)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -178,21 +185,13 @@ def _letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def fit_speller(texts: DataFrame) -> Speller:
-    """Character statistics over all texts; n-grams of the ALPHABET most frequent letters, which bounds what the driver reads."""
+    """Character statistics over all texts: the n-grams whose share of all letters is LEAST_SHARE or more."""
     grams = write_table(
         texts.select("text").mapInArrow(_letter_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams"
     )
-    mask = F.lit(0x7FFF)
-    one = grams.where(F.shiftright("gram", 60) == 1).orderBy(F.desc("n"), "gram").limit(ALPHABET)
-    letters = sorted({r.gram & 0x7FFF for r in one.collect()} | {_code(_edge)})
-    size = F.shiftright("gram", 60)
-    known = [
-        F.shiftright("gram", 15 * k).bitwiseAND(mask).isin(letters) | (size <= k) for k in range(ORDER)
-    ]
-    inside = known[0]
-    for k in known[1:]:
-        inside &= k
-    return Speller({r.gram: r.n for r in grams.where(inside).collect()})
+    letters = grams.where(F.shiftright("gram", 60) == 1).agg(F.sum("n")).first()[0] or 0
+    kept = grams.where(F.col("n") >= LEAST_SHARE * letters).toArrow()
+    return Speller(dict(zip(kept.column("gram").to_pylist(), kept.column("n").to_pylist(), strict=True)))
 
 
 class Scorer:
@@ -324,7 +323,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """docs without the rows whose score reaches the threshold; scored in place, so no join moves a text."""
+    """docs without the rows whose score reaches the threshold; scored in place, so no join moves a text.
+
+    Null and empty texts are scored as texts without features; rows that repeat an id are judged each. Columns are unchanged
+    whatever their names, but text is read; an empty table gives an empty one.
+    """
     speller, scorer = toxicity_models(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
