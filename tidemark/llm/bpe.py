@@ -388,5 +388,9 @@ def encoded_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
 
 def encoding_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): the ids and the text decoded from them, as digests."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): the ids and the text decoded from them, as digests.
+
+    Every row has a result, also where its id is null or repeated with another text; null and empty texts have no ids.
+    Extra columns are ignored; an empty table gives an empty one.
+    """
     return _encoded(docs, path, id_col, text_col, True).drop("ids")

@@ -137,7 +137,10 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 80
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without the rows that contain an item; judged in place, so no join moves a text. Columns are unchanged."""
+    """docs without the rows that contain an item; judged in place, so no join moves a text. Columns are unchanged.
+
+    Null and empty texts stay; rows that repeat an id are judged each; no items leave docs as they are, an empty table too.
+    """
     for block in item_blocks(items):
         index = Items(block, k, num, den)
 

@@ -309,6 +309,10 @@ def jaccard_components(
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without the rows whose component has a smaller id; texts without words all stay. Columns are unchanged."""
+    """docs without the rows whose component has a smaller id; texts without words all stay. Columns are unchanged.
+
+    Null and empty texts stay, as do all rows of the id that is kept; rows with a null id are never judged. An empty table
+    gives an empty one.
+    """
     found = jaccard_components(docs, k, num, den)
     return docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)

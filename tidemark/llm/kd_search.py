@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import write_table
 
-#: Vectors of a shard, of a leaf, and queries of a block.
-SHARD_ROWS, LEAF, QUERY_BLOCK = 8192, 64, 1024
+#: Vectors of a shard, of a leaf, and queries of a block. A shard's vectors are sent once for each block of queries, so that no
+#: task holds more than a shard and a block.
+SHARD_ROWS, LEAF, QUERY_BLOCK = 8192, 64, 16384
 
 
 class Tree:
@@ -42,8 +43,8 @@ class Tree:
             self.span.append((a, b))
             if parent >= 0:
                 (self.right if is_right else self.left)[parent] = node
-            d = int(np.argmax(hi - lo))
-            if b - a > LEAF and hi[d] > lo[d]:
+            d = int(np.argmax(hi - lo)) if len(lo) else 0
+            if b - a > LEAF and len(lo) and hi[d] > lo[d]:
                 m = (b - a) // 2
                 place[a:b] = place[a:b][np.argpartition(own[:, d], m, kind="introselect")]
                 stack += [(a + m, b, node, True), (a, a + m, node, False)]
@@ -78,10 +79,10 @@ class Tree:
 
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", factor: float = 256.0) -> DataFrame:
-    """(vec_id, x array<long>): floor(factor * component as double). Null vectors, and those with null or non-finite parts, go."""
+    """(vec_id, x array<long>): floor(factor * component as double). Null vectors, those with null or non-finite parts, and those without an id go."""
     x = F.col(f"`{vec_col}`")
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    return vectors.where(x.isNotNull() & ~bad).select(
+    return vectors.where(x.isNotNull() & ~bad & F.col(f"`{id_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * factor)).alias("x")
     )
 
@@ -116,7 +117,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     """(query_id, rank, vec_id, score): the k best inner products of each row whose id is divisible by `every`.
 
     Ties go to the smaller id; a row is no answer to itself, also where its id is repeated. Vectors of another length than
-    the query's take no part in its answer. An empty table gives an empty one; with fewer candidates, all are returned.
+    the query's take no part in its answer; empty vectors meet each other with a score of 0. A row without id takes no part.
+    An empty table gives an empty one; with fewer candidates, all are returned.
     """
     rows = write_table(integer_vectors(vectors, id_col, vec_col).withColumn("dim", F.size("x")), "vectors")
     n = rows.count()

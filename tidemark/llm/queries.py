@@ -110,17 +110,17 @@ _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 _NORMAL = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 
 
-def _grams(key: str, name: str) -> str:
-    return f"""SELECT {key}, unnest(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS g
-  FROM (SELECT {key}, {_NORMAL} AS ws FROM {name})"""
-
-
 SQL: dict[str, str] = {
     "op1_decontamination": f"""
-WITH d AS ({_grams("doc_id", "documents")}), i AS ({_grams("item_id", "benchmark")}),
+WITH t AS (SELECT doc_id, {_NORMAL} AS ws FROM documents), b AS (
+  SELECT item_id, ws, least(5, len(ws)) AS w FROM (SELECT item_id, {_NORMAL} AS ws FROM benchmark) WHERE len(ws) > 0),
+i AS (SELECT item_id, w, unnest(list_distinct(list_transform(range(1, len(ws) - w + 2), lambda i: array_to_string(ws[i:i + w - 1], ' ')))) AS g FROM b),
+d AS (
+  SELECT doc_id, w, unnest(list_distinct(list_transform(range(1, len(ws) - w + 2), lambda i: array_to_string(ws[i:i + w - 1], ' ')))) AS g
+  FROM t JOIN (SELECT DISTINCT w FROM b) ON len(ws) >= w),
 n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
 SELECT doc_id, i.item_id, count(*) AS shared, any_value(n.n) AS item_shingles
-FROM i JOIN d USING (g) JOIN n ON n.item_id = i.item_id
+FROM i JOIN d USING (w, g) JOIN n ON n.item_id = i.item_id
 GROUP BY doc_id, i.item_id HAVING 100 * count(*) >= 80 * any_value(n.n)
 """,
     "op2_url_filter": r"""

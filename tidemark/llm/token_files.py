@@ -19,6 +19,8 @@ from tidemark.llm.rans import Table, decode_blocks, encode_blocks
 #: Tokens after which a segment is closed, at the end of a document.
 SEGMENT = 2 << 20
 END_ID = 0
+#: Stands for a null id in a segment's index.
+_null_id = -(1 << 63)
 
 _schema = pa.schema([
     ("shard", pa.int32()), ("segment", pa.int32()), ("first_doc", pa.int64()), ("n_tokens", pa.int64()),
@@ -40,7 +42,7 @@ def _segments(path: str):
         def close() -> pa.RecordBatch:
             tokens = np.concatenate(ids)
             table = Table.of(tokens)
-            index = zlib.compress(np.array(doc_ids, "<i8").tobytes() + np.array([len(x) for x in ids], "<i8").tobytes(), 6)
+            index = zlib.compress(np.array([_null_id if x is None else x for x in doc_ids], "<i8").tobytes() + np.array([len(x) for x in ids], "<i8").tobytes(), 6)
             freqs = table.to_bytes()
             row = (shard, number, doc_ids[0], len(tokens), freqs, index, zlib.crc32(index, zlib.crc32(freqs)), encode_blocks(tokens, table))
             return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, _schema, strict=True)], schema=_schema)
@@ -65,7 +67,7 @@ def _segments(path: str):
 def write_token_files(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, append END_ID, and write the ids in ascending id order to folder.
 
-    A null text is empty and has the end id alone. Rows that repeat an id follow each other. Shards are ranges of ids, so
+    A null text is empty and has the end id alone. Rows that repeat an id follow each other; rows without id come first. Shards are ranges of ids, so
     no task holds more than its range, one segment at a time; segments end with a document.
     """
     ordered = doc_texts(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -86,7 +88,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(ends)
             yield pa.record_batch(
                 [
-                    pa.array(index[0]), pa.array(np.full(n, row["shard"], np.int32)), pa.array(np.full(n, row["segment"], np.int32)),
+                    pa.array(index[0], mask=index[0] == _null_id), pa.array(np.full(n, row["shard"], np.int32)), pa.array(np.full(n, row["segment"], np.int32)),
                     pa.array(ends - index[1]), pa.array(index[1]), pa.array(crcs, pa.int64()),
                 ],
                 names=["doc_id", "shard", "segment", "inside", "n_tokens", "ids_crc32"],
@@ -109,7 +111,11 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_file_digests(docs: DataFrame, path: str) -> DataFrame:
-    """What the reader gives for files written from docs in the scratch folder."""
+    """What the reader gives for files written from docs in the scratch folder.
+
+    Every row has one, also of null or empty texts (the end id alone), null ids (first) and repeated ids (in the order of their
+    texts). Extra columns are ignored; an empty table gives an empty one.
+    """
     folder = f"{scratch(docs.sparkSession)}/tidemark/tokens-{uuid.uuid4().hex}"
     write_token_files(docs, path, folder)
     return read_token_files(docs.sparkSession, folder)
