@@ -32,7 +32,7 @@ from tidemark.llm.seating import Seatings, arrive, resample
 from tidemark.llm.shingles import lowered, mix, spaced_words
 
 #: Bytes of text in a chunk, and on average in a bucket.
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 10 << 20
 #: Rows of the sample that shows which contexts are frequent; a context is spread over the buckets if its share exceeds
 #: one in SPREAD times their number. It settles only where pairs are worked on.
 SAMPLE_ROWS, SPREAD = 20_000, 8
@@ -222,8 +222,11 @@ def _merged(frequent: np.ndarray):
         own = np.concatenate([p[4].astype(np.uint32) + np.uint32(o) for p, o in zip(parts, np.cumsum(texts) - texts, strict=True)])
         del parts
         contexts, c = np.unique(before, return_inverse=True)
+        key = c.astype(np.uint64) << np.uint64(32)
+        del before, c
         words, w = np.unique(after, return_inverse=True)
-        key = c.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64)
+        key |= w.astype(np.uint64)
+        del after, w
         order = np.argsort(key)
         key = key[order]
         at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -429,7 +432,7 @@ def _scored(samples: list[tuple[float, dict[int, int]]], spread_counts: dict[int
                 p += (own + (STRENGTH + discount * tables[c]) * parent[w]) / (STRENGTH + total[c])
             score, base = np.log10(p / len(samples)), np.log10((known + 1) / (n + (v + 1)))[w]
             chunks, texts, run_length, own = unpacked(tokens)
-            each = np.repeat(np.arange(len(c)), run_length)
+            each = np.repeat(np.arange(len(c), dtype=np.int32), run_length)
             size = int(texts.sum())
             many_tokens = np.bincount(own, minlength=size)
             seen = np.bincount(own, (known > 0)[w][each], size)
@@ -437,7 +440,7 @@ def _scored(samples: list[tuple[float, dict[int, int]]], spread_counts: dict[int
             end = np.cumsum(texts)
             for chunk, a, b in zip(chunks.tolist(), end - texts, end, strict=True):
                 at = np.flatnonzero(many_tokens[a:b]) + a
-                rows.append((chunk, packed((at - a).astype(np.uint16), seen[at].astype(np.uint32), sums[0][at], sums[1][at])))
+                rows.append((chunk, packed((at - a).astype(np.uint16), seen[at].astype(np.uint32), sums[0][at], sums[1][at].astype(np.float32))))
         return pd.DataFrame(rows, columns=["chunk", "sums"])
 
     return run
