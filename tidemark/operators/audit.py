@@ -35,8 +35,7 @@ def batch_plan(filings: DataFrame, done: DataFrame, keys: list[str], offset: int
     """Latest filing of each key that is not done, one page of them by position."""
     latest = filings.groupBy(*keys).agg(F.max(F.struct("published", "filing")).alias("last")).select(*keys, "last.*")
     todo = latest.join(done, keys, "left_anti")
-    place = F.row_number().over(Window.orderBy(*keys))
-    return todo.withColumn("place", place).where(F.col("place").between(offset + 1, offset + limit))
+    return todo.orderBy(*keys).offset(offset).limit(limit)
 
 
 def segment_of(days: DataFrame, segments: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans import audit, catalog, evaluation, features, levels, panel, research, silver, streams
+from tidemark.plans import audit, catalog, evaluation, features, levels, panel, pit, research, silver, streams
 
-MODULES = (panel, catalog, audit, silver, features, levels, evaluation, research, streams)
+MODULES = (panel, catalog, audit, silver, features, levels, evaluation, research, pit, streams)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
