@@ -99,3 +99,37 @@ def test_licences(spark):
         (6, None, "none", None), (7, "Apache-2.0", "inherited", "a"), (8, None, "none", None),
     }
     assert licences.licences(files.limit(0), licences.template_table(spark)).count() == 0
+
+
+HEADER = """#!/bin/sh
+# Copyright (c) 2019, Jane Roe
+# All rights reserved.
+#
+# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+# Redistributions of source code must retain the above copyright notice, this
+# list of conditions and the following disclaimer.
+echo start
+"""
+GRANT = (
+    "Copyright 2021 A. Bee\n\nPermission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files, to deal\n"
+    "in the Software without restriction, including the rights to use, copy, modify and sell copies,\nsubject to the following conditions:\n\nThe end."
+)
+#: Wordings that are no template, with what they should give.
+WORDINGS = [
+    ("Copyright 2020 Foo GmbH. All rights reserved.", "Proprietary"), ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This project is licensed under the terms of the MIT licence.", "MIT"), ("Code released under Apache License 2.0", "Apache-2.0"), (HEADER, "BSD-2-Clause"), (GRANT, "MIT"),
+    ("Use of this source code is governed by the BSD 3-Clause license that can be found in the LICENSE file.", "BSD-3-Clause"),
+    ("(c) 2018-2020 Jane Roe and others, released under MIT license", "MIT"), ("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+    ("Some prose comes first. Content is available under CC BY-SA 4.0 unless otherwise noted. Then more prose of many words follows on the line.", "CC-BY-SA-4.0"),
+    ("You can use this library under the GNU Lesser General Public License version 3.", "LGPL-3.0"), ("Distributed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+    ("Licensed under the Artistic License, version 2.0.", None), ("Licensed under the Foo Public License, version 1", None), ("He lost his license to practice law in 2004.", None),
+    ("Version 2.0 of the software was released under the name Apache Junction", None), ("The copyright of this song belongs to the band.", None),
+    ("Please see the license for details.", None), ("A fishing license is required in this area under the terms of local law", None),
+]
+
+
+def test_licence_wordings(spark):
+    files = spark.createDataFrame([(i, f"{i}/x.txt", t) for i, (t, _) in enumerate(WORDINGS)], "file_id long, path string, text string")
+    got = {r.file_id: r.licence for r in licences.licences(files, licences.template_table(spark)).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(WORDINGS)}

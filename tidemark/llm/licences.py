@@ -1,124 +1,235 @@
-"""Licence scans: sparse TF-IDF cosine of licence lines to templates, then inheritance from the nearest ancestor directory.
+"""Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor.
 
-DataFrame operations only. Lines with a licence cue are gathered from whole texts, grouped by their wording before any
-vector is made, and compared with the templates by a join on terms; so a line that a third of all files carry is compared
-once. A file without a licence of its own takes that of the nearest directory above it which holds a licence file.
+DataFrame operations only. Whole texts are cut into units: blocks between blank lines (comment headers, licence texts),
+lines, and sentences. Units with a licence cue are reduced to their wording, without comment signs, years and holders, and
+grouped by it before any vector is made, so that a header which a third of all files carry is compared once. A file without
+a licence of its own takes that of the nearest directory above it which holds a licence file.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import write_table
 
-# Notices by licence; what follows # tells notices of one licence apart.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0#terms", "You may not use this file except in compliance with the License."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT#grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-3-Clause#terms", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0#long", "Licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("Proprietary", "All rights reserved."),
-    ("Proprietary#long", "Confidential and proprietary. Unauthorized copying is prohibited. All rights reserved."),
+# Names of licences and the words a notice must hold to mean them.
+NAMES = [
+    ("Apache-2.0", "Apache License, Version 2.0", "apache license"),
+    ("MIT", "MIT License", "mit license"),
+    ("BSD-2-Clause", "BSD 2-Clause License", "bsd 2-clause"),
+    ("BSD-3-Clause", "BSD 3-Clause License", "bsd 3-clause"),
+    ("ISC", "ISC License", "isc license"),
+    ("GPL-2.0", "GNU General Public License, version 2", "gnu general license"),
+    ("GPL-3.0", "GNU General Public License, version 3", "gnu general license"),
+    ("LGPL-2.1", "GNU Lesser General Public License, version 2.1", "lesser general license"),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3", "lesser general license"),
+    ("AGPL-3.0", "GNU Affero General Public License, version 3", "affero general license"),
+    ("MPL-2.0", "Mozilla Public License, v. 2.0", "mozilla license"),
+    ("EPL-2.0", "Eclipse Public License v2.0", "eclipse license"),
+    ("BSL-1.0", "Boost Software License, Version 1.0", "boost license"),
+    ("Zlib", "zlib License", "zlib license"),
+    ("CC-BY-4.0", "CC BY 4.0", "cc by"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0", "cc by-sa"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0", "cc by-nc"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License", "creative commons attribution"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "creative commons attribution-sharealike"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "creative commons attribution-noncommercial"),
+]
+# Headers and licence texts.
+BSD_TEXT = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+    "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
+TEXTS = [
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may "
+        "obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, "
+        "software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express "
+        "or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "apache license",
+    ),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+        "Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject "
+        "to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the Software.",
+        "permission granted charge software",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies.",
+        "permission granted fee software",
+    ),
+    ("BSD-2-Clause", BSD_TEXT, "redistribution source binary permitted"),
+    (
+        "BSD-3-Clause",
+        BSD_TEXT + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission.",
+        "redistribution source binary permitted endorse",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "mozilla license",
+    ),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/",
+        "eclipse license",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "unencumbered public domain",
+    ),
+    (
+        "CC0-1.0",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 "
+        "Universal public domain dedication.",
+        "cc0",
+    ),
+    ("Proprietary", "All rights reserved.", "rights reserved"),
+    ("Proprietary", "Confidential and proprietary. Unauthorized copying of this file, via any medium, is strictly prohibited.", "proprietary copying"),
+]
+# The GNU licences, what they are for, and the word that only their notices hold.
+GNU = [
+    ("GPL-2.0", "program", "", "2", "gnu"),
+    ("GPL-3.0", "program", "", "3", "gnu"),
+    ("LGPL-2.1", "library", "Lesser ", "2.1", "lesser"),
+    ("LGPL-3.0", "library", "Lesser ", "3", "lesser"),
+    ("AGPL-3.0", "program", "Affero ", "3", "affero"),
 ]
-CUE = r"[Ll][Ii][Cc][Ee][Nn][CcSs]|[Cc]opyright|[Rr]ights [Rr]eserved|hereby granted|SPDX|[Rr]edistribution"
+GNU_TEXT = (
+    "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published "
+    "by the Free Software Foundation, {which} This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+    "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more "
+    "details. You should have received a copy of the GNU {kind}General Public License along with this {what}. If not, see http://www.gnu.org/licenses."
+)
+GNU_VERSIONS = ["version {v} of the License.", "either version {v} of the License, or (at your option) any later version."]
+#: What a unit that is compared must hold, in lower case.
+CUES = [
+    "licens", "licenc", "copyright", "rights reserved", "hereby granted", "redistribut", "public domain", "proprietary", "creative commons", "cc by", "cc0",
+]
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: Years and holders of a copyright notice, up to what follows them.
+HOLDER = r"(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|by|[0-9][0-9][0-9][0-9])[^\n.]*?(\n|\.|all rights|licens|released|\z)"
+#: The end of a run of comment lines, a blank line (of comment signs, maybe), the border of two sentences.
+COMMENT_END = r"^([ \t]*(?:#|//|\*|;)[^\n]*)\n([ \t]*[^ \t#/*;\n])"
+BLANK = r"\n(?:[ \t\r/*#;%<>!-]*\n)+"
+SENTENCE = r"([.!?;])[ \t]+([A-Z(])"
 FILE_NAMES = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice)(?:\.[a-z]+)?$"
-#: Least cosine of a line to a template.
-THRESHOLD = 0.6
+#: Least cosine of a unit to a template that it may stand for.
+THRESHOLD = 0.45
+
+
+def _templates() -> list[tuple[str, str, str]]:
+    """(licence, notice, words that a unit must hold)"""
+    made = [(licence, f"{verb} under the {name}.", needs) for licence, name, needs in NAMES for verb in ("Licensed", "Released")]
+    tags = [(licence, licence) for licence in dict.fromkeys(n[0] for n in NAMES)]
+    tags += [(g[0], g[0] + suffix) for g in GNU for suffix in ("-only", "-or-later")]
+    made += [(licence, f"SPDX-License-Identifier: {tag}", f"spdx-license-identifier {tag.lower()}") for licence, tag in tags]
+    for licence, what, kind, v, word in GNU:
+        made += [(licence, GNU_TEXT.format(what=what, kind=kind, which=which.format(v=v)), f"{word} general license") for which in GNU_VERSIONS]
+    return made + TEXTS
+
 
+TEMPLATES = _templates()
 
-def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
+def wording(text: Column) -> Column:
+    """Terms of a text in their order, without years and holders of copyright notices."""
+    plain = F.replace(F.regexp_replace(F.lower(text), HOLDER, " $1"), F.lit("licence"), F.lit("license"))
+    return F.array_join(F.regexp_extract_all(plain, F.lit(TERM), F.lit(0)), " ")
 
-def _vectors(lines: DataFrame, key: str) -> DataFrame:
-    """(key, term, tf)"""
-    return lines.select(key, F.explode(terms(F.col("line"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+def _has_cue(text: Column) -> Column:
+    low = F.lower(text)
+    return reduce(Column.__or__, [low.contains(c) for c in CUES])
+
+
+def units(text: Column) -> Column:
+    """Lines, sentences and blocks of a text, each once; parts without a cue are left out."""
+    blocks = F.split(F.regexp_replace(text, "(?md)" + COMMENT_END, "$1\n\n$2"), BLANK)
+    parts = F.concat(F.split(text, "\n"), F.split(F.regexp_replace(text, SENTENCE, "$1\n$2"), "\n"), blocks)
+    return F.filter(F.array_distinct(parts), _has_cue)
 
 
 def template_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "licence string, line string")
+    return spark.createDataFrame([(i, *t) for i, t in enumerate(TEMPLATES)], "template int, licence string, line string, needs string")
 
 
-def matched_lines(counted: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
-    """(line, licence, cosine): the best template of each distinct line (line, n), if its cosine reaches the threshold.
+def matched_wordings(wordings: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
+    """(wording, best): of each distinct wording (generic, less, licence), less being the negative cosine, if it reaches the threshold.
 
-    A term's weight is tf * (ln((1 + N) / (1 + df)) + 1), df and N being numbers of lines with their repeats.
+    A term of the templates weighs tf * (ln((1 + T) / (1 + df)) + 1), T and df being numbers of templates, so that a
+    cosine does not change with the corpus; other terms (names, places) weigh tf. A template counts where the wording holds
+    all words it needs. Of several the highest cosine is best, then the first licence by name; Proprietary comes last.
     """
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lines_in_all"))
-    own = _vectors(counted, "line")
-    df = own.join(counted, "line").groupBy("term").agg(F.sum("n").alias("df"))
-    tv = _vectors(templates, "licence")
-    weight = F.col("tf") * (F.log((1 + F.col("lines_in_all")) / (1 + F.coalesce("df", F.lit(0)))) + 1)
-
-    def weighted(v: DataFrame) -> DataFrame:
-        return v.join(df, "term", "left").join(F.broadcast(total)).withColumn("w", weight).drop("df", "lines_in_all", "tf")
-
-    lw, tw = weighted(own), weighted(tv)
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
-    dots = lw.join(tw.withColumnRenamed("w", "tw"), "term").groupBy("line", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dots.join(lw.groupBy("line").agg(norm), "line").join(tw.groupBy("licence").agg(norm.alias("tnorm")), "licence")
+    tv = templates.select("template", "licence", F.split("needs", " ").alias("needs"), F.explode(F.split(wording(F.col("line")), " ")).alias("term"))
+    tv = tv.groupBy("template", "licence", "needs", "term").agg(F.count("*").alias("ttf"))
+    total = templates.agg(F.count("*").alias("t"))
+    idf = tv.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("term", (F.log((1 + F.col("t")) / (1 + F.col("df"))) + 1).alias("idf"))
+    tw = tv.join(idf, "term").select("template", "licence", "needs", "term", (F.col("ttf") * F.col("idf")).alias("tw"))
+    norms = tw.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
+    own = wordings.select("wording", F.explode(F.split("wording", " ")).alias("term")).groupBy("wording", "term").agg(F.count("*").alias("tf"))
+    own = own.join(idf, "term", "left").select("wording", "term", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("w"))
+    norm = own.groupBy("wording").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    needed = F.array_contains("needs", F.col("term")).cast("int")
+    dots = own.join(tw, "term").groupBy("wording", "template", "licence", F.size("needs").alias("n_needs")).agg(
+        F.sum(F.col("w") * F.col("tw")).alias("dot"), F.sum(needed).alias("held")
+    ).where("held = n_needs")
     cosine = F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 9)
-    best = scored.withColumn("cosine", cosine).groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("best"))
-    return best.select("line", F.substring_index("best.licence", "#", 1).alias("licence"), (-F.col("best.less")).alias("cosine")).where(F.col("cosine") >= threshold)
+    scored = dots.join(norms, "template").join(norm, "wording").withColumn("cosine", cosine).where(F.col("cosine") >= threshold)
+    generic = (F.col("licence") == "Proprietary").cast("int").alias("generic")
+    return scored.groupBy("wording").agg(F.min(F.struct(generic, (-F.col("cosine")).alias("less"), "licence")).alias("best"))
 
 
 def licences(files: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(file_id, path, licence, cosine, how, source_dir) for every row of files (file_id, path, text).
 
-    how: own (a line of the file matches), inherited (from source_dir, the nearest ancestor with a licence file) or none.
-    A licence file has a licence name, or matching lines are half of its lines or more. Of several lines the highest cosine counts, then
-    the first licence by name; of several licence files in a directory likewise. Null or empty texts have no line; a null
-    path has no ancestor. Rows that repeat a file_id each get the result of all of them. Extra columns are ignored.
+    how: own (a unit of the file matches), inherited (from source_dir, the nearest ancestor with a licence file) or none.
+    A licence file has a licence name, or a matching unit is half of its text or more. Of several units the highest cosine counts, then
+    the first licence by name, a proprietary notice only where nothing else matches; of several licence files in a directory likewise.
+    Null or empty texts have no unit; a null path has no ancestor. Rows that repeat a file_id each get the result of all of them,
+    rows without file_id none of their own. Extra columns are ignored; an empty table gives an empty one.
     """
     rows = files.select("file_id", "path", F.coalesce("text", F.lit("")).alias("text"))
-    lines = rows.where(F.col("text").rlike(CUE)).select("file_id", "path", F.explode(F.split("text", "\n")).alias("raw"))
-    lines = write_table(
-        lines.select("file_id", "path", F.trim("raw").alias("line")).where("line <> ''").groupBy("file_id", "path").agg(
-            F.collect_list(F.when(F.col("line").rlike(CUE), F.col("line"))).alias("lines"), F.count("*").alias("all_lines")
-        ),
-        "licence-lines",
-    )
-    each = lines.select("file_id", "path", "all_lines", F.explode("lines").alias("line"))
-    best = write_table(matched_lines(each.groupBy("line").agg(F.count("*").alias("n")), templates, threshold), "matched")
-    found = each.join(best, "line").groupBy("file_id", "path", "all_lines").agg(
-        F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("best"), F.count("*").alias("matching")
-    )
+    each = rows.where(_has_cue(F.col("text"))).select("file_id", "path", F.length("text").alias("chars"), F.explode(units(F.col("text"))).alias("unit"))
+    each = each.select("file_id", "path", "chars", F.length("unit").alias("size"), wording(F.col("unit")).alias("wording")).where("wording <> ''")
+    each = write_table(each.groupBy("file_id", "path", "chars", "wording").agg(F.max("size").alias("size")), "licence-units")
+    best = write_table(matched_wordings(each.select("wording").distinct(), templates, threshold), "matched")
+    named = F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False))
     own = write_table(
-        found.select(
-            "file_id", "path", F.col("best.licence").alias("licence"), (-F.col("best.less")).alias("cosine"),
-            ((2 * F.col("matching") >= F.col("all_lines")) | F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False))).alias("is_licence_file"),
-        ),
+        each.join(best, "wording").groupBy("file_id", "path").agg(F.min("best").alias("best"), F.max(2 * F.col("size") >= F.col("chars")).alias("half"))
+        .select("file_id", "path", "best", (F.col("half") | named).alias("is_licence_file")),
         "own-licences",
     )
     directory = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    dirs = own.where("is_licence_file and path is not null").groupBy(directory.alias("source_dir")).agg(
-        F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("best")
-    ).select("source_dir", F.col("best.licence").alias("dir_licence"), (-F.col("best.less")).alias("dir_cosine"))
+    dirs = own.where("is_licence_file and path is not null").groupBy(directory.alias("source_dir")).agg(F.min("best").alias("best"))
     paths = files.select("path").where("path is not null").select(directory.alias("dir")).distinct()
     parts = F.split("dir", "/")
     ancestors = paths.select("dir", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth")).select(
         "dir", "depth", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/").alias("source_dir")
     )
-    nearest = ancestors.join(dirs, "source_dir").groupBy("dir").agg(
-        F.max(F.struct("depth", "source_dir", "dir_licence", "dir_cosine")).alias("near")
-    )
-    mine = own.groupBy("file_id").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("own"))
+    nearest = ancestors.join(dirs, "source_dir").groupBy("dir").agg(F.max(F.struct("depth", "source_dir", "best")).alias("near"))
+    mine = own.groupBy("file_id").agg(F.min("best").alias("own"))
     out = files.select("file_id", "path", directory.alias("dir")).join(mine, "file_id", "left").join(nearest, "dir", "left")
     has, near = F.col("own").isNotNull(), F.col("near").isNotNull()
     return out.select(
-        "file_id", "path", F.when(has, F.col("own.licence")).otherwise(F.col("near.dir_licence")).alias("licence"),
-        F.when(has, -F.col("own.less")).otherwise(F.col("near.dir_cosine")).alias("cosine"),
+        "file_id", "path", F.when(has, F.col("own.licence")).otherwise(F.col("near.best.licence")).alias("licence"),
+        F.when(has, -F.col("own.less")).otherwise(-F.col("near.best.less")).alias("cosine"),
         F.when(has, "own").when(near, "inherited").otherwise("none").alias("how"),
         F.when(~has, F.col("near.source_dir")).alias("source_dir"),
     )

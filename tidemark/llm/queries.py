@@ -12,7 +12,7 @@ from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contained_items
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.kd_search import top_k
-from tidemark.llm.licences import CUE, TEMPLATES, TERM, THRESHOLD, licences, template_table
+from tidemark.llm.licences import BLANK, COMMENT_END, CUES, HOLDER, SENTENCE, TEMPLATES, TERM, THRESHOLD, licences, template_table
 from tidemark.llm.lm import text_scores
 from tidemark.llm.pii import with_surrogates
 from tidemark.llm.token_files import token_file_digests
@@ -110,6 +110,15 @@ _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 _NORMAL = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 
 
+def _cue(text: str) -> str:
+    return "(" + " OR ".join(f"contains(lower({text}), '{c}')" for c in CUES) + ")"
+
+
+def _wording(text: str) -> str:
+    plain = rf"replace(regexp_replace(lower({text}), '{HOLDER}', ' \1', 'g'), 'licence', 'license')"
+    return f"array_to_string(regexp_extract_all({plain}, '{TERM}'), ' ')"
+
+
 SQL: dict[str, str] = {
     "op1_decontamination": f"""
 WITH t AS (SELECT doc_id, {_NORMAL} AS ws FROM documents), b AS (
@@ -148,37 +157,41 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """,
     "op9_licences": f"""
-WITH t(licence, line) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in TEMPLATES)}),
+WITH t(template, licence, line, needs) AS (VALUES {", ".join(f"({i}, '{a}', '{b}', '{c}')" for i, (a, b, c) in enumerate(TEMPLATES))}),
 d AS (
   SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id // 100 AS VARCHAR), doc_id || '.txt') AS path,
     concat_ws('/', source, lang, CAST(doc_id // 100 AS VARCHAR)) AS dir, coalesce(text, '') AS text FROM documents),
-l AS (
-  SELECT doc_id, dir, line, regexp_matches(line, '{CUE}') AS cue
-  FROM (SELECT doc_id, dir, trim(unnest(string_split(text, chr(10)))) AS line FROM d) WHERE line <> ''),
-n AS (SELECT line, count(*) AS n FROM l WHERE cue GROUP BY line),
-ov AS (SELECT line, term, count(*) AS tf FROM (SELECT line, unnest(regexp_extract_all(lower(line), '{TERM}')) AS term FROM n) GROUP BY ALL),
-tv AS (SELECT licence, term, count(*) AS tf FROM (SELECT licence, unnest(regexp_extract_all(lower(line), '{TERM}')) AS term FROM t) GROUP BY ALL),
-df AS (SELECT term, sum(n) AS df FROM ov JOIN n USING (line) GROUP BY term),
-ow AS (SELECT line, term, tf * (ln((1 + (SELECT sum(n) FROM n)) / (1 + coalesce(df, 0))) + 1) AS w FROM ov LEFT JOIN df USING (term)),
-tw AS (SELECT licence, term, tf * (ln((1 + (SELECT sum(n) FROM n)) / (1 + coalesce(df, 0))) + 1) AS w FROM tv LEFT JOIN df USING (term)),
+r AS (
+  SELECT doc_id, dir, length(text) AS chars, unnest(list_distinct(list_concat(list_concat(
+    string_split(text, chr(10)), string_split(regexp_replace(text, '{SENTENCE}', '\\1' || chr(10) || '\\2', 'g'), chr(10))),
+    string_split_regex(regexp_replace(text, '(?m){COMMENT_END}', '\\1' || chr(10) || chr(10) || '\\2', 'g'), '{BLANK}')))) AS unit
+  FROM d WHERE {_cue("text")}),
+l AS (SELECT doc_id, dir, chars, length(unit) AS size, {_wording("unit")} AS words FROM r WHERE {_cue("unit")}),
+w AS (SELECT DISTINCT words FROM l WHERE words <> ''),
+ov AS (SELECT words, term, count(*) AS tf FROM (SELECT words, unnest(string_split(words, ' ')) AS term FROM w) GROUP BY ALL),
+tv AS (
+  SELECT template, licence, needs, term, count(*) AS tf
+  FROM (SELECT template, licence, needs, unnest(string_split({_wording("line")}, ' ')) AS term FROM t) GROUP BY ALL),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM t)) / (1 + count(*))) + 1 AS idf FROM tv GROUP BY term),
+ow AS (SELECT words, term, tf * coalesce(idf, 1) AS w FROM ov LEFT JOIN idf USING (term)),
+tw AS (SELECT template, licence, string_split(needs, ' ') AS needs, term, tf * idf AS w FROM tv JOIN idf USING (term)),
 c AS (
-  SELECT line, licence, round(sum(ow.w * tw.w) / (any_value(o.norm) * any_value(x.norm)), 9) AS cosine
-  FROM ow JOIN tw USING (term) JOIN (SELECT line, sqrt(sum(w * w)) AS norm FROM ow GROUP BY line) o USING (line)
-  JOIN (SELECT licence, sqrt(sum(w * w)) AS norm FROM tw GROUP BY licence) x USING (licence) GROUP BY line, licence),
+  SELECT words, licence, round(sum(ow.w * tw.w) / (any_value(o.norm) * any_value(x.norm)), 9) AS cosine
+  FROM ow JOIN tw USING (term) JOIN (SELECT words, sqrt(sum(w * w)) AS norm FROM ow GROUP BY words) o USING (words)
+  JOIN (SELECT template, sqrt(sum(w * w)) AS norm FROM tw GROUP BY template) x USING (template)
+  GROUP BY words, template, licence, needs HAVING count(*) FILTER (WHERE list_contains(needs, term)) = len(needs)),
 b AS (
-  SELECT line, split_part(licence, '#', 1) AS licence, cosine FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY cosine DESC, licence) AS r FROM c)
-  WHERE r = 1 AND cosine >= {THRESHOLD}),
+  SELECT words, arg_min(struct_pack(g := CAST(licence = 'Proprietary' AS INT), less := -cosine, licence := licence),
+    (CAST(licence = 'Proprietary' AS INT), -cosine, licence)) AS best
+  FROM c WHERE cosine >= {THRESHOLD} GROUP BY words),
 own AS (
-  SELECT doc_id, dir, arg_min(licence, (-cosine, licence)) AS licence, max(cosine) AS cosine, count(*) AS matching FROM l JOIN b USING (line)
-  WHERE cue GROUP BY doc_id, dir),
-a AS (SELECT doc_id, count(*) AS all_lines FROM l GROUP BY doc_id),
-f AS (
-  SELECT dir AS source_dir, arg_min(licence, (-cosine, licence)) AS licence, max(cosine) AS cosine
-  FROM own JOIN a USING (doc_id) WHERE 2 * matching >= all_lines GROUP BY dir),
+  SELECT doc_id, dir, arg_min(best, (best.g, best.less, best.licence)) AS best, bool_or(2 * size >= chars) AS half FROM l JOIN b USING (words)
+  GROUP BY doc_id, dir),
+f AS (SELECT dir AS source_dir, arg_min(best, (best.g, best.less, best.licence)) AS best FROM own WHERE half GROUP BY dir),
 near AS (
-  SELECT doc_id, source_dir, f.licence, f.cosine, row_number() OVER (PARTITION BY doc_id ORDER BY length(source_dir) DESC) AS r
+  SELECT doc_id, source_dir, f.best, row_number() OVER (PARTITION BY doc_id ORDER BY length(source_dir) DESC) AS r
   FROM d JOIN f ON d.dir = f.source_dir OR starts_with(d.dir, f.source_dir || '/'))
-SELECT d.doc_id, d.path, coalesce(own.licence, near.licence) AS licence, coalesce(own.cosine, near.cosine) AS cosine,
+SELECT d.doc_id, d.path, coalesce(own.best.licence, near.best.licence) AS licence, -coalesce(own.best.less, near.best.less) AS cosine,
   CASE WHEN own.doc_id IS NOT NULL THEN 'own' WHEN near.doc_id IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
   CASE WHEN own.doc_id IS NULL THEN source_dir END AS source_dir
 FROM d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN near ON near.doc_id = d.doc_id AND near.r = 1
