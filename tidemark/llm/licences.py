@@ -171,7 +171,9 @@ def template_table(spark: SparkSession) -> DataFrame:
 
 
 def matched_wordings(wordings: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
-    """(wording, best): of each distinct wording (generic, less, licence), less being the negative cosine, if it reaches the threshold.
+    """(key, best): of each distinct wording of (key, wording) the (generic, less, licence), less being the negative cosine, if it reaches the threshold.
+
+    Vectors carry the key, since a block may be as long as its text.
 
     A term of the templates weighs tf * (ln((1 + T) / (1 + df)) + 1), T and df being numbers of templates, so that a
     cosine does not change with the corpus; other terms (names, places) weigh tf. A template counts where the wording holds
@@ -183,17 +185,25 @@ def matched_wordings(wordings: DataFrame, templates: DataFrame, threshold: float
     idf = tv.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("term", (F.log((1 + F.col("t")) / (1 + F.col("df"))) + 1).alias("idf"))
     tw = tv.join(idf, "term").select("template", "licence", "needs", "term", (F.col("ttf") * F.col("idf")).alias("tw"))
     norms = tw.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
-    own = wordings.select("wording", F.explode(F.split("wording", " ")).alias("term")).groupBy("wording", "term").agg(F.count("*").alias("tf"))
-    own = own.join(idf, "term", "left").select("wording", "term", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("w"))
-    norm = own.groupBy("wording").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    # Dealt by key once; everything below keeps to it, and what is broadcast has a row for a term of a template at most.
+    own = wordings.groupBy("key").agg(F.max("wording").alias("wording")).select("key", F.explode(F.split("wording", " ")).alias("term"))
+    own = own.groupBy("key", "term").agg(F.count("*").alias("tf")).join(F.broadcast(idf), "term", "left")
+    own = own.select("key", "term", F.col("idf").isNotNull().alias("known"), (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("w"))
+    square = F.col("w") * F.col("w")
+    vectors = own.groupBy("key").agg(
+        F.sqrt(F.sum(square)).alias("norm"), F.sqrt(F.sum(F.when(F.col("known"), square))).alias("known_norm"),
+        F.collect_list(F.when(F.col("known"), F.struct("term", "w"))).alias("vector"),
+    )
+    # No cosine exceeds the share of the norm that terms of the templates have.
+    vectors = vectors.where(F.col("known_norm") >= (threshold - 1e-6) * F.col("norm")).select("key", "norm", F.explode("vector").alias("v"))
     needed = F.array_contains("needs", F.col("term")).cast("int")
-    dots = own.join(tw, "term").groupBy("wording", "template", "licence", F.size("needs").alias("n_needs")).agg(
+    dots = vectors.select("key", "norm", "v.term", "v.w").join(F.broadcast(tw), "term").groupBy("key", "norm", "template", "licence", F.size("needs").alias("n_needs")).agg(
         F.sum(F.col("w") * F.col("tw")).alias("dot"), F.sum(needed).alias("held")
     ).where("held = n_needs")
     cosine = F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 9)
-    scored = dots.join(norms, "template").join(norm, "wording").withColumn("cosine", cosine).where(F.col("cosine") >= threshold)
+    scored = dots.join(F.broadcast(norms), "template").withColumn("cosine", cosine).where(F.col("cosine") >= threshold)
     generic = (F.col("licence") == "Proprietary").cast("int").alias("generic")
-    return scored.groupBy("wording").agg(F.min(F.struct(generic, (-F.col("cosine")).alias("less"), "licence")).alias("best"))
+    return scored.groupBy("key").agg(F.min(F.struct(generic, (-F.col("cosine")).alias("less"), "licence")).alias("best"))
 
 
 def licences(files: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -208,11 +218,11 @@ def licences(files: DataFrame, templates: DataFrame, threshold: float = THRESHOL
     rows = files.select("file_id", "path", F.coalesce("text", F.lit("")).alias("text"))
     each = rows.where(_has_cue(F.col("text"))).select("file_id", "path", F.length("text").alias("chars"), F.explode(units(F.col("text"))).alias("unit"))
     each = each.select("file_id", "path", "chars", F.length("unit").alias("size"), wording(F.col("unit")).alias("wording")).where("wording <> ''")
-    each = write_table(each.groupBy("file_id", "path", "chars", "wording").agg(F.max("size").alias("size")), "licence-units")
-    best = write_table(matched_wordings(each.select("wording").distinct(), templates, threshold), "matched")
+    each = write_table(each.withColumn("key", F.sha2("wording", 256)), "licence-units")
+    best = write_table(matched_wordings(each, templates, threshold), "matched")
     named = F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False))
     own = write_table(
-        each.join(best, "wording").groupBy("file_id", "path").agg(F.min("best").alias("best"), F.max(2 * F.col("size") >= F.col("chars")).alias("half"))
+        each.join(best, "key").groupBy("file_id", "path").agg(F.min("best").alias("best"), F.max(2 * F.col("size") >= F.col("chars")).alias("half"))
         .select("file_id", "path", "best", (F.col("half") | named).alias("is_licence_file")),
         "own-licences",
     )
