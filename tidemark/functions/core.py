@@ -56,8 +56,11 @@ def obs(partition: str = "instrument_id", order: str = "session") -> Window:
 
 
 def grid(rows: int, partition: str = "instrument_id", order: str = "pos") -> Window:
-    """Window over the last `rows` positions of the dense grid, the current one included."""
-    return Window.partitionBy(partition).orderBy(order).rowsBetween(-(rows - 1), 0)
+    """Window over the last `rows` positions of the calendar, the current one included.
+
+    A range of positions, so absent sessions take their slots whether the grid holds them or not.
+    """
+    return Window.partitionBy(partition).orderBy(order).rangeBetween(-(rows - 1), 0)
 
 
 def roll_sum(x: Column, w: int) -> Column:
@@ -87,9 +90,8 @@ def roll_min(x: Column, w: int, least: int) -> Column:
 
 
 def shifted(x: Column, k: int) -> Column:
-    """Value k grid positions ago; of the future where k is negative."""
-    w = Window.partitionBy("instrument_id").orderBy("pos")
-    return F.lag(x, k).over(w) if k >= 0 else F.lead(x, -k).over(w)
+    """Value k positions ago, NULL if that session is absent; of the future where k is negative."""
+    return F.first(x).over(Window.partitionBy("instrument_id").orderBy("pos").rangeBetween(-k, -k))
 
 
 def lag_ratio(x: Column, k: int) -> Column:

@@ -1,7 +1,9 @@
 """Dense research grid and rolling features.
 
 Windows here run over the calendar, not over observed rows: an absent session still takes a slot. The grid is partitioned
-by instrument once; every feature is a window over that partitioning, so they share one shuffle and one sort.
+by instrument once; every feature is a window over that partitioning, so they share one shuffle and one sort. Frames are
+ranges of positions: features of values that are NULL in an absent session need the observed rows only, and the grid is
+laid out only for those that are known there too (levels, labels, the market's return).
 """
 
 from __future__ import annotations
@@ -14,13 +16,15 @@ from pyspark.sql import functions as F
 from tidemark.functions.core import grid, lag_ratio, roll_count, roll_max, roll_mean, roll_min, roll_std, roll_sum, shifted
 
 
-def densify(panel: DataFrame, calendar: DataFrame) -> DataFrame:
+def densify(panel: DataFrame, calendar: DataFrame, instruments: DataFrame | None = None) -> DataFrame:
     """Every calendar position of every instrument; present tells whether the panel has the row.
 
-    Instruments carry the calendar's positions as a sequence, so the grid is an explode, not a cross join.
+    Instruments carry the calendar's positions as a sequence, so the grid is an explode, not a cross join. A caller that has
+    the distinct instruments at hand passes them, and the panel is not computed a second time for them.
     """
     last = calendar.agg(F.max("pos").alias("last"))
-    cells = panel.select("instrument_id").distinct().join(F.broadcast(last)).select("instrument_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("pos"))
+    named = panel.select("instrument_id").distinct() if instruments is None else instruments
+    cells = named.join(F.broadcast(last)).select("instrument_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("pos"))
     return cells.join(panel.withColumn("present", F.lit(True)), ["instrument_id", "pos"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
@@ -41,7 +45,7 @@ def momentum_features() -> dict[str, Column]:
         past = shifted(tr, far)
         return F.when(past > 0, shifted(tr, near) / past - 1)
 
-    return {f"ret_{k}": lag_ratio(tr, k) for k in (5, 10, 21)} | {f"mom_{k}_21": mom(k, 21) for k in (63, 126, 252)}
+    return {"ret_1d": F.col("rcc")} | {f"ret_{k}": lag_ratio(tr, k) for k in (5, 10, 21)} | {f"mom_{k}_21": mom(k, 21) for k in (63, 126, 252)}
 
 
 def level_features() -> dict[str, Column]:

@@ -35,7 +35,7 @@ def unanswered(spark, sf_dir):
 
 
 def final_sessions(spark, sf_dir):
-    return A.final_sessions(T.calendar(T.bars(spark, sf_dir)), _day("2000-01-01"), 20).select("session", F.col("age").cast("long").alias("age"))
+    return A.final_sessions(T.sessions(spark, sf_dir), _day("2000-01-01"), 20).select("session", F.col("age").cast("long").alias("age"))
 
 
 def batch_plan(spark, sf_dir):
@@ -66,7 +66,7 @@ def pay_dates(spark, sf_dir):
 def fallback_ready(spark, sf_dir):
     s = states(spark, sf_dir)
     r = s.where("pos % 7 <> 3").groupBy("session").agg(F.when(F.max("close") > 300, "pass").otherwise("fail").alias("verdict"))
-    return A.fallback_ready(r, T.calendar(T.bars(spark, sf_dir)), 30).select("counted", "passed", "unreported", "ready")
+    return A.fallback_ready(r, T.sessions(spark, sf_dir), 30).select("counted", "passed", "unreported", "ready")
 
 
 def missing_or_degraded(spark, sf_dir):
@@ -92,7 +92,7 @@ def purged_training(spark, sf_dir):
 
 
 def decision_rows(spark, sf_dir):
-    return A.decision_rows(T.calendar(T.bars(spark, sf_dir)), 10, 5, 2)
+    return A.decision_rows(T.sessions(spark, sf_dir), 10, 5, 2)
 
 
 def breakeven(spark, sf_dir):
@@ -102,7 +102,7 @@ def breakeven(spark, sf_dir):
 
 
 def expiry_sessions(spark, sf_dir):
-    return A.expiry_sessions(T.calendar(T.bars(spark, sf_dir)))
+    return A.expiry_sessions(T.sessions(spark, sf_dir))
 
 
 def equal_weight_return(spark, sf_dir):
@@ -110,15 +110,11 @@ def equal_weight_return(spark, sf_dir):
 
 
 def stream_alignment(spark, sf_dir):
-    return A.stream_alignment(streams(spark, sf_dir).withColumn("run", F.col("instrument_id") % 10), "run").select("run", "n")
+    return A.stream_alignment(streams(spark, sf_dir).withColumn("run", F.col("instrument_id") % 10), "run")
 
 
 def action_kinds(spark, sf_dir):
-    return T.table(spark, sf_dir, "documents").select(A.action_kind(F.substring_index("text", "\n", 1)).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
-
-
-def action_kinds_texts(spark, sf_dir):
-    """action_kinds by whole texts."""
+    """Documents of each kind, by whole texts."""
     return T.table(spark, sf_dir, "documents").select(A.action_kind(F.col("text")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -141,7 +137,7 @@ def notice_fields(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     window_complete, subject_covered, unanswered, final_sessions, batch_plan, segment_of, implausible_balance, pay_dates, fallback_ready, missing_or_degraded,
-    freshness_age, universe_mask, purged_training, decision_rows, breakeven, expiry_sessions, equal_weight_return, stream_alignment, action_kinds, action_kinds_texts, flow_targets,
+    freshness_age, universe_mask, purged_training, decision_rows, breakeven, expiry_sessions, equal_weight_return, stream_alignment, action_kinds, flow_targets,
     normalized_facts, notice_fields,
 )}
 
@@ -188,11 +184,8 @@ SELECT due, max(session) AS session FROM cal JOIN d ON CAST(date_trunc('month',
     "equal_weight_return": f"""WITH {BARS}, o AS (SELECT instrument_id, pos, close FROM bars JOIN cal USING (session)),
 r AS (SELECT x.pos, count(*) AS members, ln(1 + avg(x.close / y.close - 1)) AS r FROM o x JOIN o y ON x.instrument_id = y.instrument_id AND x.pos = y.pos + 1 GROUP BY x.pos)
 SELECT pos, members, floor(r * 1e6 + 0.5000001) / 1e6 AS log_return FROM r""",
-    "stream_alignment": f"WITH {S} SELECT instrument_id % 10 AS run, count(*) AS n FROM s GROUP BY ALL",
-    "action_kinds": """WITH t AS (SELECT regexp_replace(lower(split_part(text, chr(10), 1)), '\\s+', ' ', 'g') AS t FROM documents)
-SELECT CASE WHEN contains(t, 'withdraw') THEN 'withdrawal' WHEN contains(t, 'delist') THEN 'delisting' WHEN contains(t, 'liquid') THEN 'liquidation' WHEN contains(t, 'halt') THEN 'halt'
-  WHEN contains(t, 'licen') THEN 'licence' WHEN contains(t, 'with') THEN 'designation' ELSE 'other' END AS kind, count(*) AS n FROM t GROUP BY ALL""",
-    "action_kinds_texts": """WITH t AS (SELECT regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM documents)
+    "stream_alignment": f"WITH {S} SELECT instrument_id % 10 AS run, sha256(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos)) AS digest, count(*) AS n FROM s GROUP BY ALL",
+    "action_kinds": """WITH t AS (SELECT regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM documents)
 SELECT CASE WHEN contains(t, 'withdraw') THEN 'withdrawal' WHEN contains(t, 'delist') THEN 'delisting' WHEN contains(t, 'liquid') THEN 'liquidation' WHEN contains(t, 'halt') THEN 'halt'
   WHEN contains(t, 'licen') THEN 'licence' WHEN contains(t, 'with') THEN 'designation' ELSE 'other' END AS kind, count(*) AS n FROM t GROUP BY ALL""",
     "flow_targets": f"WITH {STATES} SELECT session, count(*) AS targets FROM states WHERE price_state = 'tradable' GROUP BY session",

@@ -92,13 +92,7 @@ def stream_differences(spark, sf_dir):
 
 
 def asof_targets(spark, sf_dir):
-    s = streams(spark, sf_dir)
-    d = s.where("i % 10 = 0").select("instrument_id", "pos", F.col("i").alias("target"))
-    return E.asof_targets(d, s.select("pos").distinct().where("pos % 5 = 0"), "instrument_id")
-
-
-def asof_targets_sessions(spark, sf_dir):
-    """asof_targets of every decision at every session."""
+    """What each decision holds at each session until the next one."""
     s = streams(spark, sf_dir)
     return E.asof_targets(s.select("instrument_id", "pos", F.col("i").alias("target")), s.select("pos").distinct(), "instrument_id")
 
@@ -114,7 +108,7 @@ def trend_signals(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     point_metrics, longest_underwater, bootstrap_profile, bootstrap_given_starts, paired_growth_tail_delta, tail_mean, ols_beta, rolling_beta, hash_chain_check, journal_reconcile,
-    stream_differences, asof_targets, asof_targets_sessions, select_top, trend_signals,
+    stream_differences, asof_targets, select_top, trend_signals,
 )}
 
 S = BARS + """,
@@ -159,9 +153,7 @@ b AS (SELECT *, sum(d) OVER (PARTITION BY user_id ORDER BY event_id) AS balance
 SELECT user_id, CAST(sum(d) AS BIGINT) AS final, CAST(min(balance) AS BIGINT) AS lowest, min(balance) < 0 AS overdrawn FROM b GROUP BY user_id""",
     "stream_differences": f"""WITH {S}, v AS (SELECT instrument_id, pos, CAST(floor(log_return * 1e6) AS BIGINT) AS v FROM s)
 SELECT instrument_id, pos, v AS "left", CASE WHEN pos % 50 <> 3 THEN CASE WHEN pos % 70 = 5 THEN v + 1 ELSE v END END AS "right" FROM v WHERE pos % 50 = 3 OR pos % 70 = 5""",
-    "asof_targets": f"""WITH {S}, d AS (SELECT instrument_id, pos, i AS target, lead(pos) OVER {_W} AS upto FROM s WHERE i % 10 = 0)
-SELECT p.pos, instrument_id, target, d.pos AS decided FROM d JOIN (SELECT DISTINCT pos FROM s WHERE pos % 5 = 0) p ON p.pos >= d.pos AND (upto IS NULL OR p.pos < upto)""",
-    "asof_targets_sessions": f"""WITH {S}, d AS (SELECT instrument_id, pos, i AS target, lead(pos) OVER {_W} AS upto FROM s)
+    "asof_targets": f"""WITH {S}, d AS (SELECT instrument_id, pos, i AS target, lead(pos) OVER {_W} AS upto FROM s)
 SELECT p.pos, instrument_id, target, d.pos AS decided FROM d JOIN (SELECT DISTINCT pos FROM s) p ON p.pos >= d.pos AND (upto IS NULL OR p.pos < upto)""",
     "select_top": f"""WITH {S}, r AS (SELECT pos, instrument_id, row_number() OVER (PARTITION BY pos ORDER BY log_return DESC, instrument_id) AS rank, count(*) OVER (PARTITION BY pos) AS n FROM s)
 SELECT pos, instrument_id, rank FROM r WHERE rank <= 5 AND n >= 5""",

@@ -10,11 +10,13 @@ from tidemark.sources import tables as T
 
 
 def cells(spark, sf_dir):
-    b = T.observed(spark, sf_dir)
-    li = T.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("instrument_id"), F.to_date("l_shipdate").alias("session")).agg(
-        F.sum(F.when(F.col("l_returnflag") == "A", F.col("l_quantity")).otherwise(-F.col("l_quantity"))).alias("net")
-    )
-    return X.returns(X.densify(b.join(li, ["instrument_id", "session"]), b.select("pos").distinct()))
+    instruments = T.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("instrument_id")).distinct()
+    return X.returns(X.densify(T.observed(spark, sf_dir, flows=True), T.sessions(spark, sf_dir), instruments))
+
+
+def observed_cells(spark, sf_dir):
+    """The present cells alone, for features whose inputs are NULL elsewhere."""
+    return X.returns(T.observed(spark, sf_dir, flows=True).withColumn("present", F.lit(True)))
 
 
 def _shown(c: str):
@@ -23,10 +25,10 @@ def _shown(c: str):
     return F.when(F.col(c).isNotNull(), F.floor(x * 1e4 + 0.5000001) / 1e4).alias(c)
 
 
-def _query(features, prepare=lambda c: c):
+def _query(features, prepare=lambda c: c, source=observed_cells):
     def run(spark, sf_dir):
         named = features()
-        return X.select_features(prepare(cells(spark, sf_dir)), named).select("instrument_id", "pos", *map(_shown, named))
+        return X.select_features(prepare(source(spark, sf_dir)), named).select("instrument_id", "pos", *map(_shown, named))
 
     return run
 
@@ -38,36 +40,38 @@ def grid_coverage(spark, sf_dir):
 
 
 def rank_features(spark, sf_dir):
-    rows = X.select_features(cells(spark, sf_dir), {"r1": F.col("rcc")})
+    rows = X.select_features(observed_cells(spark, sf_dir), {"r1": F.col("rcc")})
     return X.rank_normalize(rows, "r1", 5).select("instrument_id", "pos", (F.floor(F.col("rank") * 1e6 + 0.5) / 1e6).alias("rank"))
 
 
 def winsor_features(spark, sf_dir):
-    rows = X.select_features(cells(spark, sf_dir), {"r1": F.col("rcc")})
+    rows = X.select_features(observed_cells(spark, sf_dir), {"r1": F.col("rcc")})
     return X.winsor_z(rows, "r1", 0.05, 0.95, 5).select("instrument_id", "pos", _shown("z"))
 
 
 def weekly_sessions(spark, sf_dir):
-    return X.weekly_positions(T.calendar(T.bars(spark, sf_dir)))
+    return X.weekly_positions(T.sessions(spark, sf_dir))
 
 
 QUERIES = {
     "grid_coverage": grid_coverage,
     "features_momentum": _query(X.momentum_features),
-    "features_levels": _query(X.level_features),
+    "features_levels": _query(X.level_features, source=cells),
     "features_volatility": _query(X.volatility_features),
     "features_sessions": _query(X.session_features),
     "features_liquidity": _query(X.liquidity_features),
-    "features_flows": _query(lambda: X.flow_features("net")),
-    "features_market": _query(X.market_features, X.with_market_return),
-    "forward_labels": _query(X.labels, X.unit_open),
+    "features_flows": _query(lambda: X.flow_features("net") | X.flow_features("returned") | X.flow_features("taken")),
+    "features_market": _query(X.market_features, X.with_market_return, cells),
+    "forward_labels": _query(X.labels, X.unit_open, cells),
     "rank_features": rank_features,
     "winsor_features": winsor_features,
     "weekly_sessions": weekly_sessions,
 }
 
 CELLS = BARS + """,
-nf AS (SELECT l_suppkey AS instrument_id, CAST(l_shipdate AS DATE) AS session, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE -l_quantity END) AS net FROM lineitem GROUP BY ALL),
+nf AS (
+  SELECT l_suppkey AS instrument_id, CAST(l_shipdate AS DATE) AS session, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE -l_quantity END) AS net,
+    sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE -l_quantity END) AS returned, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE -l_quantity END) AS taken FROM lineitem GROUP BY ALL),
 gr AS (SELECT * FROM (SELECT DISTINCT instrument_id FROM bars), (SELECT pos FROM cal)),
 ob AS (SELECT * EXCLUDE (session), true AS there FROM bars JOIN cal USING (session) JOIN nf USING (instrument_id, session)),
 c0 AS (
@@ -121,7 +125,7 @@ _coalesced = "coalesce({}, 0)"
 SQL = {
     "grid_coverage": f"WITH {CELLS} SELECT instrument_id, count(*) AS cells, count(*) FILTER (present) AS present, count(rcc) AS known_returns FROM c GROUP BY instrument_id",
     "features_momentum": _sql(
-        {f"ret_{k}": _ratio(k) for k in (5, 10, 21)} | {f"mom_{k}_21": f"CASE WHEN {_lag('tr', k)} > 0 THEN {_lag('tr', 21)} / {_lag('tr', k)} - 1 END" for k in (63, 126, 252)}
+        {"ret_1d": "rcc"} | {f"ret_{k}": _ratio(k) for k in (5, 10, 21)} | {f"mom_{k}_21": f"CASE WHEN {_lag('tr', k)} > 0 THEN {_lag('tr', 21)} / {_lag('tr', k)} - 1 END" for k in (63, 126, 252)}
     ),
     "features_levels": _sql(
         {"hi52": f"adj / {_roll('max', 'adj', 252, 126)}", "lo52": f"adj / {_roll('min', 'adj', 252, 126)}", "dist_hi20": f"adj / {_roll('max', 'adj', 20, 10)}"}
@@ -142,7 +146,7 @@ SQL = {
         "tv_z1": f"value / nullif({_tv20}, 0)", "amihud20": _mean("(CASE WHEN value > 0 THEN abs(rcc) / (value / 1e9) END)", 20, 10),
         "upvol20": f"sum(coalesce(CASE WHEN rcc > 0 THEN value END, 0)) {_w(20)} / greatest(sum(coalesce(value, 0)) {_w(20)}, 1.0)",
     }),
-    "features_flows": _sql({f"fl_net_{w}": f"CASE WHEN count(net) {_w(w)} >= {0.6 * w} THEN sum(coalesce(net, 0)) {_w(w)} / mcap END" for w in (5, 20, 60)}),
+    "features_flows": _sql({f"fl_{x}_{w}": f"CASE WHEN count({x}) {_w(w)} >= {0.6 * w} THEN sum(coalesce({x}, 0)) {_w(w)} / mcap END" for x in ("net", "returned", "taken") for w in (5, 20, 60)}),
     "features_market": _sql(
         {"beta60": _beta, "ivol60": f"sqrt(greatest({_vol60} * {_vol60} - {_beta} * {_beta} * {_var}, 0))"},
         """, pc AS (SELECT *, lag(mcap) OVER (PARTITION BY instrument_id ORDER BY pos) AS pcap FROM c),

@@ -39,7 +39,7 @@ def revision_check(spark, sf_dir):
 
 
 def effective_positions(spark, sf_dir):
-    cal = T.calendar(T.bars(spark, sf_dir))
+    cal = T.sessions(spark, sf_dir)
     seal = F.col("session").cast("timestamp") + F.make_interval(hours=(F.pmod("pos", F.lit(40)) + 10).cast("int"))
     return E.effective_position(cal.select("pos", seal.alias("sealed_at")), cal, 9).select("pos", "effective", "is_late")
 

@@ -36,7 +36,7 @@ def daily_bars(spark, sf_dir):
 
 
 def calendar(spark, sf_dir):
-    return T.calendar(T.bars(spark, sf_dir))
+    return T.sessions(spark, sf_dir)
 
 
 def price_states(spark, sf_dir):

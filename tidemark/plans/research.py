@@ -13,7 +13,7 @@ from tidemark.sources import tables as T
 
 
 def _facts(spark, sf_dir):
-    return K.avail_index(T.facts(spark, sf_dir), T.calendar(T.bars(spark, sf_dir)), "available")
+    return K.avail_index(T.facts(spark, sf_dir), T.sessions(spark, sf_dir), "available")
 
 
 def _cents(c: str):
@@ -25,25 +25,12 @@ def avail_index(spark, sf_dir):
 
 
 def shown_quarter(spark, sf_dir):
-    months = T.calendar(T.bars(spark, sf_dir)).where("pos % 50 = 0").select("pos")
-    return K.shown_quarter(K.quarter_complete(_facts(spark, sf_dir)), months)
+    """The quarter that each session shows of each company."""
+    return K.shown_quarter(K.quarter_complete(_facts(spark, sf_dir)), T.sessions(spark, sf_dir).select("pos"))
 
 
 def fact_age(spark, sf_dir):
-    cal = T.calendar(T.bars(spark, sf_dir)).where("pos % 50 = 0")
-    s = shown_quarter(spark, sf_dir).join(cal, "pos")
-    age = F.year("session") * 4 + F.quarter("session") - 1 - F.col("quarter")
-    return s.groupBy("pos").agg(F.count("*").alias("companies"), F.max(age).cast("long").alias("oldest"), F.min(age).cast("long").alias("newest"))
-
-
-def shown_quarter_sessions(spark, sf_dir):
-    """shown_quarter at every session."""
-    return K.shown_quarter(K.quarter_complete(_facts(spark, sf_dir)), T.calendar(T.bars(spark, sf_dir)).select("pos"))
-
-
-def fact_age_sessions(spark, sf_dir):
-    """fact_age at every session."""
-    s = shown_quarter_sessions(spark, sf_dir).join(F.broadcast(T.calendar(T.bars(spark, sf_dir))), "pos")
+    s = shown_quarter(spark, sf_dir).join(F.broadcast(T.sessions(spark, sf_dir)), "pos")
     age = F.year("session") * 4 + F.quarter("session") - 1 - F.col("quarter")
     return s.groupBy("pos").agg(F.count("*").alias("companies"), F.max(age).cast("long").alias("oldest"), F.min(age).cast("long").alias("newest"))
 
@@ -102,15 +89,13 @@ def order_fill_estimate(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    avail_index, shown_quarter, fact_age, shown_quarter_sessions, fact_age_sessions, trailing_sum, year_over_year, fourth_from_annual, entry_blocks, target_orders, fill_costs, portfolio_value, order_fill_estimate,
+    avail_index, shown_quarter, fact_age, trailing_sum, year_over_year, fourth_from_annual, entry_blocks, target_orders, fill_costs, portfolio_value, order_fill_estimate,
 )}
 
 A = f"""{BARS}, {FACT},
 cs AS (SELECT session, pos, lag(session) OVER (ORDER BY pos) AS before FROM cal),
 fa AS (SELECT f0.*, pos AS avail_pos FROM f0 JOIN cs ON f0.available <= cs.session AND (cs.before IS NULL OR f0.available > cs.before))"""
 SHOWN = f"""{A}, qc AS (SELECT company_id, quarter, max(avail_pos) AS p FROM fa GROUP BY ALL),
-sh AS (SELECT company_id, c.pos, max(quarter) AS quarter FROM qc JOIN cal c ON c.pos % 50 = 0 AND qc.p <= c.pos GROUP BY ALL)"""
-SHOWN_ALL = f"""{A}, qc AS (SELECT company_id, quarter, max(avail_pos) AS p FROM fa GROUP BY ALL),
 sh AS (SELECT company_id, c.pos, max(quarter) AS quarter FROM qc JOIN cal c ON qc.p <= c.pos GROUP BY ALL)"""
 ORDERS = BARS + """,
 ob AS (SELECT * FROM bars JOIN cal USING (session)),
@@ -131,8 +116,6 @@ SQL = {
     "avail_index": f"WITH {A} SELECT company_id, quarter, fact, avail_pos FROM fa",
     "shown_quarter": f"WITH {SHOWN} SELECT * FROM sh",
     "fact_age": f"""WITH {SHOWN}, g AS (SELECT pos, year(session) * 4 + quarter(session) - 1 - sh.quarter AS age FROM sh JOIN cal USING (pos))
-SELECT pos, count(*) AS companies, max(age) AS oldest, min(age) AS newest FROM g GROUP BY pos""",
-    "fact_age_sessions": f"""WITH {SHOWN_ALL}, g AS (SELECT pos, year(session) * 4 + quarter(session) - 1 - sh.quarter AS age FROM sh JOIN cal USING (pos))
 SELECT pos, count(*) AS companies, max(age) AS oldest, min(age) AS newest FROM g GROUP BY pos""",
     "trailing_sum": f"""WITH {A}, t AS (SELECT company_id, quarter, fact, CASE WHEN count(*) OVER w = 4 THEN sum(value) OVER w END AS ttm, CASE WHEN count(*) OVER w = 4 THEN max(avail_pos) OVER w END AS ttm_pos
   FROM fa WINDOW w AS (PARTITION BY company_id, fact ORDER BY quarter RANGE BETWEEN 3 PRECEDING AND CURRENT ROW))

@@ -21,17 +21,26 @@ def scan_dataset(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     return found.select(*[F.col(f"`{c}`") if c in have else F.lit(None).cast("string").alias(c) for c in columns])
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(instrument_id, session, open, high, low, close, volume, value, base_price, change, market, market_cap, listed_shares)."""
+def _signed(flag: str):
+    return F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity")).otherwise(-F.col("l_quantity")))
+
+
+#: Signed quantities of a day, one for each return flag.
+FLOWS = (_signed("A").alias("net"), _signed("R").alias("returned"), _signed("N").alias("taken"))
+
+
+def bars(spark: SparkSession, sf_dir: str, flows: bool = False) -> DataFrame:
+    """(instrument_id, session, open, high, low, close, volume, value, base_price, change, market, market_cap, listed_shares), with
+    flows also the day's signed quantities by return flag: net, returned, taken."""
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("instrument_id"), F.to_date("l_shipdate").alias("session"),
         F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("long").alias("price"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("place"), "l_quantity", "l_extendedprice",
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("place"), "l_quantity", "l_extendedprice", "l_returnflag",
     )
     day = li.groupBy("instrument_id", "session").agg(
         F.min_by("price", "place").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", "place").alias("close"), F.sum("l_quantity").cast("long").alias("volume"),
-        F.round(F.sum("l_extendedprice"), 2).alias("value"),
+        F.round(F.sum("l_extendedprice"), 2).alias("value"), *(FLOWS if flows else ()),
     )
     prev = F.lag("close").over(Window.partitionBy("instrument_id").orderBy("session"))
     day = day.withColumn("base_price", F.coalesce(prev, F.col("close"))).withColumn("change", F.col("close") - F.col("base_price"))
@@ -50,10 +59,14 @@ def calendar(bars_: DataFrame) -> DataFrame:
     return days.withColumn("pos", (F.row_number().over(Window.orderBy("session")) - 1).cast("long"))
 
 
-def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bars with calendar positions."""
-    b = bars(spark, sf_dir)
-    return b.join(F.broadcast(calendar(b)), "session")
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calendar from the dates alone: one column is read and no price is aggregated."""
+    return calendar(table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("session")))
+
+
+def observed(spark: SparkSession, sf_dir: str, flows: bool = False) -> DataFrame:
+    """bars with calendar positions. A row a day: the broadcast side does not grow with the instruments."""
+    return bars(spark, sf_dir, flows).join(F.broadcast(sessions(spark, sf_dir)), "session")
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
