@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, decontaminate, jaccard_join, lm, pii, rans, seating, token_files, toxicity
@@ -396,3 +397,25 @@ def test_many_bearers_of_a_family_name(spark):
     names = spark.range(1500).selectExpr("'name' as kind", "concat('m ', translate(cast(id as string), '0123456789', 'abcdefghij'), ' smith') as canon")
     made = [r.surrogate for r in pii.surrogate_table(names, b"k").collect()]
     assert len(set(made)) == 1500
+
+
+def test_toxicity_weights_equal_a_dense_solution_and_count_against_too():
+    rng = np.random.default_rng(5)
+    x = (rng.random((300, 12)) < 0.2).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(2 * x[:, 0] - 3 * x[:, 1] - 0.5)))).astype(float)
+    row, col = np.nonzero(x)
+    got = toxicity._logistic(row, col, y, 12)
+    dense, penalty = np.column_stack([x, np.ones(300)]), np.append(np.full(12, 0.05), 1e-6)
+    w = np.zeros(13)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(dense @ w)))
+        w += np.linalg.solve((dense.T * (p * (1 - p))) @ dense + np.diag(penalty), dense.T @ (y - p) - penalty * w)
+    assert np.allclose(got, w, atol=1e-4) and got[0] > 0 > got[1]
+    assert np.isfinite(toxicity._logistic(row[:0], col[:0], y, 0)).all()
+
+
+def test_toxicity_keeps_words_of_either_label(docs, spark):
+    texts = [(i, f"{'vile' if i % 4 == 0 else 'kind' if i % 4 == 1 else 'plain'} words filler{i % 7}") for i in range(400)]
+    labelled = docs(texts).select("doc_id", "text").withColumn("y", (F.col("doc_id") % 2 == 0).cast("int"))
+    scorer = toxicity.fit_scorer(labelled, toxicity.Speller({}))
+    assert scorer.weights["=vile"] > 0 > scorer.weights["=kind"] and "=words" not in scorer.weights

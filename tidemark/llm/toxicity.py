@@ -30,8 +30,11 @@ SEPARATORS = ".-_*·~'"
 # Channel costs in nats.
 COST_LOOKALIKE, COST_DROP, COST_REPEAT, COST_KEEP_SIGN = 1.0, 0.5, 0.4, 6.0
 
-#: Most labelled rows that the regression is fitted on (the first by hashed id), most features, and rows a feature must be in.
-FIT_ROWS, FIT_FEATURES, MIN_ROWS = 20_000, 256, 5
+#: Most labelled rows that the regression is fitted on (the first by hashed id).
+FIT_ROWS = 20_000
+#: A feature is kept if it is in MIN_ROWS rows and its likelihood ratio against the labels, for either label, reaches LEAST_RATIO
+#: (a chi-square of one degree: one chance in ten thousand). The labels decide how many there are.
+MIN_ROWS, LEAST_RATIO = 5, 15.1
 #: Prefix lengths that are features besides the word.
 PREFIXES = (4, 5)
 #: Length of the speller's n-grams, and the least share of all letters that one must have to be kept: at most 1 / LEAST_SHARE
@@ -235,20 +238,53 @@ def _feature_rows(speller: Speller):
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40) -> np.ndarray:
-    """Weights with a ridge penalty, none on the bias, by Newton steps."""
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-6
+def _logistic(row: np.ndarray, col: np.ndarray, y: np.ndarray, features: int, ridge: float = 0.05, steps: int = 40) -> np.ndarray:
+    """Weights and, last, the bias, with a ridge penalty on the weights: Newton steps by conjugate gradients.
+
+    row and col are the places of the ones, so that work and memory follow the ones and not rows times features.
+    """
+    n = len(y)
+    penalty = np.append(np.full(features, ridge), 1e-6)
+
+    def forward(w: np.ndarray) -> np.ndarray:
+        return np.bincount(row, w[col], n) + w[-1]
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(col, r[row], features), r.sum())
+
+    w = np.zeros(features + 1)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * np.maximum(p * (1 - p), 1e-6)) @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        p = 1 / (1 + np.exp(-np.clip(forward(w), -30, 30)))
+        h = np.maximum(p * (1 - p), 1e-6)
+        scale = np.append(np.bincount(col, h[row], features), h.sum()) + penalty
+        step, left = np.zeros_like(w), back(y - p) - penalty * w
+        z = left / scale
+        way, size = z, left @ z
+        goal = 1e-12 * size
+        for _ in range(features + 1):
+            if size <= goal:
+                break
+            curved = back(h * forward(way)) + penalty * way
+            far = size / (way @ curved)
+            step, left = step + far * way, left - far * curved
+            z = left / scale
+            size, old = left @ z, size
+            way = z + size / old * way
         w += step
         if np.abs(step).max() < 1e-4:
             break
     return w
 
 
+def _indexed(index: dict[str, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[index[f] for f in fs.as_py() if f in index] for fs in batch.column(0)]
+            yield pa.record_batch([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["fs", "y"])
+
+    return run
+
+
 def fit_scorer(labelled: DataFrame, speller: Speller) -> Scorer:
     """labelled: (doc_id, text, y 0/1), at most FIT_ROWS of them."""
     rows = write_table(labelled.select("doc_id", "text", "y").mapInArrow(_feature_rows(speller), "doc_id long, fs array<string>, y int"), "features")
@@ -261,15 +297,12 @@ def fit_scorer(labelled: DataFrame, speller: Speller) -> Scorer:
     a, k = F.col("a"), F.col("k")
     cells = ((a, k * p1), (k - a, k * (1 - p1)), (n1 - a, (n - k) * p1), (n - n1 - k + a, (n - k) * (1 - p1)))
     gain = sum((F.when(seen > 0, seen * F.log(seen / due)).otherwise(0.0) for seen, due in cells), F.lit(0.0))
-    best = [r.f for r in counted.where(a > k * p1).orderBy(gain.desc(), "f").limit(FIT_FEATURES).collect()]
+    best = sorted(r.f for r in counted.where(2 * gain >= LEAST_RATIO).select("f").collect())
     index = {f: i for i, f in enumerate(best)}
-    kept = F.array_intersect("fs", F.array(*map(F.lit, best)) if best else F.array().cast("array<string>"))
-    taken = rows.select("y", kept.alias("fs")).collect()
-    x = np.zeros((len(taken), len(best) + 1))
-    x[:, -1] = 1.0
-    for i, r in enumerate(taken):
-        x[i, [index[f] for f in r.fs]] = 1.0
-    w = _logistic(x, np.array([r.y for r in taken], float))
+    taken = rows.select("fs", "y").mapInArrow(_indexed(index), "fs array<int>, y int").toArrow()
+    ones = [np.asarray(fs.as_py(), np.int64) for fs in taken.column("fs")]
+    row = np.repeat(np.arange(len(ones)), [len(o) for o in ones])
+    w = _logistic(row, np.concatenate([np.empty(0, np.int64), *ones]), taken.column("y").to_numpy().astype(float), len(best))
     return Scorer({f: float(w[i]) for f, i in index.items()}, float(w[-1]))
 
 
