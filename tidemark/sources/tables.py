@@ -6,7 +6,7 @@ with them. Timestamps become dates once, here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -21,12 +21,10 @@ def scan_dataset(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     return found.select(*[F.col(f"`{c}`") if c in have else F.lit(None).cast("string").alias(c) for c in columns])
 
 
-def _signed(flag: str):
-    return F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity")).otherwise(-F.col("l_quantity")))
-
-
-#: Signed quantities of a day, one for each return flag.
-FLOWS = (_signed("A").alias("net"), _signed("R").alias("returned"), _signed("N").alias("taken"))
+def _flows() -> list[Column]:
+    """Signed quantities of a day, one for each return flag."""
+    q = F.col("l_quantity")
+    return [F.sum(F.when(F.col("l_returnflag") == flag, q).otherwise(-q)).alias(name) for flag, name in (("A", "net"), ("R", "returned"), ("N", "taken"))]
 
 
 def bars(spark: SparkSession, sf_dir: str, flows: bool = False) -> DataFrame:
@@ -40,7 +38,7 @@ def bars(spark: SparkSession, sf_dir: str, flows: bool = False) -> DataFrame:
     day = li.groupBy("instrument_id", "session").agg(
         F.min_by("price", "place").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", "place").alias("close"), F.sum("l_quantity").cast("long").alias("volume"),
-        F.round(F.sum("l_extendedprice"), 2).alias("value"), *(FLOWS if flows else ()),
+        F.round(F.sum("l_extendedprice"), 2).alias("value"), *(_flows() if flows else ()),
     )
     prev = F.lag("close").over(Window.partitionBy("instrument_id").orderBy("session"))
     day = day.withColumn("base_price", F.coalesce(prev, F.col("close"))).withColumn("change", F.col("close") - F.col("base_price"))
