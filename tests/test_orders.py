@@ -97,7 +97,7 @@ def test_paired_query(spark):
 
 
 def test_every_session_has_its_quarter(spark):
-    got = market.QUERIES["shown_quarter_sessions"](spark, SF).toPandas()
+    got = market.QUERIES["shown_quarter"](spark, SF).toPandas()
     facts = research._facts(spark, SF).groupBy("company_id", "quarter").agg(F.max("avail_pos").alias("p")).collect()
     last, known = int(got.pos.max()), {}
     for r in facts:
