@@ -14,10 +14,12 @@ from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.kd_search import top_k
 from tidemark.llm.licences import BLANK, COMMENT_END, CUES, HOLDER, SENTENCE, TEMPLATES, TERM, THRESHOLD, licences, template_table
 from tidemark.llm.lm import text_scores
+from tidemark.llm.near_vectors import near_vectors
 from tidemark.llm.pii import with_surrogates
 from tidemark.llm.token_files import token_file_digests
 from tidemark.llm.toxicity import toxicity_scores
 from tidemark.llm.url_filter import canonical, judged_urls, url_host, url_path
+from tidemark.llm.whitening import whitened
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +93,16 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all embeddings at a cosine of 0.9 or more, and the smallest id that each one reaches."""
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, as integers, on their first 32 components, each with a variance of one."""
+    return whitened(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
@@ -102,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kd_top_k": op8_kd_top_k,
     "op9_licences": op9_licences,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
+    "op13_whitening": op13_whitening,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -211,5 +225,19 @@ r(doc_id, reached) AS (
   SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, p.b FROM r JOIN p ON r.reached = p.a)
 SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, min(reached) AS component_id
 FROM s JOIN r ON s.doc_id = r.doc_id GROUP BY s.doc_id, len(g)
+""",
+    "op12_embedding_near_dedup": """
+WITH RECURSIVE r AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+v AS (
+  SELECT i, vec_id, list_transform(x, lambda e: e / sqrt(list_sum(list_transform(x, lambda y: y * y)))) AS x FROM r
+  WHERE vec_id IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+p AS (
+  SELECT a.i AS a, b.i AS b, b.vec_id AS other FROM v a JOIN v b ON a.i <> b.i AND len(a.x) = len(b.x)
+    AND list_sum(list_transform(range(1, len(a.x) + 1), lambda k: a.x[k] * b.x[k])) >= 0.9),
+c(i, reached, vec_id) AS (SELECT i, i, vec_id FROM r UNION SELECT c.i, p.b, p.other FROM c JOIN p ON c.reached = p.a),
+l AS (SELECT a AS i, count(*) AS n FROM p GROUP BY a)
+SELECT r.vec_id, coalesce(any_value(l.n), 0) AS n_links, min(c.vec_id) AS component_id, coalesce(min(c.vec_id) = r.vec_id, false) AS kept
+FROM r JOIN c ON c.i = r.i LEFT JOIN l ON l.i = r.i GROUP BY r.i, r.vec_id
 """,
 }
