@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encoding_digests
+from tidemark.llm.collocations import collocations
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contained_items
 from tidemark.llm.jaccard_join import jaccard_components
@@ -93,6 +94,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of each language among those of two to five words that occur 100 times or more."""
+    return collocations(table(spark, sf_dir, "documents"), least=100, share=100, limit=2000)
+
+
 def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all embeddings at a cosine of 0.9 or more, and the smallest id that each one reaches."""
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kd_top_k": op8_kd_top_k,
     "op9_licences": op9_licences,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_whitening": op13_whitening,
 }
@@ -225,6 +232,28 @@ r(doc_id, reached) AS (
   SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, p.b FROM r JOIN p ON r.reached = p.a)
 SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, min(reached) AS component_id
 FROM s JOIN r ON s.doc_id = r.doc_id GROUP BY s.doc_id, len(g)
+""",
+    "op11_phrase_collocations": rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM t),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+s AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS p FROM w, range(1, 6) AS x(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, p, count(*) AS a FROM s GROUP BY ALL HAVING count(*) >= 100),
+i AS (
+  SELECT lang, p, max(a) AS longer FROM (
+    SELECT lang, a, unnest([p[1:k - 1], p[2:k]]) AS p FROM f WHERE k > 2)
+  GROUP BY ALL),
+c AS (SELECT f.* FROM f LEFT JOIN i USING (lang, p) WHERE f.k > 1 AND (longer IS NULL OR 100 * longer < 100 * a)),
+u AS (SELECT lang, p, a, unnest(range(1, k)) AS cut FROM c),
+v AS (
+  SELECT u.lang, u.p, u.a, cut, l.a AS l, r.a AS r, n.n, CAST(1000 * CAST(u.a AS HUGEINT) * n.n // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM u JOIN f l ON l.lang = u.lang AND l.p = u.p[1:cut] JOIN f r ON r.lang = u.lang AND r.p = u.p[cut + 1:] JOIN n ON n.lang = u.lang),
+m AS (SELECT lang, p, a, n, arg_min(struct_pack(score := score, l := l, r := r), (score, cut)) AS b FROM v GROUP BY lang, p, a, n),
+o AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, b.l AS l, b.r AS r, n, b.score AS score,
+    row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, encode(array_to_string(p, ' '))) AS rank
+  FROM m)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
 """,
     "op12_embedding_near_dedup": """
 WITH RECURSIVE r AS (

@@ -47,16 +47,21 @@ def word_hashes(data: bytes) -> np.ndarray:
 
 def spaced_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words, and where they begin."""
+    return runs_between(data, WHITE)[:2]
+
+
+def runs_between(data: bytes, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the runs of bytes that are no gaps (a mask over the 256 bytes), where they begin and where they end."""
     a = np.frombuffer(data, np.uint8)
-    edge = np.diff(np.concatenate(([False], ~WHITE[a], [False])).view(np.int8))
+    edge = np.diff(np.concatenate(([False], ~gaps[a], [False])).view(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
-        return np.empty(0, np.uint64), starts
+        return np.empty(0, np.uint64), starts, ends
     power, inverse = _power_tables(len(a) + 1)
     sums = np.empty(len(a) + 1, np.uint64)
     sums[0] = 0
     np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[: len(a)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
