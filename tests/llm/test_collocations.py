@@ -97,3 +97,12 @@ def test_leaves_and_subtree():
     got = collocations._subtree(3)(pdf)
     assert sorted(map(tuple, got.to_numpy().tolist())) == [(1, 2, 0, 0, 0, 3), (4, 2, 0, 0, 0, 5)]
     assert len(collocations._subtree(3)(pdf.assign(prefix=4))) == 3
+
+
+def test_hashes_of_long_words_tell_places_apart():
+    long = [b"a" * 70_000 + b"b" + b"a" * i for i in range(5)] + [b"b" + b"a" * 70_000, b"a" * 70_001, b"", b"a", b"b", b"ab", b"ba"]
+    h, same, starts, ends = collocations.hashed("en", b" ".join(long))
+    data = b" ".join(long)
+    assert len(set(h.tolist())) == len({data[s:e] for s, e in zip(starts, ends, strict=True)}) == len(long) - 1
+    assert same[:-1].all() and not same[-1]
+    assert (collocations.hashed("en", b"a " + long[2])[0][1] == h[2]) and collocations.hashed("fr", long[2])[0][0] != h[2]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import write_table
-from tidemark.llm.shingles import WEIGHTS, lowered, mix, runs_between
+from tidemark.llm.shingles import WEIGHTS, lowered, mix
 
 #: Words of the longest phrase, and the columns that hold a suffix; 0 ends it.
 DEPTH = 5
@@ -31,6 +31,9 @@ LEAST_BITS, MOST_BITS = 20, 26
 #: What parts pieces, what parts words, and both.
 PIECE, BLANK = b".,;:!?\n\v\f\r", b" \t"
 
+#: Odd: a word's bytes are the digits of a number to this base.
+BASE = 0xD1342543DE82EF95
+_powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(1 << 16, BASE, np.uint64)])
 _ends = np.zeros(256, bool)
 _ends[list(PIECE)] = True
 _gaps = _ends.copy()
@@ -73,13 +76,30 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, bytes]]:
     yield from ((x, b"\n".join(parts)) for x, parts in held.items())
 
 
+def _power(place: np.ndarray) -> np.ndarray:
+    """Powers of the base; those of places far into a very long word are put together from two."""
+    low = _powers[place & 0xFFFF]
+    if len(place) and int(place.max()) > 0xFFFF:
+        far = np.array([pow(BASE, int(i) << 16, 1 << 64) for i in range((int(place.max()) >> 16) + 1)], np.uint64)
+        low = low * far[place >> 16]
+    return low
+
+
 def hashed(lang: str, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each word: its hash in this language, never 0; whether the next one is in the same piece; begin and end."""
-    h, starts, ends = runs_between(data, _gaps)
-    h = mix(h ^ _salt(lang))
+    a = np.frombuffer(data, np.uint8)
+    edge = np.diff(np.r_[False, ~_gaps[a], False].view(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(starts):
+        return np.empty(0, np.uint64), np.empty(0, bool), starts, ends
+    lengths = ends - starts
+    within = np.flatnonzero(~_gaps[a])
+    place = within - np.repeat(starts, lengths)
+    digits = (a[within].astype(np.uint64) + np.uint64(1)) * _power(place)
+    h = mix(mix(np.add.reduceat(digits, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64)) ^ _salt(lang))
     h[h == 0] = 1
-    piece = np.searchsorted(np.flatnonzero(_ends[np.frombuffer(data, np.uint8)]), starts)
-    return h, np.append(piece[1:] == piece[:-1], False)[: len(h)], starts, ends
+    piece = np.searchsorted(np.flatnonzero(_ends[a]), starts)
+    return h, np.append(piece[1:] == piece[:-1], False), starts, ends
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
