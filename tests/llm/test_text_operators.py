@@ -419,3 +419,64 @@ def test_toxicity_keeps_words_of_either_label(docs, spark):
     labelled = docs(texts).select("doc_id", "text").withColumn("y", (F.col("doc_id") % 2 == 0).cast("int"))
     scorer = toxicity.fit_scorer(labelled, toxicity.Speller({}))
     assert scorer.weights["=vile"] > 0 > scorer.weights["=kind"] and "=words" not in scorer.weights
+
+
+def test_pii_names_of_many_letters():
+    text = "Herr Hans Groß kam. HANS GROSS ging. Mr. O'Brien, Mr İlker Demir and Mrs D’Arcy-O'Neil met."
+    assert [(text[a:b], k) for a, b, k, _ in pii.entities(text)] == [(n, "name") for n in ("Hans Groß", "HANS GROSS", "O'Brien", "İlker Demir", "D’Arcy-O'Neil")]
+    assert len({c for _, _, _, c in pii.entities(text)[:2]}) == 1
+
+
+@pytest.mark.parametrize(("text", "found"), [
+    ("password=correcthorsebattery", ["correcthorsebattery"]), ("pwd: hunterhunter", ["hunterhunter"]), ("api_key = abcdefghij", ["abcdefghij"]),
+    ("token: mouvement", []), ("the secret: everything counts", []), ("token: a8b7c6d5e4", ["a8b7c6d5e4"]),
+])
+def test_pii_secrets(text, found):
+    assert [text[a:b] for a, b, _, _ in pii.entities(text)] == found
+
+
+def test_pii_without_ids_and_with_shared_ones(docs):
+    rows = [(None, "mail a.b@c.com"), (None, "mail d.e@f.org or a.b@c.com"), (1, "mail a.b@c.com"), (1, "call 468-555-0333"), (1, "nothing")]
+    got = pii.with_surrogates(docs(rows), b"k", count_col="n").collect()
+    assert len(got) == 5 and not any(x in r.text for r in got for x in ("a.b@c.com", "d.e@f.org", "468-555-0333"))
+    assert len({m for r in got for m in re.findall(r"\S+@\S+", r.text)}) == 2
+    assert sorted(r.n for r in got) == [0, 1, 1, 1, 2]  # in place of the column n that is there already
+    with pytest.raises(ValueError, match="text"):
+        pii.with_surrogates(docs(rows), b"k", count_col="text")
+
+
+def test_pii_against_brute_force(docs):
+    """Every mention has one surrogate in all texts, two values never share one, and what lies between mentions is untouched."""
+    rng = random.Random(5)
+    values = [f"{prose(rng, 1)}.{i}@mail{i % 3}.example.com" for i in range(30)] + [f"10.{rng.randrange(256)}.{rng.randrange(256)}.{i}" for i in range(30)]
+    values += [f"{rng.randrange(200, 999)}-555-{i:04d}" for i in range(30)] + [f"AKIA{i:016d}" for i in range(10)]
+    rows = [(i if i % 4 else None, " , ".join(rng.choice(values) if rng.random() < 0.4 else prose(rng, 3) for _ in range(rng.randrange(1, 40)))) for i in range(80)]
+    got = pii.with_surrogates(docs([(i, t) for i, t in rows]).withColumn("place", F.monotonically_increasing_id()), b"k").orderBy("place").collect()
+    forward, back = {}, {}
+    for (_, old), row in zip(rows, got, strict=True):
+        a, b = old.split(" , "), row.text.split(" , ")
+        assert len(a) == len(b)
+        for x, y in zip(a, b, strict=True):
+            if x in values:
+                assert forward.setdefault(x, y) == y and back.setdefault(y, x) == x and y not in values
+            else:
+                assert x == y
+
+
+def test_pipeline_without_ids(docs, spark, tmp_path):
+    """Rows without an id, with a shared id, and columns that clash: no stage crashes, clean texts stay, data is replaced."""
+    import corpus_pipeline
+
+    rng = random.Random(10)
+    rows = [(i, prose(rng, 60) + (" utter grumble fool" if i % 5 == 0 else "")) for i in range(60)] + [(None, prose(rng, 40)), (None, "mail a.b@c.com " + prose(rng, 40)), (7, prose(rng, 50)), (None, None)]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, 2, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, node long, kind int, canon string")
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, folder)
+        assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars", "node", "kind", "canon"], name
+    kept = frame.collect()
+    assert not any("a.b@c.com" in (r.text or "") for r in kept)
+    assert {r.doc_id for r in kept} >= {i for i in range(60) if i % 5}
+    assert sum(r.doc_id is None for r in kept) == 3 and sum(r.doc_id == 7 for r in kept) == 2

@@ -4,7 +4,7 @@ Every distinct (kind, canonical value) of the corpus has one surrogate everywher
 one. Names of persons are linked within a text: family names after a title to the titled full form, and that form again
 without its title. Surrogates are checked against each other and against all real values, and the losers of a collision
 are drawn again until none is left, so distinct values stay distinct. Texts without a trigger sign are passed on without
-a shuffle; the others meet their own surrogates by a join on the id.
+a shuffle; the others meet their own surrogates by a join on the text's hash, whatever their ids.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import doc_texts, write_table
+from tidemark.llm.common import write_table
 
 # Titles by gender, given names by gender and script, syllables of family names by script.
 TITLES = {
@@ -47,11 +47,12 @@ SYLLABLES = {
 
 _titles = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _gender = {t.rstrip("."): g for g, ts in TITLES.items() for t in ts}
-_upper = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ"
-_name = rf"[{_upper}][^\W\d_]+(?:[-'][{_upper}][^\W\d_]+)?"
+_upper = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ" + "".join(chr(c) for c in range(0x100, 0x250) if chr(c).isupper())
+_part = rf"(?:[{_upper}]['’])?[{_upper}][^\W\d_]+"
+_name = rf"{_part}(?:[-'’]{_part})*"
 _entity = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]))"
-    r"|(?P<secret>(?i:(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[:=]\s?[\"']?)(?P<value>[A-Za-z0-9+/_-]{8,}))"
+    r"|(?P<secret>(?P<sign>(?i:(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[:=]\s?[\"']?))(?P<value>[A-Za-z0-9+/_-]{8,}))"
     r"|(?P<key>(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\w)\(\d{3}\) \d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-]))"
@@ -84,10 +85,15 @@ def _script(text: str) -> str:
     return "cyrillic" if "Ѐ" <= ch <= "ӿ" else "greek" if "Ͱ" <= ch <= "Ͽ" else "latin"
 
 
-def _whole(names: list[str]) -> re.Pattern:
-    """Full names as written, in capitals or capitalised, the longest first."""
-    forms = {f for n in names for f in (n, n.upper(), " ".join(w.capitalize() for w in n.split(" ")))}
-    return re.compile(r"(?<!\w)(?:" + "|".join(re.escape(f).replace(r"\ ", r"\s+") for f in sorted(forms, key=lambda f: (-len(f), f))) + r")(?!\w)")
+def _whole(names: list[tuple[str, str]]) -> tuple[re.Pattern, dict[str, str]]:
+    """A pattern of full names (as written, canonical), in capitals or capitalised too, the longest first; and whose each form is."""
+    forms: dict[str, str] = {}
+    for name, who in names:
+        plain = " ".join(name.split())
+        for f in (plain, plain.upper(), " ".join(w.capitalize() for w in plain.split(" "))):
+            forms.setdefault(f, who)
+    each = "|".join(re.escape(f).replace(r"\ ", r"\s+") for f in sorted(forms, key=lambda f: (-len(f), f)))
+    return re.compile(rf"(?<!\w)(?:{each})(?!\w)"), forms
 
 
 def _linked(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
@@ -136,11 +142,12 @@ def _linked(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int
     if full:
         taken = list(out)
         starts = [x[0] for x in taken]
-        for m in _whole([text[a:b] for a, b, kind, canon in found if kind == "name" and " " in canon.partition(" ")[2]]).finditer(text):
+        pattern, whose = _whole([(text[a:b], canon.partition(" ")[2]) for a, b, kind, canon in found if kind == "name" and " " in canon.partition(" ")[2]])
+        for m in pattern.finditer(text):
             i = bisect_right(starts, m.start())
             if (i and taken[i - 1][1] > m.start()) or (i < len(taken) and taken[i][0] < m.end()):
                 continue
-            who = " ".join(m[0].lower().split())
+            who = whose[" ".join(m[0].split())]
             near = forms[who.rsplit(" ", 1)[1]]
             own = [f for f in near if f[2] == who]
             g = next((f[1] for f in reversed(own) if f[0] < m.start()), own[0][1])
@@ -171,8 +178,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                     canon = f"{_gender[m['title'].rstrip('.')]} {value.lower()}"
                 else:
                     canon = value
-                if kind == "secret" and value.isalpha():
-                    continue
+                if kind == "secret" and value.isalpha() and "=" not in m["sign"] and m["sign"][0] not in "pP":
+                    continue  # "the secret: everything" is prose; a value that is assigned, or follows a word for a password, is not
                 out.append((at + m.start(group), at + m.end(group), kind, canon))
         at += len(line) + 1
     return _linked(text, out)
@@ -257,15 +264,11 @@ def dressed(kind: str, original: str, canon: str) -> str:
 
 def _entity_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = {
-            (i, kind, canon)
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
-            for _, _, kind, canon in entities(t.as_py())
-        }
-        columns = list(zip(*sorted(rows, key=str), strict=True)) or [(), (), ()]
+        rows = {(i, kind, canon) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for _, _, kind, canon in entities(t.as_py())}
+        columns = list(zip(*sorted(rows), strict=True)) or [(), (), ()]
         yield pa.record_batch(
             [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())],
-            names=["doc_id", "kind", "canon"],
+            names=["text_hash", "kind", "canon"],
         )
 
 
@@ -300,28 +303,35 @@ def surrogate_table(found: DataFrame, key: bytes, max_rounds: int = 64) -> DataF
     raise RuntimeError("surrogates still collide")
 
 
-def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text", id_col: str = "doc_id", count_col: str | None = None) -> DataFrame:
-    """docs with every entity of text_col replaced; count_col, if named, gets the number of mentions replaced.
+def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """docs with every entity of text_col replaced; count_col, if named, is the number of mentions replaced, in place of any such column.
 
-    Null texts stay null and empty ones empty. Rows that repeat an id are rewritten each. All other columns are kept as
-    they are, whatever their names, but n_chars follows the new text. An empty table gives an empty one.
+    Null texts stay null and empty ones empty. Rows are rewritten by their texts alone, so a row without an id or with another's
+    is rewritten like any other. All other columns are kept as they are, whatever their names, but n_chars follows the new
+    text. An empty table gives an empty one. Raises where surrogates still collide after many rounds.
     """
-    texts = doc_texts(docs, id_col, text_col).where(has_trigger(F.col("text")))
-    found = write_table(texts.mapInArrow(_entity_rows, "doc_id long, kind string, canon string"), "entities")
+    if count_col is not None:
+        if count_col.lower() == text_col.lower():
+            raise ValueError("the count would replace the text")
+        docs = docs.drop(*[c for c in docs.columns if c.lower() == count_col.lower()])
+    text_hash = F.xxhash64(F.col(f"`{text_col}`"))
+    triggered = F.coalesce(has_trigger(F.col(f"`{text_col}`")), F.lit(False))
+    texts = docs.where(triggered).select(text_hash.alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
+    found = write_table(texts.mapInArrow(_entity_rows, "text_hash long, kind string, canon string"), "entities")
     table = surrogate_table(found, key)
     used = {c.lower() for c in docs.columns}
     spare = next(n for i in range(len(used) + 1) if (n := f"surrogates_{i}") not in used)
+    # Texts of one hash would share their surrogates, which changes no text.
     own = (
-        found.join(table, ["kind", "canon"])
-        .groupBy(F.col("doc_id").alias(f"{spare}_id"))
+        found.distinct().join(table, ["kind", "canon"])
+        .groupBy(F.col("text_hash").alias(f"{spare}_hash"))
         .agg(F.collect_list(F.struct("kind", "canon", "surrogate")).alias(spare))
-    )
+    )
     schema = T.StructType([*docs.schema.fields, *([T.StructField(count_col, T.LongType())] if count_col is not None else [])])
-    triggered = F.coalesce(has_trigger(F.col(f"`{text_col}`")), F.lit(False))
     clean = docs.where(~triggered)
     if count_col is not None:
         clean = clean.withColumn(count_col, F.lit(0).cast("long"))
-    joined = docs.where(triggered).join(own, F.col(f"`{id_col}`").cast("long") == F.col(f"{spare}_id"), "left").drop(f"{spare}_id")
+    joined = docs.where(triggered).join(own, text_hash == F.col(f"{spare}_hash"), "left").drop(f"{spare}_hash")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -327,7 +327,7 @@ def restored_texts(docs: DataFrame, speller: Speller) -> DataFrame:
 
 
 def held_out(column: str = "doc_id"):
-    return F.crc32(F.col(column).cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % 3 == 1, F.lit(False))
 
 
 def toxicity_models(docs: DataFrame, labels: DataFrame) -> tuple[Speller, Scorer]:
@@ -347,7 +347,8 @@ def toxicity_models(docs: DataFrame, labels: DataFrame) -> tuple[Speller, Scorer
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs.
 
-    Null and empty texts get the score of a text without features. Rows that repeat an id are scored each. With no
+    Null and empty texts get the score of a text without features. Rows that repeat an id are scored each; a row without
+    an id is scored, not held out, and has no label. With no
     labelled row, or labels of one kind only, every text gets the smoothed base rate. Extra columns are ignored.
     """
     speller, scorer = toxicity_models(docs, labels)
