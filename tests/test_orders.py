@@ -22,10 +22,10 @@ def test_target_orders_band_and_exit(spark):
     assert got == {1: 0, 2: 50, 3: -7}
 
 
-def test_entry_blocks(spark):
+def test_notice_blocks(spark):
     p = spark.createDataFrame([(1, i) for i in range(10)], "instrument_id long, pos long")
     a = spark.createDataFrame([(1, 1, "notice"), (1, 3, "notice"), (1, 5, "cancel"), (1, 8, "notice"), (1, 8, "cancel")], "instrument_id long, pos long, kind string")
-    got = [r.blocked for r in fundamentals.entry_blocks(a, p, 3).orderBy("pos").collect()]
+    got = [r.blocked for r in fundamentals.notice_blocks(a, p, 3).orderBy("pos").collect()]
     assert got == [False, True, True, True, True, False, False, False, False, False]
 
 

@@ -50,6 +50,11 @@ def kst_date(instant: Column) -> Column:
     return F.to_date(F.from_utc_timestamp(instant, KST))
 
 
+def decision_day(instant: Column, hour: int = 18) -> Column:
+    """The KST date whose decision, taken at an hour, an instant is known to: its own up to the hour itself, else the next."""
+    return F.to_date(F.from_utc_timestamp(instant, KST) + F.make_interval(hours=F.lit(24 - hour)) - F.expr("interval 1 microsecond"))
+
+
 def obs(partition: str = "instrument_id", order: str = "session") -> Window:
     """Window over observed rows."""
     return Window.partitionBy(partition).orderBy(order)

@@ -267,9 +267,11 @@ def revision_check(old: DataFrame, new: DataFrame, keys: list[str], value: str)
 def effective_position(decisions: DataFrame, calendar: DataFrame, open_hour: int) -> DataFrame:
     """decisions (pos, sealed_at) with the first later position whose open follows the seal, and whether that is late."""
     opens = calendar.select(F.col("pos").alias("effective"), (F.col("session").cast("timestamp") + F.make_interval(hours=F.lit(open_hour))).alias("open_at"))
-    starts = opens.withColumn("since", F.coalesce(F.lag("open_at").over(Window.orderBy("effective")), F.lit("1900-01-01").cast("timestamp")))
-    days = starts.withColumn("day", F.explode(F.sequence(F.to_date(F.greatest("since", F.col("open_at") - F.expr("interval 400 days"))), F.to_date("open_at"))))
-    d = decisions.withColumn("day", F.to_date("sealed_at"))
-    hit = d.join(days, "day").where((F.col("sealed_at") < F.col("open_at")) & (F.col("sealed_at") >= F.col("since")))
+    # Seals before the first open count as of its day: there is no earlier one that they could meet.
+    starts = opens.withColumn("since", F.lag("open_at").over(Window.orderBy("effective")))
+    days = starts.withColumn("day", F.explode(F.sequence(F.to_date(F.coalesce("since", "open_at")), F.to_date("open_at"))))
+    first = opens.agg(F.to_date(F.min("open_at")).alias("first_day"))
+    d = decisions.join(first).withColumn("day", F.greatest(F.to_date("sealed_at"), "first_day")).where("sealed_at is not null")
+    hit = d.join(days, "day").where((F.col("sealed_at") < F.col("open_at")) & (F.col("since").isNull() | (F.col("sealed_at") >= F.col("since"))))
     late = hit.withColumn("effective", F.greatest("effective", F.col("pos") + 1))
     return late.select(*[c for c in decisions.columns], "effective", (F.col("effective") > F.col("pos") + 1).alias("is_late"))

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.core import decision_day
 from tidemark.operators.evaluation import asof_targets
 
 
 def avail_index(rows: DataFrame, calendar: DataFrame, day: str) -> DataFrame:
-    """rows with avail_pos, the first calendar position on or after a day; those after the calendar's end are dropped."""
-    before = F.date_add(F.coalesce(F.lag("session").over(Window.orderBy("pos")), F.date_sub("session", 400)), 1)
-    days = calendar.withColumn("from_day", before).select(F.col("pos").alias("avail_pos"), F.explode(F.sequence("from_day", "session")).alias(day))
-    return rows.join(days, day)
+    """rows with avail_pos, the first calendar position on or after a day, which is 0 for all days before the calendar; those after
+    its end are dropped. A column of instants counts by the date whose decision at 18:00 KST knows it."""
+    before = F.coalesce(F.date_add(F.lag("session").over(Window.orderBy("pos")), 1), F.col("session"))
+    days = calendar.withColumn("from_day", before).select(F.col("pos").alias("avail_pos"), F.explode(F.sequence("from_day", "session")).alias("span_day"))
+    known = F.col(day) if dict(rows.dtypes)[day] == "date" else decision_day(F.col(day))
+    dated = rows.join(calendar.agg(F.min("session").alias("first_day"))).withColumn("span_day", F.greatest(known, "first_day")).drop("first_day")
+    return dated.where(F.col(day).isNotNull()).join(days, "span_day").drop("span_day")
 
 
 def quarter_complete(facts: DataFrame) -> DataFrame:
@@ -47,7 +51,7 @@ def fourth_from_annual(annual: DataFrame, quarters: DataFrame) -> DataFrame:
     return j.select("company_id", (F.col("year") * 4 + 3).alias("quarter"), (F.col("value") - F.col("three")).alias("value"), F.greatest("avail_pos", "p").alias("avail_pos"))
 
 
-def entry_blocks(actions: DataFrame, positions: DataFrame, cap: int) -> DataFrame:
+def notice_blocks(actions: DataFrame, positions: DataFrame, cap: int) -> DataFrame:
     """Positions of an instrument blocked by notices: each blocks for cap positions, cut by a later cancellation.
 
     actions: (instrument_id, pos, kind) with kind notice or cancel. A notice while blocked renews the block.

@@ -11,17 +11,19 @@ def effective_availability(facts: DataFrame, calendar: DataFrame, published: str
     first session after it; facts that no session follows are dropped."""
     own = F.when(F.col(receipt).rlike(r"^\d{14}$"), F.try_to_timestamp(F.substring(receipt, 1, 8), F.lit("yyyyMMdd")).cast("date"))
     day = F.greatest(F.col(published), F.coalesce(own, F.col(published)))
-    # A session follows the days from the one before it on.
-    after = calendar.withColumn("from_day", F.coalesce(F.lag("session").over(Window.orderBy("pos")), F.date_sub("session", 400)))
-    spans = after.select(F.col("pos").alias("avail_pos"), F.explode(F.sequence("from_day", F.date_sub("session", 1))).alias("effective_day"))
-    return facts.withColumn("effective_day", day).join(F.broadcast(spans), "effective_day")
+    # A session follows the days from the one before it on; the first one follows all days before it.
+    after = calendar.withColumn("from_day", F.coalesce(F.lag("session").over(Window.orderBy("pos")), F.date_sub("session", 1)))
+    spans = after.select(F.col("pos").alias("avail_pos"), F.explode(F.sequence("from_day", F.date_sub("session", 1))).alias("span_day"))
+    first = calendar.agg(F.date_sub(F.min("session"), 1).alias("first_day"))
+    dated = facts.withColumn("effective_day", day).join(first).withColumn("span_day", F.greatest("effective_day", "first_day")).drop("first_day")
+    return dated.where("effective_day is not null").join(spans, "span_day").drop("span_day")
 
 
 def fact_quarantine(facts: DataFrame, filing: list[str], trusted: Column) -> tuple[DataFrame, DataFrame]:
-    """(trusted facts, one row without value for each filing that has no trusted fact)."""
-    sound = facts.where(F.coalesce(trusted, F.lit(False)))
-    unsound = facts.where(~F.coalesce(trusted, F.lit(False))).groupBy(*filing).agg(F.max("avail_pos").alias("avail_pos"))
-    return sound, unsound.join(sound.select(*filing).distinct(), filing, "left_anti")
+    """(trusted facts, one row without value for each filing that has no trusted fact, at the last of its facts' positions)."""
+    ok = F.coalesce(trusted, F.lit(False))
+    unsound = facts.groupBy(*filing).agg(F.max("avail_pos").alias("avail_pos"), F.max(ok).alias("any"), F.count("*").alias("facts"))
+    return facts.where(ok), unsound.where("not any").drop("any")
 
 
 def quarantine_to_events(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -38,11 +40,11 @@ def superseded_filter(rows: DataFrame, listed: DataFrame, column: str) -> tuple[
 
 
 def preferred_versions(facts: DataFrame) -> DataFrame:
-    """All versions of facts on the preferred basis: consolidated wherever a company's quarter has any such fact.
+    """All versions of facts on the preferred basis: consolidated wherever that fact of a company's quarter ever has such a version.
 
     facts: (company_id, quarter, fact, basis, avail_pos, version, value). Of versions of one position the last one stays.
     """
-    own = Window.partitionBy("company_id", "quarter")
+    own = Window.partitionBy("company_id", "quarter", "fact")
     kept = facts.withColumn("any_consolidated", F.max((F.col("basis") == "consolidated").cast("int")).over(own))
     kept = kept.where((F.col("any_consolidated") == 0) | (F.col("basis") == "consolidated"))
     last = kept.groupBy("company_id", "quarter", "fact", "avail_pos").agg(F.max(F.struct("version", "value", "basis")).alias("last"))
@@ -107,7 +109,7 @@ def release_steps(releases: DataFrame, metrics: list[str]) -> DataFrame:
 def best_earnings(filed: DataFrame, released: DataFrame) -> DataFrame:
     """Per cell the filing where its quarter is not older than the release's, else the release; of equal quarters the earlier known counts.
 
-    filed and released: (company_id, pos, quarter, known_pos, value).
+    filed and released: (company_id, pos, quarter, known_pos, value), each with what it shows at the cells (asof_steps).
     """
     j = filed.alias("f").join(released.alias("r"), ["company_id", "pos"], "full")
     use_filing = F.col("r.quarter").isNull() | (F.col("f.quarter") >= F.col("r.quarter"))
@@ -117,10 +119,17 @@ def best_earnings(filed: DataFrame, released: DataFrame) -> DataFrame:
     return j.select("company_id", "pos", *[c.alias(n) for n, c in pick.items()], known.alias("known_pos"), F.when(use_filing, "filing").otherwise("release").alias("origin"))
 
 
+def newest_steps(facts: DataFrame) -> DataFrame:
+    """Steps of the largest quarter known so far: (company_id, pos, quarter, known_pos, value) of facts (company_id, quarter, avail_pos, value)."""
+    upto = Window.partitionBy("company_id").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
+    at = facts.groupBy("company_id", F.col("avail_pos").alias("pos")).agg(F.max(F.struct("quarter", F.col("avail_pos").alias("known_pos"), "value")).alias("x"))
+    return at.withColumn("x", F.max("x").over(upto)).select("company_id", "pos", "x.*")
+
+
 def value_features(cells: DataFrame) -> DataFrame:
-    """bm, ep, roe, opa, gpa, sue, asset_g, accrual and sales_g of cells with shown facts; NULL where they are older than two quarters.
+    """bm, ep, roe, opa, gpa, sue_op, sue_ni, asset_g, accrual and sales_g of cells with shown facts; NULL where they are older than two quarters.
 
-    cells: (..., mcap, age, equity, assets, ni, ni_ly, op, gross, ocf, sales, sales_ly, assets_ly).
+    cells: (..., mcap, age, equity, assets, ni, ni_ly, op, op_ly, gross, ocf, sales, sales_ly, assets_ly).
     """
     fresh = F.col("age") <= 2
 
@@ -131,7 +140,7 @@ def value_features(cells: DataFrame) -> DataFrame:
 
     return cells.withColumns({
         "bm": ratio("equity", "mcap"), "ep": ratio("ni", "mcap"), "roe": ratio("ni", "equity"), "opa": ratio("op", "assets"), "gpa": ratio("gross", "assets"),
-        "sue_ni": ratio(F.col("ni") - F.col("ni_ly"), "mcap"), "asset_g": ratio(F.col("assets") - F.col("assets_ly"), "assets_ly"),
+        "sue_op": ratio(F.col("op") - F.col("op_ly"), "mcap"), "sue_ni": ratio(F.col("ni") - F.col("ni_ly"), "mcap"), "asset_g": ratio(F.col("assets") - F.col("assets_ly"), "assets_ly"),
         "accrual": ratio(F.col("ni") - F.col("ocf"), "assets"), "sales_g": ratio(F.col("sales") - F.col("sales_ly"), F.abs("sales_ly")),
     })
 

@@ -109,22 +109,35 @@ def combine_sleeves(decisions: DataFrame, positions: DataFrame, sleeves: int) ->
     return spans.join(own, ["sleeve", "decided"]).groupBy("pos", "instrument_id").agg((F.sum("weight") / sleeves).alias("weight"))
 
 
-def capture_symbols(weights: DataFrame, limit: int) -> DataFrame:
-    """Per position the names to watch: by the size of the weight's change from the position before, then by weight, up to limit.
+def capture_symbols(weights: DataFrame, held: DataFrame, limit: int) -> DataFrame:
+    """Per decision the names to watch, up to limit: those whose weight changes, by the size of the change, then unchanged held ones by weight.
 
-    A limit that is the feature: capture has a fixed number of slots.
+    weights: (pos, instrument_id, weight), compared with those of the decision before, whatever its position; held: (pos,
+    instrument_id). Ties go by name. A limit that is the feature: capture has a fixed number of slots.
     """
-    before = weights.select((F.col("pos") + 1).alias("pos"), "instrument_id", F.col("weight").alias("was"))
-    j = weights.join(before, ["pos", "instrument_id"], "full").na.fill(0.0, ["weight", "was"]).withColumn("change", F.abs(F.col("weight") - F.col("was")))
-    rank = F.row_number().over(Window.partitionBy("pos").orderBy(F.desc("change"), F.desc("weight"), "instrument_id"))
+    days = weights.select("pos").distinct()
+    after = days.select(F.col("pos").alias("was_pos"), F.lead("pos").over(Window.orderBy("pos")).alias("pos")).where("pos is not null")
+    before = weights.withColumnRenamed("pos", "was_pos").join(after, "was_pos").select("pos", "instrument_id", F.col("weight").alias("was"))
+    owned = held.select("pos", "instrument_id", F.lit(True).alias("held")).distinct().join(days, "pos")
+    j = weights.join(before, ["pos", "instrument_id"], "full").join(owned, ["pos", "instrument_id"], "full").na.fill(0.0, ["weight", "was"])
+    j = j.withColumn("change", F.abs(F.col("weight") - F.col("was"))).where("change <> 0 or held")
+    still = F.col("change") == 0
+    rank = F.row_number().over(Window.partitionBy("pos").orderBy(F.desc("change"), F.when(still, -F.col("weight")), "instrument_id"))
     return j.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
 def overlay_fractions(signals: DataFrame, cap: float, target: float, most: float) -> DataFrame:
-    """signals (..., signal, vol) with the volatility scale and, for a negative signal, the hedge fraction."""
+    """signals (..., signal, vol) with the trend signal, its volatility scale and, for a negative signal, the hedge fraction.
+
+    Where the volatility is unknown the trend signal is 0 and the scale 1, and nothing is hedged; without volatility the
+    scale is 1 and the hedge at its most.
+    """
+    vol, signal = F.col("vol"), F.coalesce("signal", F.lit(0.0))
+    size = F.when(vol <= 0, F.lit(most)).otherwise(F.least(F.lit(most), target / vol))
     return signals.withColumns({
-        "vol_scale": F.when(F.col("vol") > 0, F.least(F.lit(1.0), cap / F.col("vol"))),
-        "regime_fraction": F.when((F.col("signal") < 0) & (F.col("vol") > 0), F.least(F.lit(most), target / F.col("vol")) * F.abs("signal")).otherwise(0.0),
+        "trend_signal": F.when(vol.isNull(), 0.0).otherwise(signal),
+        "vol_scale": F.when(vol > cap, cap / vol).otherwise(1.0),
+        "regime_fraction": F.when((signal < 0) & vol.isNotNull(), size * F.abs(signal)).otherwise(0.0),
     })
 
 

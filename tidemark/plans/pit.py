@@ -15,7 +15,7 @@ from tidemark.operators import sleeves as W
 from tidemark.plans.evaluation import S, streams
 from tidemark.sources import tables as T
 
-NAMES = ["equity", "assets", "ni", "sales", "ocf"]
+NAMES = ["equity", "assets", "ni", "sales", "ocf", "op", "gross"]
 
 
 def _calendar(spark, sf_dir):
@@ -27,9 +27,9 @@ def _raw(spark, sf_dir):
     day = F.to_date("o_orderdate")
     return o.select(
         F.expr("o_custkey div 20").alias("company_id"), (F.year(day) * 4 + F.quarter(day) - 1).cast("long").alias("quarter"),
-        F.element_at(F.array(*map(F.lit, NAMES)), F.substring("o_orderpriority", 1, 1).cast("int")).alias("fact"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("value"),
+        F.element_at(F.array(*map(F.lit, NAMES)), (1 + F.col("o_orderkey") % 7).cast("int")).alias("fact"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("value"),
         F.when(F.col("o_orderstatus") == "F", "consolidated").otherwise("separate").alias("basis"), (F.col("o_orderstatus") != "P").alias("trusted"), F.date_add(day, 30).alias("published"),
-        F.concat(F.date_format(F.expr("date_add(to_date(o_orderdate), cast(o_orderkey % 60 as int))"), "yyyyMMdd"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0")).alias("receipt"),
+        (F.col("o_orderkey") % 3).alias("filing"), F.concat(F.date_format(F.expr("date_add(to_date(o_orderdate), cast(o_orderkey % 60 as int))"), "yyyyMMdd"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0")).alias("receipt"),
     )
 
 
@@ -46,7 +46,8 @@ def effective_availability(spark, sf_dir):
 
 
 def fact_quarantine(spark, sf_dir):
-    return K.fact_quarantine(_known(spark, sf_dir), ["company_id", "quarter", "fact"], F.col("trusted"))[1]
+    """Filings of several facts, none of them trusted."""
+    return K.fact_quarantine(_known(spark, sf_dir), ["company_id", "quarter", "filing"], F.col("trusted"))[1]
 
 
 def quarantine_events(spark, sf_dir):
@@ -76,14 +77,15 @@ def asof_fundamentals(spark, sf_dir):
     return K.asof_steps(steps, _cells(spark, sf_dir), "company_id").where("quarter is not null")
 
 
-def _releases(spark, sf_dir):
+def _releases(spark, sf_dir, which="true"):
     """Versions of two facts on any basis, as early releases."""
-    return _known(spark, sf_dir).where("fact in ('ni', 'sales')").groupBy("company_id", "quarter", F.col("fact").alias("metric"), "avail_pos").agg(F.max_by("value", "version").alias("value"))
+    return _known(spark, sf_dir).where("fact in ('ni', 'sales')").where(which).groupBy("company_id", "quarter", F.col("fact").alias("metric"), "avail_pos").agg(F.max_by("value", "version").alias("value"))
 
 
 def earnings_releases(spark, sf_dir):
-    r = _known(spark, sf_dir).where("fact in ('ni', 'sales')").withColumn("value", F.when(F.col("version") % 9 != 0, F.col("value")))
-    return K.release_versions(r, ["company_id", "quarter", "fact", "published"], "version", ["value"])
+    """Two values of a filing version and metric, and the session that first knows it; a third of rows lack one value, some both."""
+    r = _known(spark, sf_dir).where("fact in ('ni', 'sales')").withColumn("prior_value", F.when(F.col("version") % 2 == 0, F.col("value") / 2)).withColumn("value", F.when(F.col("version") % 3 != 0, F.col("value")))
+    return K.release_versions(r, ["company_id", "quarter", "fact", "published", "effective_day", "avail_pos"], "version", ["value", "prior_value"])
 
 
 def asof_releases(spark, sf_dir):
@@ -91,10 +93,12 @@ def asof_releases(spark, sf_dir):
 
 
 def best_earnings(spark, sf_dir):
-    r = K.release_steps(_releases(spark, sf_dir).where("metric = 'ni'"), ["ni"]).select("company_id", "pos", "quarter", "known_pos", F.col("ni").alias("value"))
-    f = _facts(spark, sf_dir).where("fact = 'ni'").select("company_id", F.col("avail_pos").alias("pos"), "quarter", F.col("avail_pos").alias("known_pos"), "value")
-    f = f.groupBy("company_id", "pos").agg(F.max(F.struct("quarter", "known_pos", "value")).alias("x")).select("company_id", "pos", "x.*")
-    return K.best_earnings(f, r)
+    """What each company shows at each session, of filings and early releases; releases are those of every second order."""
+    cells = _cells(spark, sf_dir)
+    r = K.release_steps(_releases(spark, sf_dir, "version % 2 = 0").where("metric = 'ni'"), ["ni"]).select("company_id", "pos", "quarter", "known_pos", F.col("ni").alias("value"))
+    f = K.newest_steps(_facts(spark, sf_dir).where("fact = 'ni'"))
+    shown = [K.asof_steps(x, cells, "company_id").where("quarter is not null") for x in (f, r)]
+    return K.best_earnings(*shown)
 
 
 def _show(c: str):
@@ -104,8 +108,8 @@ def _show(c: str):
 def value_features(spark, sf_dir):
     steps = K.fact_steps(_facts(spark, sf_dir), NAMES)
     cells = steps.join(F.broadcast(_calendar(spark, sf_dir)), "pos").withColumn("age", F.year("session") * 4 + F.quarter("session") - 1 - F.col("quarter"))
-    cells = cells.withColumn("mcap", (F.col("company_id") + 1) * 1_000_000.0).withColumn("op", F.col("ni")).withColumn("gross", F.col("sales"))
-    return K.value_features(cells).select("company_id", "pos", *map(_show, ("bm", "ep", "roe", "opa", "gpa", "sue_ni", "asset_g", "accrual", "sales_g")))
+    cells = cells.withColumn("mcap", (F.col("company_id") + 1) * 1_000_000.0)
+    return K.value_features(cells).select("company_id", "pos", *map(_show, ("bm", "ep", "roe", "opa", "gpa", "sue_op", "sue_ni", "asset_g", "accrual", "sales_g")))
 
 
 def announcement_features(spark, sf_dir):
@@ -218,13 +222,16 @@ def combine_sleeves(spark, sf_dir):
 
 def capture_symbols(spark, sf_dir):
     w = W.trend_weights(_picks(spark, sf_dir), 5, "redistribute").select("pos", "instrument_id", "weight")
-    return W.capture_symbols(w, 4).select("pos", "instrument_id", F.col("rank").cast("long").alias("rank"), _show("change"))
+    held = _picks(spark, sf_dir).where("instrument_id % 3 = 0").select((F.col("pos") + 1).alias("pos"), "instrument_id")
+    return W.capture_symbols(w, held, 6).select("pos", "instrument_id", F.col("rank").cast("long").alias("rank"), _show("change"))
 
 
 def overlay_fractions(spark, sf_dir):
+    """Volatility of the last twenty returns, unknown with fewer, and zero in one stream."""
     w = Window.partitionBy("instrument_id").orderBy("pos").rowsBetween(-19, 0)
-    s = streams(spark, sf_dir).withColumn("vol", F.stddev_pop("log_return").over(w) * 100).withColumn("signal", F.signum("log_return"))
-    return W.overlay_fractions(s, 0.3, 0.2, 0.5).select("instrument_id", "pos", _show("vol_scale"), _show("regime_fraction"))
+    vol = F.when(F.count("log_return").over(w) == 20, F.when(F.col("instrument_id") == 3, 0.0).otherwise(F.stddev_pop("log_return").over(w) * 100))
+    s = streams(spark, sf_dir).withColumn("vol", vol).withColumn("signal", F.when(F.col("pos") % 17 != 0, F.signum("log_return")))
+    return W.overlay_fractions(s, 0.3, 0.2, 0.5).select("instrument_id", "pos", _show("trend_signal"), _show("vol_scale"), _show("regime_fraction"))
 
 
 def causality_check(spark, sf_dir):
@@ -249,18 +256,18 @@ QUERIES = {f.__name__: f for f in (
 CAL = "cal0 AS (SELECT session, CAST(row_number() OVER (ORDER BY session) - 1 AS BIGINT) AS pos FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS session FROM lineitem))"
 RAW = f"""{CAL}, rw AS (
   SELECT o_custkey // 20 AS company_id, CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS BIGINT) AS quarter,
-    list_extract(['equity', 'assets', 'ni', 'sales', 'ocf'], CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) AS fact, o_orderkey AS version, o_totalprice AS value,
-    CASE WHEN o_orderstatus = 'F' THEN 'consolidated' ELSE 'separate' END AS basis, o_orderstatus <> 'P' AS trusted, CAST(o_orderdate AS DATE) + 30 AS published,
+    list_extract(['equity', 'assets', 'ni', 'sales', 'ocf', 'op', 'gross'], CAST(1 + o_orderkey % 7 AS INTEGER)) AS fact, o_orderkey AS version, o_totalprice AS value,
+    CASE WHEN o_orderstatus = 'F' THEN 'consolidated' ELSE 'separate' END AS basis, o_orderstatus <> 'P' AS trusted, o_orderkey % 3 AS filing, CAST(o_orderdate AS DATE) + 30 AS published,
     CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 AS INTEGER) AS receipt_day FROM orders),
 kn AS (
   SELECT r.*, greatest(published, receipt_day) AS effective_day, c.pos AS avail_pos
   FROM rw r ASOF JOIN (SELECT session - 1 AS due, session, pos FROM cal0) c ON greatest(published, receipt_day) <= c.due)"""
-VERSIONS = f"""{RAW}, pf AS (SELECT *, bool_or(basis = 'consolidated') OVER (PARTITION BY company_id, quarter) AS any_c FROM kn),
+VERSIONS = f"""{RAW}, pf AS (SELECT *, bool_or(basis = 'consolidated') OVER (PARTITION BY company_id, quarter, fact) AS any_c FROM kn),
 vs AS (SELECT company_id, quarter, fact, avail_pos, version, value, basis FROM pf WHERE NOT any_c OR basis = 'consolidated'
   QUALIFY row_number() OVER (PARTITION BY company_id, quarter, fact, avail_pos ORDER BY version DESC) = 1)"""
 FACTS = f"""{VERSIONS}, qf AS (SELECT company_id, quarter, fact, avail_pos, value FROM vs
   QUALIFY row_number() OVER (PARTITION BY company_id, quarter, fact ORDER BY avail_pos DESC, version DESC) = 1)"""
-_NAMES = ("equity", "assets", "ni", "sales", "ocf")
+_NAMES = tuple(NAMES)
 STEPS = f"""{FACTS}, wh AS (SELECT company_id, quarter, max(avail_pos) AS known FROM qf GROUP BY ALL),
 ch AS (SELECT DISTINCT company_id, avail_pos AS pos FROM qf),
 sp AS (SELECT ch.company_id, pos, max(quarter) AS quarter FROM ch JOIN wh ON wh.company_id = ch.company_id AND known <= pos GROUP BY ALL),
@@ -296,7 +303,7 @@ FLOWS = """fl AS (SELECT l_suppkey AS instrument_id, CAST(l_shipdate AS DATE) AS
 
 SQL = {
     "effective_availability": f"WITH {RAW} SELECT company_id, version, effective_day, avail_pos FROM kn",
-    "fact_quarantine": f"""WITH {RAW} SELECT company_id, quarter, fact, max(avail_pos) AS avail_pos FROM kn GROUP BY ALL HAVING NOT bool_or(trusted)""",
+    "fact_quarantine": f"""WITH {RAW} SELECT company_id, quarter, filing, max(avail_pos) AS avail_pos, count(*) AS facts FROM kn GROUP BY ALL HAVING NOT bool_or(trusted)""",
     "quarantine_events": f"""WITH {RAW} SELECT company_id, quarter, avail_pos, published, version, 'unresolved' AS state FROM kn WHERE NOT trusted
 QUALIFY row_number() OVER (PARTITION BY company_id, quarter ORDER BY avail_pos DESC, published DESC, version DESC) = 1""",
     "superseded_filter": """WITH l AS (SELECT c_custkey * 11 AS v FROM customer)
@@ -305,17 +312,23 @@ SELECT 'kept' AS what, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT
     "quarter_facts": f"WITH {FACTS} SELECT * FROM qf",
     "asof_fundamentals": f"""WITH {STEPS}, ce AS (SELECT company_id, pos FROM (SELECT DISTINCT company_id FROM qf), cal0)
 SELECT ce.company_id, ce.pos, st.* EXCLUDE (company_id, pos) FROM ce ASOF JOIN st ON ce.company_id = st.company_id AND ce.pos >= st.pos""",
-    "earnings_releases": f"""WITH {RAW} SELECT company_id, quarter, fact, published, min(version) AS version, arg_min(value, version) AS value FROM kn WHERE fact IN ('ni', 'sales') AND version % 9 <> 0 GROUP BY ALL""",
+    "earnings_releases": f"""WITH {RAW} SELECT company_id, quarter, fact, published, effective_day, avail_pos, version, CASE WHEN version % 3 <> 0 THEN value END AS value,
+CASE WHEN version % 2 = 0 THEN value / 2 END AS prior_value FROM kn WHERE fact IN ('ni', 'sales') AND (version % 3 <> 0 OR version % 2 = 0)
+QUALIFY row_number() OVER (PARTITION BY company_id, quarter, fact, published, effective_day ORDER BY version) = 1""",
     "asof_releases": f"WITH {RELEASES}, {_release_steps(('ni', 'sales'))} SELECT * FROM rs",
-    "best_earnings": f"""WITH {FACTS}, rl AS (SELECT company_id, quarter, fact AS metric, avail_pos, arg_max(value, version) AS value FROM kn WHERE fact = 'ni' GROUP BY ALL), {_release_steps(("ni",))},
-f AS (SELECT company_id, avail_pos AS pos, quarter, avail_pos AS known_pos, value FROM qf WHERE fact = 'ni' QUALIFY row_number() OVER (PARTITION BY company_id, avail_pos ORDER BY quarter DESC) = 1),
+    "best_earnings": f"""WITH {FACTS}, rl AS (SELECT company_id, quarter, fact AS metric, avail_pos, arg_max(value, version) AS value FROM kn WHERE fact = 'ni' AND version % 2 = 0 GROUP BY ALL), {_release_steps(("ni",))},
+ce AS (SELECT company_id, pos FROM (SELECT DISTINCT company_id FROM qf), cal0),
+fs AS (SELECT a.company_id, a.pos, arg_max(b.value, b.quarter) AS value, max(b.quarter) AS quarter, arg_max(b.avail_pos, b.quarter) AS known_pos
+  FROM (SELECT DISTINCT company_id, avail_pos AS pos FROM qf WHERE fact = 'ni') a JOIN qf b ON b.company_id = a.company_id AND b.avail_pos <= a.pos AND b.fact = 'ni' GROUP BY ALL),
+f AS (SELECT ce.company_id, ce.pos, quarter, known_pos, value FROM ce ASOF JOIN fs ON ce.company_id = fs.company_id AND ce.pos >= fs.pos),
+rr AS (SELECT ce.company_id, ce.pos, quarter, known_pos, ni FROM ce ASOF JOIN rs ON ce.company_id = rs.company_id AND ce.pos >= rs.pos),
 j AS (SELECT coalesce(f.company_id, rs.company_id) AS company_id, coalesce(f.pos, rs.pos) AS pos, f.quarter AS fq, f.known_pos AS fk, f.value AS fv, rs.quarter AS rq, rs.known_pos AS rk, rs.ni AS rv,
-  f.quarter IS NOT NULL AND (rs.quarter IS NULL OR f.quarter >= rs.quarter) AS use FROM f FULL JOIN rs ON f.company_id = rs.company_id AND f.pos = rs.pos)
+  f.quarter IS NOT NULL AND (rs.quarter IS NULL OR f.quarter >= rs.quarter) AS use FROM f FULL JOIN rr rs ON f.company_id = rs.company_id AND f.pos = rs.pos)
 SELECT company_id, pos, CASE WHEN use THEN fq ELSE rq END AS quarter, CASE WHEN use THEN fv ELSE rv END AS value,
   CASE WHEN fq = rq THEN least(fk, rk) WHEN use THEN fk ELSE rk END AS known_pos, CASE WHEN use THEN 'filing' ELSE 'release' END AS origin FROM j""",
     "value_features": f"""WITH {STEPS}, vf AS (SELECT st.*, year(session) * 4 + quarter(session) - 1 - quarter AS age, (company_id + 1) * 1000000.0::DOUBLE AS mcap FROM st JOIN cal0 USING (pos))
-SELECT company_id, pos, {_c(_ratio("equity", "mcap"), "bm")}, {_c(_ratio("ni", "mcap"), "ep")}, {_c(_ratio("ni", "equity"), "roe")}, {_c(_ratio("ni", "assets"), "opa")},
-  {_c(_ratio("sales", "assets"), "gpa")}, {_c(_ratio("ni - ni_ly", "mcap"), "sue_ni")}, {_c(_ratio("assets - assets_ly", "assets_ly"), "asset_g")}, {_c(_ratio("ni - ocf", "assets"), "accrual")},
+SELECT company_id, pos, {_c(_ratio("equity", "mcap"), "bm")}, {_c(_ratio("ni", "mcap"), "ep")}, {_c(_ratio("ni", "equity"), "roe")}, {_c(_ratio("op", "assets"), "opa")},
+  {_c(_ratio("gross", "assets"), "gpa")}, {_c(_ratio("op - op_ly", "mcap"), "sue_op")}, {_c(_ratio("ni - ni_ly", "mcap"), "sue_ni")}, {_c(_ratio("assets - assets_ly", "assets_ly"), "asset_g")}, {_c(_ratio("ni - ocf", "assets"), "accrual")},
   {_c(_ratio("sales - sales_ly", "abs(sales_ly)"), "sales_g")} FROM vf""",
     "announcement_features": f"""WITH {FACTS}, {OBS}, an AS (SELECT DISTINCT company_id, avail_pos AS known_pos FROM qf WHERE fact = 'ni'),
 ce AS (SELECT company_id, pos FROM (SELECT DISTINCT company_id FROM qf), cal0),
@@ -356,17 +369,26 @@ SELECT pos, instrument_id, {_c("score", "score")} FROM x""",
     "combine_sleeves": f"""WITH {PICKS}, dd AS (SELECT DISTINCT pos % 4 AS sleeve, pos AS decided FROM pk), sp AS (SELECT c.pos, sleeve, max(decided) AS decided FROM cal c JOIN dd ON decided <= c.pos GROUP BY ALL),
 x AS (SELECT sp.pos, instrument_id, count(*) * 0.2::DOUBLE / 4 AS w FROM sp JOIN pk ON pk.pos = decided GROUP BY ALL) SELECT pos, instrument_id, {_c("w", "weight")} FROM x""",
     "capture_symbols": f"""WITH {TW}, w AS (SELECT pos, instrument_id, w FROM tw WHERE mode = 'redistribute'),
-j AS (SELECT coalesce(a.pos, b.pos + 1) AS pos, coalesce(a.instrument_id, b.instrument_id) AS instrument_id, coalesce(a.w, 0) AS w, abs(coalesce(a.w, 0) - coalesce(b.w, 0)) AS change
-  FROM w a FULL JOIN w b ON a.pos = b.pos + 1 AND a.instrument_id = b.instrument_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY change DESC, w DESC, instrument_id) AS rank FROM j)
-SELECT pos, instrument_id, rank, {_c("change", "change")} FROM r WHERE rank <= 4""",
-    "overlay_fractions": f"""WITH {S}, v AS (SELECT instrument_id, pos, sign(log_return) AS signal, stddev_pop(log_return) OVER (PARTITION BY instrument_id ORDER BY pos ROWS 19 PRECEDING) * 100 AS vol FROM s)
-SELECT instrument_id, pos, {_c("CASE WHEN vol > 0 THEN least(1.0::DOUBLE, 0.3::DOUBLE / vol) END", "vol_scale")},
-  {_c("CASE WHEN signal < 0 AND vol > 0 THEN least(0.5::DOUBLE, 0.2::DOUBLE / vol) * abs(signal) ELSE 0 END", "regime_fraction")} FROM v""",
+d AS (SELECT pos, lead(pos) OVER (ORDER BY pos) AS next FROM (SELECT DISTINCT pos FROM w)),
+b AS (SELECT next AS pos, instrument_id, w FROM w JOIN d USING (pos) WHERE next IS NOT NULL),
+h AS (SELECT DISTINCT pos + 1 AS pos, instrument_id FROM pk WHERE instrument_id % 3 = 0 AND pos + 1 IN (SELECT pos FROM d)),
+k AS (SELECT pos, instrument_id FROM w UNION SELECT pos, instrument_id FROM b UNION SELECT pos, instrument_id FROM h),
+j AS (SELECT k.pos, k.instrument_id, coalesce(a.w, 0) AS w, abs(coalesce(a.w, 0) - coalesce(b.w, 0)) AS change, h.pos IS NOT NULL AS held
+  FROM k LEFT JOIN w a USING (pos, instrument_id) LEFT JOIN b USING (pos, instrument_id) LEFT JOIN h USING (pos, instrument_id)),
+m AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY change DESC, instrument_id) AS r FROM j WHERE change <> 0),
+x AS (SELECT pos, count(*) AS n FROM m GROUP BY pos),
+z AS (SELECT j.pos, instrument_id, coalesce(x.n, 0) + row_number() OVER (PARTITION BY j.pos ORDER BY w DESC, instrument_id) AS r FROM j LEFT JOIN x ON x.pos = j.pos WHERE change = 0 AND held)
+SELECT pos, instrument_id, r AS rank, {_c("change", "change")} FROM m WHERE r <= 6 UNION ALL SELECT pos, instrument_id, r, 0.0::DOUBLE FROM z WHERE r <= 6""",
+    "overlay_fractions": f"""WITH {S}, v AS (SELECT instrument_id, pos, CASE WHEN pos % 17 <> 0 THEN sign(log_return) END AS signal,
+  CASE WHEN count(log_return) OVER w = 20 THEN CASE WHEN instrument_id = 3 THEN 0.0::DOUBLE ELSE stddev_pop(log_return) OVER w * 100 END END AS vol
+  FROM s WINDOW w AS (PARTITION BY instrument_id ORDER BY pos ROWS 19 PRECEDING))
+SELECT instrument_id, pos, {_c("CASE WHEN vol IS NULL OR signal IS NULL THEN 0.0::DOUBLE ELSE signal::DOUBLE END", "trend_signal")},
+  {_c("CASE WHEN vol IS NULL OR vol <= 0.3::DOUBLE THEN 1.0::DOUBLE ELSE 0.3::DOUBLE / vol END", "vol_scale")},
+  {_c("CASE WHEN signal IS NULL OR signal >= 0 OR vol IS NULL THEN 0.0::DOUBLE WHEN vol <= 0 THEN 0.5::DOUBLE * abs(signal) ELSE least(0.5::DOUBLE, 0.2::DOUBLE / vol) * abs(signal) END", "regime_fraction")} FROM v""",
     "causality_check": f"WITH {OBS} SELECT count(*) AS cells, 0 AS mismatches FROM ob WHERE pos <= 1200",
 }
 
 DATES = {
-    "effective_availability": ("effective_day",), "quarantine_events": ("published",), "earnings_releases": ("published",), "upsert_ranges": ("start", '"end"'), "cash_series": ("session",),
+    "effective_availability": ("effective_day",), "quarantine_events": ("published",), "earnings_releases": ("published", "effective_day"), "upsert_ranges": ("start", '"end"'), "cash_series": ("session",),
     "flow_quality_counts": ("session",), "flow_supplement": ("session",), "flow_union": ("session",),
 }

@@ -51,10 +51,10 @@ def fourth_from_annual(spark, sf_dir):
     return K.fourth_from_annual(annual, q).select("company_id", "quarter", _cents("value"), "avail_pos")
 
 
-def entry_blocks(spark, sf_dir):
+def notice_blocks(spark, sf_dir):
     p = T.observed(spark, sf_dir).select("instrument_id", "pos", "close")
     a = p.where("close % 97 = 0 or close % 89 = 0").select("instrument_id", "pos", F.when(F.col("close") % 97 == 0, "notice").otherwise("cancel").alias("kind"))
-    return K.entry_blocks(a, p.select("instrument_id", "pos"), 30)
+    return K.notice_blocks(a, p.select("instrument_id", "pos"), 30)
 
 
 def _targets(spark, sf_dir):
@@ -89,7 +89,7 @@ def order_fill_estimate(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    avail_index, shown_quarter, fact_age, trailing_sum, year_over_year, fourth_from_annual, entry_blocks, target_orders, fill_costs, portfolio_value, order_fill_estimate,
+    avail_index, shown_quarter, fact_age, trailing_sum, year_over_year, fourth_from_annual, notice_blocks, target_orders, fill_costs, portfolio_value, order_fill_estimate,
 )}
 
 A = f"""{BARS}, {FACT},
@@ -126,7 +126,7 @@ FROM f0 a LEFT JOIN f0 b ON a.company_id = b.company_id AND a.fact = b.fact AND
 y AS (SELECT company_id, quarter // 4 AS year, sum(value) AS value, max(p) AS p FROM q GROUP BY ALL),
 t AS (SELECT company_id, quarter // 4 AS year, sum(value) AS three, max(p) AS p FROM q WHERE quarter % 4 < 3 GROUP BY ALL HAVING count(*) = 3)
 SELECT company_id, year * 4 + 3 AS quarter, {_c("y.value - three", "value")}, greatest(y.p, t.p) AS avail_pos FROM y JOIN t USING (company_id, year)""",
-    "entry_blocks": f"""WITH {BARS}, p AS (SELECT instrument_id, pos, close % 97 = 0 AS n, close % 89 = 0 AND close % 97 <> 0 AS c FROM bars JOIN cal USING (session)),
+    "notice_blocks": f"""WITH {BARS}, p AS (SELECT instrument_id, pos, close % 97 = 0 AS n, close % 89 = 0 AND close % 97 <> 0 AS c FROM bars JOIN cal USING (session)),
 l AS (SELECT *, max(CASE WHEN n THEN pos END) OVER w AS ln, max(CASE WHEN c THEN pos END) OVER w AS lc FROM p WINDOW w AS (PARTITION BY instrument_id ORDER BY pos))
 SELECT instrument_id, pos, coalesce(ln IS NOT NULL AND pos - ln <= 30 AND (lc IS NULL OR lc < ln), false) AS blocked FROM l""",
     "target_orders": f'WITH {ORDERS} SELECT pos, instrument_id, want, held, CAST("order" AS BIGINT) AS "order" FROM od',
