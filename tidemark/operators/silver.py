@@ -158,3 +158,33 @@ def dividend_resolve(decisions: DataFrame, window_days: int) -> DataFrame:
         return pd.DataFrame([(x.company_id, x.receipt, x.amount) for x in live], columns=["company_id", "receipt", "amount"])
 
     return decisions.select("company_id", "receipt", "record_date", "amount").groupBy("company_id").applyInPandas(run, "company_id long, receipt long, amount double")
+
+
+def industry_snapshot(quotes: DataFrame, stocks: DataFrame) -> DataFrame:
+    """One row a ticker of either stream: (ticker, industry, basis, market, code, support, available, source, code_source).
+
+    quotes: (ticker, collected_at, hash, industry, market); stocks: (ticker, collected_at, hash, code). Of each stream the latest row
+    counts, ties by hash. An industry is observed in a quote; else inferred where all quoted tickers of the code agree on one, with
+    their number as support; else unmapped.
+    """
+
+    def latest(rows: DataFrame, name: str) -> DataFrame:
+        rest = [c for c in rows.columns if c not in ("ticker", "collected_at", "hash")]
+        return rows.groupBy("ticker").agg(F.max(F.struct("collected_at", "hash", *rest)).alias(name))
+
+    both = latest(quotes, "q").join(latest(stocks, "s"), "ticker", "full")
+    mapping = learn_unanimous(both.where("q is not null and s is not null").select("ticker", F.col("s.code").alias("code"), F.col("q.industry").alias("mapped")), "code", "mapped", "ticker")
+    j = both.withColumn("code", F.col("s.code")).join(mapping, "code", "left")
+    seen = F.col("q").isNotNull()
+    return j.select(
+        "ticker", F.when(seen, F.col("q.industry")).otherwise(F.col("mapped")).alias("industry"), F.when(seen, "observed").when(F.col("mapped").isNotNull(), "inferred").otherwise("unmapped").alias("basis"),
+        F.col("q.market").alias("market"), "code", F.when(~seen, F.col("support")).alias("support"), F.greatest("q.collected_at", "s.collected_at").alias("available"),
+        F.coalesce("q.hash", "s.hash").alias("source"), F.col("s.hash").alias("code_source"),
+    )
+
+
+def price_availability(eligible: DataFrame, prices: DataFrame) -> DataFrame:
+    """(session, eligible, missing, invalid, zero_volume, tradable) over eligible cells (session, instrument_id)."""
+    j = eligible.join(prices, ["session", "instrument_id"], "left")
+    states = {n: F.count_if(F.col("price_state") == n).alias(n) for n in ("invalid", "zero_volume", "tradable")}
+    return j.groupBy("session").agg(F.count("*").alias("eligible"), F.count_if(F.col("price_state").isNull()).alias("missing"), *states.values())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import catalog as C
+from tidemark.operators import lineage as L
 from tidemark.sources import tables as T
 
 
@@ -107,7 +108,7 @@ def lineage(spark, sf_dir):
     n = T.table(spark, sf_dir, "part").where("p_partkey > 0")
     edges = n.select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 3").alias("parent"))
     roots = T.table(spark, sf_dir, "part").where("p_size = 7").select(F.col("p_partkey").alias("id"))
-    return C.reachable(edges, roots)
+    return L.reachable(edges, roots)
 
 
 def lineage_orphans(spark, sf_dir):
