@@ -106,15 +106,70 @@ def release_steps(releases: DataFrame, metrics: list[str]) -> DataFrame:
     return last.select("company_id", "pos", "top.quarter", F.col("top.pos").alias("known_pos"), *[F.col(f"top.{m}").alias(m) for m in metrics])
 
 
+def release_quarters(releases: DataFrame, facts: DataFrame) -> DataFrame:
+    """Releases (company_id, quarter, metric, basis, span, avail_pos, version, value, prior_value) as values of their quarter alone.
+
+    An annual value is of the year's last quarter once the three quarters before it are taken away, and last year's likewise; a part
+    counts if a fact (company_id, quarter, fact, avail_pos, value) of it is known by the release's own position, else the value is NULL. Of
+    two bases of a quarter the consolidated one stays.
+    """
+    w = Window.partitionBy("company_id", "fact").orderBy("quarter").rangeBetween(-2, 0)
+    three = facts.select("company_id", F.col("fact").alias("metric"), "quarter", F.sum("value").over(w).alias("sum"), F.max("avail_pos").over(w).alias("known"), F.count("value").over(w).alias("n")).where("n = 3")
+
+    def part(name: str, back: int) -> DataFrame:
+        return three.select("company_id", "metric", (F.col("quarter") + back).alias("quarter"), F.struct("sum", "known").alias(name))
+
+    both = Window.partitionBy("company_id", "quarter")
+    kept = releases.withColumn("any", F.max(F.col("basis") == "consolidated").over(both)).where(~F.col("any") | (F.col("basis") == "consolidated"))
+    j = kept.join(part("now", 1), ["company_id", "metric", "quarter"], "left").join(part("past", 5), ["company_id", "metric", "quarter"], "left")
+
+    def own(value: str, parts: str) -> Column:
+        less = F.when(F.col(f"{parts}.known") <= F.col("avail_pos"), F.col(value) - F.col(f"{parts}.sum"))
+        return F.when(F.col("span") == "annual", less).otherwise(F.col(value)).alias(value)
+
+    return j.select("company_id", "quarter", "metric", "avail_pos", "version", own("value", "now"), own("prior_value", "past"))
+
+
+def release_pair_steps(releases: DataFrame, metrics: list[str]) -> DataFrame:
+    """Steps of the newest released quarter: (company_id, pos, quarter, known_pos, each metric and metric_ly).
+
+    releases: (company_id, quarter, metric, avail_pos, version, value, prior_value). A later version replaces both values of the metrics it names,
+    also by NULL, and leaves the others; known_pos is when the quarter was first released.
+    """
+    at = releases.groupBy("company_id", "quarter", F.col("avail_pos").alias("pos")).pivot("metric", metrics).agg(F.max_by(F.struct("value", "prior_value"), "version"))
+    quarter = Window.partitionBy("company_id", "quarter")
+    own = quarter.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    merged = at.select("company_id", "quarter", "pos", F.min("pos").over(quarter).alias("known_pos"), *[F.last(m, ignorenulls=True).over(own).alias(m) for m in metrics])
+    upto = Window.partitionBy("company_id").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
+    best = F.max(F.struct("quarter", F.col("pos").alias("at"), "known_pos", *metrics)).over(upto)
+    live = merged.select("company_id", "pos", best.alias("x")).distinct()
+    pairs = [c for m in metrics for c in (F.col(f"x.{m}.value").alias(m), F.col(f"x.{m}.prior_value").alias(f"{m}_ly"))]
+    return live.select("company_id", "pos", "x.quarter", "x.known_pos", *pairs)
+
+
+def earnings_surprise(cells: DataFrame) -> DataFrame:
+    """cells with sue_op_e, sue_ni_e and sue_sales_e; NULL where the shown quarter is older than two quarters.
+
+    cells: (..., mcap, age, op, op_ly, ni, ni_ly, sales, sales_ly), those of best_earnings.
+    """
+    fresh = F.col("age") <= 2
+
+    def change(c: str, over: Column) -> Column:
+        return F.when(fresh, F.try_divide(F.col(c) - F.col(f"{c}_ly"), over))
+
+    return cells.withColumns({"sue_op_e": change("op", F.col("mcap")), "sue_ni_e": change("ni", F.col("mcap")), "sue_sales_e": change("sales", F.abs("sales_ly"))})
+
+
 def best_earnings(filed: DataFrame, released: DataFrame) -> DataFrame:
     """Per cell the filing where its quarter is not older than the release's, else the release; of equal quarters the earlier known counts.
 
-    filed and released: (company_id, pos, quarter, known_pos, value), each with what it shows at the cells (asof_steps).
+    filed and released: (company_id, pos, quarter, known_pos, and the same values), each with what it shows at the cells (asof_steps).
     """
+    values = [c for c in filed.columns if c not in ("company_id", "pos", "known_pos")]
     j = filed.alias("f").join(released.alias("r"), ["company_id", "pos"], "full")
     use_filing = F.col("r.quarter").isNull() | (F.col("f.quarter") >= F.col("r.quarter"))
     use_filing = F.coalesce(use_filing & F.col("f.quarter").isNotNull(), F.lit(False))
-    pick = {c: F.when(use_filing, F.col(f"f.{c}")).otherwise(F.col(f"r.{c}")) for c in ("quarter", "value")}
+    pick = {c: F.when(use_filing, F.col(f"f.{c}")).otherwise(F.col(f"r.{c}")) for c in values}
     known = F.when(F.col("f.quarter") == F.col("r.quarter"), F.least("f.known_pos", "r.known_pos")).otherwise(F.when(use_filing, F.col("f.known_pos")).otherwise(F.col("r.known_pos")))
     return j.select("company_id", "pos", *[c.alias(n) for n, c in pick.items()], known.alias("known_pos"), F.when(use_filing, "filing").otherwise("release").alias("origin"))
 

@@ -69,13 +69,14 @@ def tail_cells(cells: DataFrame, first: int, key: str) -> DataFrame:
     return tail.join(tail.select(key).distinct(), key).withColumn("tail_pos", F.col("pos") - first)
 
 
-def ensemble_average(scores: DataFrame) -> DataFrame:
+def ensemble_average(scores: DataFrame, least: int = 1) -> DataFrame:
     """(pos, instrument_id, score): z-scores of each horizon and seed at a position, averaged over horizons, then over seeds.
 
-    Unknown scores are left out of means; a member without spread gives none.
+    Unknown scores are left out of means; a member without spread, or with fewer than `least` known scores at the position, gives none.
     """
     w = Window.partitionBy("pos", "horizon", "seed")
-    z = F.try_divide(F.col("score") - F.avg("score").over(w), F.when(F.stddev_pop("score").over(w) > 1e-12, F.stddev_pop("score").over(w)))
+    spread = F.when((F.stddev_pop("score").over(w) > 1e-12) & (F.count("score").over(w) >= least), F.stddev_pop("score").over(w))
+    z = F.try_divide(F.col("score") - F.avg("score").over(w), spread)
     by_seed = scores.withColumn("z", z).groupBy("pos", "instrument_id", "seed").agg(F.avg("z").alias("z"))
     return by_seed.groupBy("pos", "instrument_id").agg(F.avg("z").alias("score"))
 

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans import actions, audit, catalog, evaluation, evidence, features, levels, panel, pit, research, silver, streams
+from tidemark.plans import actions, audit, catalog, evaluation, evidence, features, levels, modeling, panel, pit, reports, research, silver, streams
 
-MODULES = (panel, catalog, audit, silver, features, levels, evaluation, research, pit, actions, evidence, streams)
+MODULES = (panel, catalog, audit, silver, features, levels, evaluation, research, pit, actions, evidence, modeling, reports, streams)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

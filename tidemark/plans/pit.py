@@ -6,10 +6,14 @@ tells the basis and whether it is trusted. So quarters have restatements, late v
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import catalog as C
+from tidemark.operators import evaluation as E
+from tidemark.operators import features as X
 from tidemark.operators import pit as K
 from tidemark.operators import sleeves as W
 from tidemark.plans.evaluation import S, streams
@@ -199,9 +203,9 @@ def tail_cube(spark, sf_dir):
 def ensemble_average(spark, sf_dir):
     o = T.observed(spark, sf_dir)
     scores = o.select("pos", "instrument_id", F.explode(F.array(*[
-        F.struct(F.lit(h).alias("horizon"), F.lit(s).alias("seed"), (F.col(c) + s * F.col("instrument_id") % 5).cast("double").alias("score")) for h, c in ((5, "close"), (10, "volume"), (21, "high")) for s in (1, 2)
+        F.struct(F.lit(h).alias("horizon"), F.lit(s).alias("seed"), F.when((F.col("pos") + h + F.col("instrument_id")) % 4 != 0, (F.col(c) + s * F.col("instrument_id") % 5).cast("double")).alias("score")) for h, c in ((5, "close"), (10, "volume"), (21, "high")) for s in (1, 2)
     ])).alias("x")).select("pos", "instrument_id", "x.*")
-    return W.ensemble_average(scores).select("pos", "instrument_id", _show("score"))
+    return W.ensemble_average(scores, 12).select("pos", "instrument_id", _show("score"))
 
 
 def _picks(spark, sf_dir):
@@ -235,16 +239,29 @@ def overlay_fractions(spark, sf_dir):
 
 
 def causality_check(spark, sf_dir):
-    o = T.observed(spark, sf_dir).select("instrument_id", "pos", "close", "volume")
-    w = Window.partitionBy("instrument_id").orderBy("pos")
-
-    def compute(df):
-        return df.withColumn("mean20", F.avg("close").over(w.rowsBetween(-19, 0))).withColumn("before", F.lag("close").over(w)).withColumn("top", F.max("volume").over(w.rowsBetween(-4, 0)))
+    """Features, scores and targets up to a cut, with every price, volume and flow after it made another; and a column that looks ahead, which must be caught."""
+    cut = 1200
+    o = T.observed(spark, sf_dir, flows=True).drop("session", "market", "listed_shares").withColumn("present", F.lit(True))
+    inputs = ["open", "high", "low", "close", "volume", "value", "base_price", "change", "market_cap", "net", "returned", "taken"]
 
     def corrupt(df):
-        return df.withColumns({c: F.when(F.col("pos") > 1200, F.col(c) * 3 + 1).otherwise(F.col(c)) for c in ("close", "volume")})
+        return df.withColumns({c: F.when(F.col("pos") > cut, F.col(c) * 3 + 1).otherwise(F.col(c)) for c in inputs})
+
+    def features(named):
+        return lambda df: X.select_features(X.returns(df), named)
+
+    def targets(df):
+        rows = X.rank_normalize(X.select_features(X.returns(df), {"r1": F.col("rcc")}), "r1", 5).select("instrument_id", "pos", F.col("rank").alias("score"))
+        top = E.select_top(rows, 5).select("pos", "instrument_id", F.col("rank").alias("place"))
+        return rows.join(top, ["pos", "instrument_id"], "left")
 
-    return W.causality_mismatches(o, compute, corrupt, 1200, ["instrument_id", "pos"], ["mean20", "before", "top"])
+    flows = X.flow_features("net") | X.flow_features("returned")
+    families = [(n, features(f), list(f)) for n, f in (("momentum", X.momentum_features()), ("volatility", X.volatility_features()), ("sessions", X.session_features()), ("liquidity", X.liquidity_features()), ("flows", flows))]
+    families.append(("targets", targets, ["score", "place"]))
+    ahead = F.lead("close").over(Window.partitionBy("instrument_id").orderBy("pos"))
+    families.append(("looks_ahead", lambda df: df.withColumn("next", ahead), ["next"]))
+    found = [W.causality_mismatches(o, compute, corrupt, cut, ["instrument_id", "pos"], columns).withColumn("what", F.lit(n)) for n, compute, columns in families]
+    return reduce(lambda x, y: x.unionByName(y), found).select("what", "cells", "mismatches")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -360,9 +377,9 @@ SELECT session, count(*) AS cells, count(*) - count(DISTINCT instrument_id) AS s
     "exit_index": f"""WITH {OBS} SELECT instrument_id, max(pos) + 1 AS exit_pos, arg_max(volume, pos) = 0 AS halted FROM ob GROUP BY instrument_id HAVING max(pos) < (SELECT max(pos) FROM cal)""",
     "reference_integrity": "SELECT user_id AS instrument_id, count(*) AS events FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier) GROUP BY ALL",
     "tail_cube": f"WITH {OBS} SELECT instrument_id, pos - 2000 AS tail_pos, close FROM ob WHERE pos >= 2000",
-    "ensemble_average": f"""WITH {OBS}, sc AS (SELECT pos, instrument_id, h, sd, CAST(CASE h WHEN 5 THEN close WHEN 10 THEN volume ELSE high END + sd * instrument_id % 5 AS DOUBLE) AS score
+    "ensemble_average": f"""WITH {OBS}, sc AS (SELECT pos, instrument_id, h, sd, CASE WHEN (pos + h + instrument_id) % 4 <> 0 THEN CAST(CASE h WHEN 5 THEN close WHEN 10 THEN volume ELSE high END + sd * instrument_id % 5 AS DOUBLE) END AS score
   FROM ob, (VALUES (5), (10), (21)) a(h), (VALUES (1), (2)) b(sd)),
-z AS (SELECT pos, instrument_id, sd, (score - avg(score) OVER w) / CASE WHEN stddev_pop(score) OVER w > 1e-12 THEN stddev_pop(score) OVER w END AS z FROM sc WINDOW w AS (PARTITION BY pos, h, sd)),
+z AS (SELECT pos, instrument_id, sd, (score - avg(score) OVER w) / CASE WHEN stddev_pop(score) OVER w > 1e-12 AND count(score) OVER w >= 12 THEN stddev_pop(score) OVER w END AS z FROM sc WINDOW w AS (PARTITION BY pos, h, sd)),
 y AS (SELECT pos, instrument_id, sd, avg(z) AS z FROM z GROUP BY ALL), x AS (SELECT pos, instrument_id, avg(z) AS score FROM y GROUP BY ALL)
 SELECT pos, instrument_id, {_c("score", "score")} FROM x""",
     "trend_weights": f"WITH {TW} SELECT mode, pos, instrument_id, {_c('w', 'weight')} FROM tw",
@@ -385,7 +402,10 @@ SELECT pos, instrument_id, r AS rank, {_c("change", "change")} FROM m WHERE r <=
 SELECT instrument_id, pos, {_c("CASE WHEN vol IS NULL OR signal IS NULL THEN 0.0::DOUBLE ELSE signal::DOUBLE END", "trend_signal")},
   {_c("CASE WHEN vol IS NULL OR vol <= 0.3::DOUBLE THEN 1.0::DOUBLE ELSE 0.3::DOUBLE / vol END", "vol_scale")},
   {_c("CASE WHEN signal IS NULL OR signal >= 0 OR vol IS NULL THEN 0.0::DOUBLE WHEN vol <= 0 THEN 0.5::DOUBLE * abs(signal) ELSE least(0.5::DOUBLE, 0.2::DOUBLE / vol) * abs(signal) END", "regime_fraction")} FROM v""",
-    "causality_check": f"WITH {OBS} SELECT count(*) AS cells, 0 AS mismatches FROM ob WHERE pos <= 1200",
+    "causality_check": f"""WITH {OBS}, c AS (SELECT count(*) AS n FROM ob WHERE pos <= 1200),
+l AS (SELECT instrument_id FROM ob GROUP BY instrument_id HAVING min(pos) <= 1200 AND max(pos) > 1200)
+SELECT what, n AS cells, CASE WHEN what = 'looks_ahead' THEN (SELECT count(*) FROM l) ELSE 0 END AS mismatches
+FROM c, (VALUES ('momentum'), ('volatility'), ('sessions'), ('liquidity'), ('flows'), ('targets'), ('looks_ahead')) w(what)""",
 }
 
 DATES = {
