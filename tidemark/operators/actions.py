@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.core import KST, kst_date
 from tidemark.operators.fundamentals import avail_index
+from tidemark.operators.notices import notice_form
 
 DELISTING, LIQUIDATION = "delisting_decided", "liquidation_trading"
 DESIGNATED, RELEASED = "administrative_designated", "administrative_released"
@@ -39,10 +40,6 @@ def base_title(title: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), r"\[[^\[\]]*\]", ""), r"^\s+|\s+$", "")
 
 
-def compact_title(title: Column) -> Column:
-    return F.regexp_replace(base_title(title), r"\s+", "")
-
-
 def _given(title: Column, rule: Callable[[Column, Column], Column]) -> Column:
     """A rule over (base, compact) title, each computed once wherever the rule names it."""
     base = base_title(title)
@@ -131,7 +128,7 @@ def exchange_actions(notices: DataFrame, pages: DataFrame) -> DataFrame:
     """
     at = F.col("disclosed_at")
     mine = notices.where(F.col("submitter").endswith(DESK) & F.col("instrument_id").isNotNull())
-    mine = mine.withColumns({"announced_on": kst_date(at), "known_day": open_day(at), "form": compact_title(F.col("title"))})
+    mine = mine.withColumns({"announced_on": kst_date(at), "known_day": open_day(at), "form": notice_form(F.col("title"))})
     stale = F.coalesce(F.col("form_end") <= F.col("announced_on"), F.lit(False))
     delisted = mine.where(F.col("form") == DELISTING_FORM).withColumn("instrument_id", F.explode("listed_ids")).withColumns({
         "kind": F.lit(DELISTING), "cancellation": F.lit(False),

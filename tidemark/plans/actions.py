@@ -141,7 +141,7 @@ _CANCELLED = f"contains(b, '상장폐지') AND NOT {_RESUMES} AND ({_any('b', A.
 ORDERS = f"""o0 AS (SELECT o_orderkey AS k, o_custkey AS ck, CAST(o_orderdate AS DATE) - 180 AS day, list_extract({_sql_list(TITLES)}, CAST(o_orderkey // 3 % {len(TITLES)} AS INTEGER) + 1) AS title,
   lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS receipt FROM orders),
 o1 AS (SELECT *, trim(regexp_replace(title, '\\[[^\\[\\]]*\\]', '', 'g')) AS b, regexp_replace(regexp_replace(title, '\\[[^\\[\\]]*\\]', '', 'g'), '\\s+', '', 'g') AS cp FROM o0),
-o2 AS (SELECT *, {_KIND} AS kind, {_CANCELLED} AS cancelled FROM o1)"""
+o2 AS (SELECT *, {_KIND} AS kind, {_CANCELLED} AS cancelled, regexp_replace(cp, '\\([^()]*\\)', '', 'g') AS fm FROM o1)"""
 CAL = "cal0 AS (SELECT session, CAST(row_number() OVER (ORDER BY session) - 1 AS BIGINT) AS pos FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS session FROM lineitem))"
 ACTIONS = f"""{ORDERS}, {CAL}, pg AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS session, l_suppkey AS instrument_id FROM lineitem),
 fi AS (SELECT ck % 50 + 1 AS instrument_id, coalesce(kind, 'delisting_decided') AS kind, 'filing' AS source, receipt, day AS announced_on, day + 1 AS known_day, NULL::DATE AS effective_start, NULL::DATE AS effective_end,
@@ -150,11 +150,11 @@ n0 AS (SELECT *, ck % 40 + 1 AS name, list_extract({_sql_list(DESKS)}, CAST(k %
   CASE WHEN (k % 24 + 9) % 24 < 9 THEN day + CAST(k % 24 + 9 >= 24 AS INTEGER) ELSE day + CAST(k % 24 + 9 >= 24 AS INTEGER) + 1 END AS known, day + 8 AS fs, day + CAST(k % 5 * 10 - 5 AS INTEGER) AS fe FROM o2 WHERE k % 3 = 1),
 n1 AS (SELECT * FROM n0 WHERE desk <> '주식회사' AND k % 19 <> 0),
 nx AS (
-  SELECT unnest([name, name + 40]) AS instrument_id, 'delisting_decided' AS kind, receipt, kst, known, CASE WHEN fe > kst THEN fs END AS s, CASE WHEN fe > kst THEN fe END AS e, false AS c FROM n1 WHERE cp = '상장폐지'
-  UNION ALL SELECT name, CASE cp WHEN '관리종목지정' THEN 'administrative_designated' ELSE 'administrative_released' END, receipt, kst, known, fs, NULL, false FROM n1
-    WHERE cp IN ('관리종목지정', '관리종목지정해제') AND k % 4 <> 0 AND NOT (cp = '관리종목지정해제' AND desk = '코스닥시장본부')
+  SELECT unnest([name, name + 40]) AS instrument_id, 'delisting_decided' AS kind, receipt, kst, known, CASE WHEN fe > kst THEN fs END AS s, CASE WHEN fe > kst THEN fe END AS e, false AS c FROM n1 WHERE fm = '상장폐지'
+  UNION ALL SELECT name, CASE fm WHEN '관리종목지정' THEN 'administrative_designated' ELSE 'administrative_released' END, receipt, kst, known, fs, NULL, false FROM n1
+    WHERE fm IN ('관리종목지정', '관리종목지정해제') AND k % 4 <> 0 AND NOT (fm = '관리종목지정해제' AND desk = '코스닥시장본부')
   UNION ALL SELECT name, coalesce(kind, 'delisting_decided'), receipt, kst, known, NULL, NULL, kind IS NULL FROM n1
-    WHERE cp NOT IN ('상장폐지', '관리종목지정', '관리종목지정해제') AND (kind IS NOT NULL OR cancelled) AND NOT (coalesce(kind, '') = 'administrative_released' AND desk = '코스닥시장본부')),
+    WHERE fm NOT IN ('상장폐지', '관리종목지정', '관리종목지정해제') AND (kind IS NOT NULL OR cancelled) AND NOT (coalesce(kind, '') = 'administrative_released' AND desk = '코스닥시장본부')),
 ny AS (SELECT nx.*, p.session AS page FROM nx ASOF JOIN (SELECT DISTINCT session FROM pg) p ON nx.kst >= p.session),
 fl AS (SELECT CAST(l_shipdate AS DATE) AS session, l_suppkey AS instrument_id, min(l_returnflag) = 'R' AS f FROM lineitem GROUP BY ALL),
 fg AS (SELECT *, lag(f, 1, false) OVER (PARTITION BY instrument_id ORDER BY session) AS was FROM fl),
