@@ -93,7 +93,7 @@ def on_last_page(rows: DataFrame, pages: DataFrame, day: str, key: str) -> DataF
     last = days.agg(F.max("session").alias("last_page"))
     upto = F.coalesce(F.date_sub(F.lead("session").over(Window.orderBy("session")), 1), F.col("session"))
     spans = days.withColumn("upto", upto).select(F.col("session").alias("page"), F.explode(F.sequence("session", "upto")).alias("page_day"))
-    dated = rows.join(last).withColumn("page_day", F.least(day, "last_page")).drop("last_page").join(spans, "page_day").drop("page_day")
+    dated = rows.where(F.col(day).isNotNull()).join(last).withColumn("page_day", F.least(day, "last_page")).drop("last_page").join(spans, "page_day").drop("page_day")
     there = pages.select(F.col("session").alias("page"), key).distinct()
     return dated.join(there, ["page", key], "left_semi").drop("page")
 

@@ -15,9 +15,12 @@ def window_complete(windows: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 def subject_covered(ranges: DataFrame, windows: DataFrame, subject: str) -> DataFrame:
     """windows with the number of subjects that have one range over all of it, out of all subjects."""
     total = ranges.agg(F.count_distinct(subject).alias("subjects"))
-    inside = windows.join(ranges, (F.col("start") <= F.col("window_start")) & (F.col("end") >= F.col("window_end")), "left")
-    got = inside.groupBy("window_start", "window_end").agg(F.count_distinct(subject).alias("covered"))
-    return got.join(F.broadcast(total)).withColumn("all_covered", F.col("covered") == F.col("subjects"))
+    # Windows come as one array: a range tells which it holds without a join by range.
+    asked = windows.agg(F.collect_set(F.struct("window_start", "window_end")).alias("windows"))
+    held = F.filter("windows", lambda w: (F.col("start") <= w["window_start"]) & (F.col("end") >= w["window_end"]))
+    inside = ranges.join(asked).select(subject, F.explode(held).alias("w")).groupBy("w.window_start", "w.window_end").agg(F.count_distinct(subject).alias("covered"))
+    got = windows.select("window_start", "window_end").distinct().join(inside, ["window_start", "window_end"], "left").join(total)
+    return got.withColumn("covered", F.coalesce("covered", F.lit(0))).withColumn("all_covered", F.col("covered") == F.col("subjects"))
 
 
 def unanswered(required: DataFrame, receipts: DataFrame, key: str) -> DataFrame:

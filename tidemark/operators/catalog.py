@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,18 +42,19 @@ def pending_cells(cells: DataFrame, merged: DataFrame, key: str, day: str) -> Da
 
 
 def calendar_span_groups(cells: DataFrame, key: str, span: int) -> DataFrame:
-    """Greedy cover of each key's calendar positions by groups of positions below first + span."""
+    """Greedy cover of each key's calendar positions by groups of positions below first + span.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, first, group = [], None, -1
-        for pos in sorted(set(pdf["pos"])):
-            if first is None or pos >= first + span:
-                first, group = pos, group + 1
-            out.append((pdf[key].iloc[0], pos, group))
-        return pd.DataFrame(out, columns=[key, "pos", "span_group"])
+    A key's distinct positions are at most a calendar, so they fit an array; a fold keeps the groups' first positions.
+    """
+
+    def onward(starts: Column, pos: Column) -> Column:
+        last = F.get(starts, F.size(starts) - 1)
+        return F.when(last.isNull() | (pos >= last + span), F.concat(starts, F.array(pos))).otherwise(starts)
 
-    kind = dict(cells.dtypes)[key]
-    return cells.select(key, "pos").groupBy(key).applyInPandas(run, f"{key} {kind}, pos long, span_group long")
+    own = cells.groupBy(key).agg(F.array_sort(F.collect_set(F.col("pos").cast("long"))).alias("places"))
+    own = own.withColumn("starts", F.aggregate("places", F.array().cast("array<long>"), onward))
+    grouped = F.transform("places", lambda p: F.struct(p.alias("pos"), (F.size(F.filter("starts", lambda s: s <= p)) - 1).cast("long").alias("span_group")))
+    return own.select(key, F.explode(grouped).alias("g")).select(key, "g.pos", "g.span_group")
 
 
 def coverage_report(required: DataFrame, latest: DataFrame) -> DataFrame:
@@ -119,9 +119,9 @@ def retention_plan(versions: DataFrame, key: str, daily: int, monthly: int) -> D
 def reachable_archives(entries: DataFrame, boundaries: DataFrame, path: str, seq: str, archive: str) -> DataFrame:
     """Archives that hold the latest version of some path as of a boundary."""
     upto = F.coalesce(F.lead(seq).over(Window.partitionBy(path).orderBy(seq)), F.lit(2**62))
-    spans = entries.withColumn("upto", upto)
-    b = F.broadcast(boundaries)
-    return spans.join(b, (F.col("boundary") >= F.col(seq)) & (F.col("boundary") < F.col("upto"))).select(archive).distinct()
+    # Boundaries come as one array, so a span meets them without a join by range.
+    spans = entries.withColumn("upto", upto).join(boundaries.agg(F.array_sort(F.collect_set("boundary")).alias("bounds")))
+    return spans.where(F.exists("bounds", lambda b: (b >= F.col(seq)) & (b < F.col("upto")))).select(archive).distinct()
 
 
 def dataset_digest(hashes: DataFrame, group: str, value: str) -> DataFrame:
@@ -158,18 +158,24 @@ def weekly_outcomes(outcomes: DataFrame, last_day: Column) -> DataFrame:
 
 
 def alert_suppress(alerts: DataFrame, key: str, hours: int) -> DataFrame:
-    """Alerts that are sent: a key's alert is dropped within hours of the last one sent, which a plain window cannot tell."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], None
-        for r in pdf.sort_values(["ts", "event_id"]).itertuples():
-            if last is None or r.ts - last >= pd.Timedelta(hours=hours):
-                last = r.ts
-                out.append((getattr(r, key), r.event_id))
-        return pd.DataFrame(out, columns=[key, "event_id"])
-
-    kind = dict(alerts.dtypes)[key]
-    return alerts.select(key, "event_id", "ts").groupBy(key).applyInPandas(run, f"{key} {kind}, event_id long")
+    """Alerts that are sent: a key's alert is dropped within hours of the last one sent, which a plain window cannot tell.
+
+    An alert that comes hours after the one before it is sent whatever came earlier, so a key is cut there; a fold over each part
+    keeps the last one sent. A part is a run of alerts without such a gap.
+    """
+    gap = F.make_interval(hours=F.lit(hours))
+    w = Window.partitionBy(key).orderBy("ts", "event_id")
+    cut = F.coalesce(F.col("ts") >= F.lag("ts").over(w) + gap, F.lit(True)).cast("int")
+    parts = alerts.select(key, "event_id", "ts").withColumn("cut", cut).withColumn("part", F.sum("cut").over(w))
+    runs = parts.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("run"))
+
+    def onward(state: Column, alert: Column) -> Column:
+        due = state["last"].isNull() | (alert["ts"] >= state["last"] + gap)
+        return F.when(due, F.struct(alert["ts"].alias("last"), F.concat(state["sent"], F.array(alert["event_id"])).alias("sent"))).otherwise(state)
+
+    kinds = dict(alerts.dtypes)
+    start = F.struct(F.lit(None).cast(kinds["ts"]).alias("last"), F.array().cast(f"array<{kinds['event_id']}>").alias("sent"))
+    return runs.select(key, F.explode(F.aggregate("run", start, onward)["sent"]).alias("event_id"))
 
 
 def incident_diff(before: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:

@@ -224,6 +224,32 @@ def select_top(scores: DataFrame, n: int) -> DataFrame:
     return scores.where("score is not null").withColumn("rank", r).withColumn("candidates", F.count("*").over(w)).where((F.col("rank") <= n) & (F.col("candidates") >= n)).drop("candidates")
 
 
+def select_held(scores: DataFrame, n: int, keep_multiple: float, key: str = "sleeve") -> DataFrame:
+    """(key, pos, rank, instrument_id): the n names of each decision; what is held and still ranks among the first floor(n * keep_multiple) goes first.
+
+    Scores rank from the highest, ties by instrument. With fewer than n candidates nothing is held, and nothing is left to keep. Only
+    the first max(n, floor(n * keep_multiple)) of a decision matter, so a fold over a key's decisions holds short lists.
+    """
+    keep = int(n * keep_multiple)
+    w = Window.partitionBy(key, "pos")
+    ranked = scores.where("score is not null").withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "instrument_id"))).withColumn("n", F.count("*").over(w))
+    first = ranked.where(F.col("rank") <= max(n, keep)).groupBy(key, "pos").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("rank", "instrument_id"))).alias("r"))
+    every = scores.select(key, "pos").distinct().join(first, [key, "pos"], "left")
+    day = F.struct("pos", (F.coalesce("n", F.lit(0)) >= n).alias("enough"), F.coalesce(F.col("r.instrument_id"), F.array().cast(f"array<{dict(scores.dtypes)['instrument_id']}>")).alias("ids"))
+    own = every.select(key, day.alias("day")).groupBy(key).agg(F.array_sort(F.collect_list("day")).alias("days"))
+
+    def onward(made: Column, d: Column) -> Column:
+        held = F.coalesce(F.get(made, F.size(made) - 1)["held"], F.slice(d["ids"], 1, 0))
+        kept = F.filter(F.slice(d["ids"], 1, keep), lambda i: F.array_contains(held, i))
+        chosen = F.slice(F.concat(kept, F.array_except(d["ids"], kept)), 1, n)
+        return F.concat(made, F.array(F.struct(d["pos"].alias("pos"), F.when(d["enough"], chosen).otherwise(F.slice(d["ids"], 1, 0)).alias("held"))))
+
+    kinds = dict(scores.dtypes)
+    start = F.array().cast(f"array<struct<pos:{kinds['pos']},held:array<{kinds['instrument_id']}>>>")
+    out = own.select(key, F.explode(F.aggregate("days", start, onward)).alias("x")).select(key, "x.pos", F.posexplode("x.held").alias("rank", "instrument_id"))
+    return out.withColumn("rank", F.col("rank") + 1)
+
+
 def trend_signals(levels: DataFrame, key: str, horizons: list[int], window: int) -> DataFrame:
     """Mean sign of change over horizons, and +1 or -1 against the mean of a full window; NULL where a part is unknown."""
     w = Window.partitionBy(key).orderBy("pos")

@@ -76,6 +76,13 @@ def dividend_ttm(dividends: DataFrame, positions: DataFrame, days: int) -> DataF
     return positions.join(spans, ["instrument_id", "session"]).groupBy("instrument_id", "session").agg(F.sum("dps").alias("dps_ttm"), F.count("*").alias("paid"))
 
 
+def dividend_return(dividends: DataFrame, bars: DataFrame, withholding: float) -> DataFrame:
+    """(instrument_id, session, dividend_return): the dividends of an ex session after tax over its base price; none where that is not positive."""
+    paid = dividends.groupBy("instrument_id", F.col("ex_session").alias("session")).agg(F.sum("dps").alias("dps"))
+    j = paid.join(bars.where("base_price > 0").select("instrument_id", "session", "base_price"), ["instrument_id", "session"])
+    return j.select("instrument_id", "session", (F.col("dps") * (1 - withholding) / F.col("base_price")).alias("dividend_return"))
+
+
 def dividend_plausibility(rows: DataFrame, ratio: float, ceiling: float) -> DataFrame:
     """Label of a dividend by its printed yield, the reference price and a ceiling; NULL if plausible."""
     own = F.try_divide("dps", "price")

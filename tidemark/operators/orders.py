@@ -34,6 +34,13 @@ def nearest_toward_zero(x: Column) -> Column:
     return (F.signum(x) * F.ceil(F.abs(x) - 0.5)).cast("long")
 
 
+def contract_target(fraction: Column, signal: Column, cap: Column, nav: Column, multiplier: Column, level: Column) -> Column:
+    """Contracts for a share of the value, to the nearest integer, ties toward zero; NULL where the level is not positive. Decimal, so that a tie is one."""
+    money = fraction.cast("decimal(12,6)") * signal.cast("decimal(6,3)") * cap.cast("decimal(6,3)")
+    x = F.try_divide((money * nav.cast("decimal(14,2)")).cast("decimal(34,9)"), (multiplier.cast("decimal(9,0)") * F.when(level > 0, level.cast("decimal(12,2)"))).cast("decimal(21,2)"))
+    return nearest_toward_zero(x)
+
+
 def portfolio_value(holdings: DataFrame, prices: DataFrame, key: str) -> DataFrame:
     """Value per key, and held names without a price, which make it an error."""
     j = holdings.join(prices, ["pos", "instrument_id"], "left")

@@ -137,27 +137,44 @@ def stratified_sample(rows: DataFrame, strata: list[str], key: str, size: int, o
 
 
 def dividend_days(events: DataFrame, calendar: DataFrame) -> DataFrame:
-    """events (record_date) with ex_session, the session before the record session (the last one up to the record date)."""
-    days = calendar.select("session", F.lag("session").over(Window.orderBy("pos")).alias("before"), F.lead("session").over(Window.orderBy("pos")).alias("next"))
-    spans = days.select(F.explode(F.sequence("session", F.coalesce(F.date_sub("next", 1), F.date_add("session", 31)))).alias("record_date"),
-                        F.col("session").alias("record_session"), F.col("before").alias("ex_session"))
-    return events.join(spans, "record_date", "left")
+    """events (record_date, pay_date, received) with ex_session, the session before the record session (the last one up to the record date),
+    pay_session, the last one up to the pay date, and avail_session, the first one after the receipt.
+
+    Days after the calendar belong to its last session; before its first there is none. No session follows a receipt at the end.
+    """
+    w = Window.orderBy("pos")
+    days = calendar.select("session", F.lag("session").over(w).alias("before"), F.lead("session").over(w).alias("next"))
+    spans = days.select(F.explode(F.sequence("session", F.coalesce(F.date_sub("next", 1), F.col("session")))).alias("day"), F.struct("session", "before", "next").alias("at"))
+    ends = calendar.agg(F.min("session").alias("first_day"), F.max("session").alias("last_day"))
+    out = events.join(ends)
+    for column in ("record_date", "pay_date", "received"):
+        side = spans.select(F.col("day").alias(f"{column}_day"), F.col("at").alias(f"{column}_at"))
+        out = out.withColumn(f"{column}_day", F.when(F.col(column).isNotNull(), F.least(column, "last_day"))).join(side, f"{column}_day", "left").drop(f"{column}_day")
+    after = F.when(F.col("received") < F.col("first_day"), F.col("first_day")).when(F.col("received") < F.col("last_day"), F.col("received_at.next"))
+    return out.select(*events.columns, F.col("record_date_at.before").alias("ex_session"), F.col("pay_date_at.session").alias("pay_session"), after.alias("avail_session"))
 
 
 def dividend_resolve(decisions: DataFrame, window_days: int) -> DataFrame:
-    """Decisions in receipt order: one that names a record date near an earlier one's replaces the nearest; keyed by company."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        live: list = []
-        for r in pdf.sort_values(["receipt"]).itertuples():
-            near = [x for x in live if abs((x.record_date - r.record_date).days) <= window_days]
-            if near:
-                live.remove(max(near, key=lambda x: x.receipt))
-            live.append(r)
-        return pd.DataFrame([(x.company_id, x.receipt, x.amount) for x in live], columns=["company_id", "receipt", "amount"])
-
-    return decisions.select("company_id", "receipt", "record_date", "amount").groupBy("company_id").applyInPandas(run, "company_id long, receipt long, amount double")
+    """(company_id, receipt, record_date, kind, amount) of decisions that stand once all are received, in receipt order.
+
+    decisions: (company_id, receipt, record_date, kind, correction, amount). A correction replaces the latest earlier decision of its
+    company and kind whose record date lies within the window; then one of the same record date gives way to the later receipt.
+    A company's decisions fit an array, over which a fold keeps those that stand.
+    """
+    fields = ("receipt", "record_date", "kind", "amount")
+    own = decisions.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct(*fields, F.coalesce("correction", F.lit(False)).alias("correction")))).alias("came"))
+
+    def onward(standing: Column, d: Column) -> Column:
+        def replaced(x: Column) -> Column:
+            return d["correction"] & x["kind"].eqNullSafe(d["kind"]) & (F.abs(F.datediff(x["record_date"], d["record_date"])) <= window_days)
+
+        last = F.array_max(F.transform(F.filter(standing, replaced), lambda x: x["receipt"]))
+        left = F.filter(standing, lambda x: ~x["receipt"].eqNullSafe(last) & (x["record_date"] != d["record_date"]))
+        return F.concat(left, F.array(d))
+
+    kind = own.schema["came"].dataType.simpleString()
+    stands = F.aggregate("came", F.array().cast(kind), onward)
+    return own.select("company_id", F.explode(stands).alias("x")).select("company_id", *[f"x.{c}" for c in fields])
 
 
 def industry_snapshot(quotes: DataFrame, stocks: DataFrame) -> DataFrame:

@@ -8,11 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def contract_violations(rows: DataFrame, payload: str, required: list[str]) -> DataFrame:
-    """rows with the required fields that their JSON payload lacks, sorted; a payload that is no object lacks all."""
-    keys = F.coalesce(F.map_keys(F.from_json(payload, "map<string,string>")), F.array().cast("array<string>"))
-    missing = F.array_sort(F.array_except(F.array(*map(F.lit, required)), keys))
-    return rows.withColumn("missing", F.array_join(missing, ",")).where("missing <> ''")
+def contract_violations(rows: DataFrame, payload: str, required: list[str], envelope: list[str] | None = None, query: tuple[str, list[str]] | None = None) -> DataFrame:
+    """rows with what their contract misses: required fields of the JSON payload, then, marked as such, blank columns of the envelope's
+    identity and fields of the JSON query they answer. A text that is no object lacks all of its fields."""
+
+    def lacking(text: str, fields: list[str]) -> Column:
+        keys = F.coalesce(F.map_keys(F.from_json(text, "map<string,string>")), F.array().cast("array<string>"))
+        return F.array_sort(F.array_except(F.array(*map(F.lit, fields)), keys))
+
+    parts = [lacking(payload, required)]
+    if envelope:
+        blank = [F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "", f"envelope:{c}") for c in envelope]
+        parts.append(F.array_compact(F.array(*blank)))
+    if query:
+        parts.append(F.transform(lacking(*query), lambda f: F.concat(F.lit("query:"), f)))
+    return rows.withColumn("missing", F.array_join(F.concat(*parts), ",")).where("missing <> ''")
 
 
 def keyed_lookup(latest: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,6 +50,15 @@ def quality_counts(flows: DataFrame, keys: list[str], checks: dict[str, Column])
     return flows.groupBy(*keys).agg(F.count("*").alias("rows"), *[F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(n) for n, c in checks.items()])
 
 
+def flow_checks(parts: list[str], total: str, retail: str, volume: str, conflict: str, tail: str) -> dict[str, Column]:
+    """The checks of a flow row: values that pages disagree on, parts that miss their total, a session whose flow is not due yet, no date, and more
+    retail than was traded."""
+    held = sum((F.col(p) for p in parts[1:]), F.col(parts[0]))
+    return {
+        "conflict": F.col(conflict), "identity": held != F.col(total), "tail": F.col(tail), "dateless": F.col("session").isNull(), "retail_over_volume": F.abs(retail) > F.col(volume),
+    }
+
+
 def supplement(gaps: DataFrame, pages: DataFrame, keys: list[str], values: list[str], source: str) -> DataFrame:
     """Gap cells filled from pages whose values sum to 0 and all agree, with the smallest source hash."""
     total = sum((F.col(v) for v in values), F.lit(0))

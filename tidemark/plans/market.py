@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans import actions, audit, catalog, evaluation, evidence, features, levels, modeling, notices, panel, pit, reports, research, silver, streams
+from tidemark.plans import actions, audit, catalog, evaluation, evidence, features, levels, modeling, notices, panel, pit, reports, research, silver, streams, trading
 
-MODULES = (panel, catalog, audit, silver, features, levels, evaluation, research, pit, actions, notices, evidence, modeling, reports, streams)
+MODULES = (panel, catalog, audit, silver, features, levels, evaluation, research, pit, actions, notices, evidence, modeling, reports, trading, streams)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -18,6 +18,7 @@ from tidemark.operators import pit as K
 from tidemark.operators import sleeves as W
 from tidemark.plans.evaluation import S, streams
 from tidemark.sources import tables as T
+from tidemark.sources.scratch import written
 
 NAMES = ["equity", "assets", "ni", "sales", "ocf", "op", "gross"]
 
@@ -72,13 +73,15 @@ def quarter_facts(spark, sf_dir):
     return _facts(spark, sf_dir)
 
 
-def _cells(spark, sf_dir):
-    return _facts(spark, sf_dir).select("company_id").distinct().join(F.broadcast(_calendar(spark, sf_dir).select("pos")))
+def _cells(spark, sf_dir, facts):
+    """Every company of the facts at every session: the calendar's last position comes as one row, its positions as a sequence."""
+    last = _calendar(spark, sf_dir).agg(F.max("pos").alias("last"))
+    return facts.select("company_id").distinct().join(last).select("company_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("pos"))
 
 
 def asof_fundamentals(spark, sf_dir):
-    steps = K.fact_steps(_facts(spark, sf_dir), NAMES)
-    return K.asof_steps(steps, _cells(spark, sf_dir), "company_id").where("quarter is not null")
+    facts = written(_facts(spark, sf_dir), "facts")
+    return K.asof_steps(K.fact_steps(facts, NAMES), _cells(spark, sf_dir, facts), "company_id").where("quarter is not null")
 
 
 def _releases(spark, sf_dir, which="true"):
@@ -98,9 +101,10 @@ def asof_releases(spark, sf_dir):
 
 def best_earnings(spark, sf_dir):
     """What each company shows at each session, of filings and early releases; releases are those of every second order."""
-    cells = _cells(spark, sf_dir)
+    facts = written(_facts(spark, sf_dir), "facts")
+    cells = _cells(spark, sf_dir, facts)
     r = K.release_steps(_releases(spark, sf_dir, "version % 2 = 0").where("metric = 'ni'"), ["ni"]).select("company_id", "pos", "quarter", "known_pos", F.col("ni").alias("value"))
-    f = K.newest_steps(_facts(spark, sf_dir).where("fact = 'ni'"))
+    f = K.newest_steps(facts.where("fact = 'ni'"))
     shown = [K.asof_steps(x, cells, "company_id").where("quarter is not null") for x in (f, r)]
     return K.best_earnings(*shown)
 
@@ -110,16 +114,17 @@ def _show(c: str):
 
 
 def value_features(spark, sf_dir):
-    steps = K.fact_steps(_facts(spark, sf_dir), NAMES)
+    steps = K.fact_steps(written(_facts(spark, sf_dir), "facts"), NAMES)
     cells = steps.join(F.broadcast(_calendar(spark, sf_dir)), "pos").withColumn("age", F.year("session") * 4 + F.quarter("session") - 1 - F.col("quarter"))
     cells = cells.withColumn("mcap", (F.col("company_id") + 1) * 1_000_000.0)
     return K.value_features(cells).select("company_id", "pos", *map(_show, ("bm", "ep", "roe", "opa", "gpa", "sue_op", "sue_ni", "asset_g", "accrual", "sales_g")))
 
 
 def announcement_features(spark, sf_dir):
-    levels = streams(spark, sf_dir).select("instrument_id", "pos", (F.lit(1.0) + F.col("i")).alias("level"))
-    facts = _facts(spark, sf_dir).where("fact = 'ni'").groupBy("company_id", F.col("avail_pos").alias("pos")).agg(F.max("avail_pos").alias("known_pos"))
-    cells = K.asof_steps(facts, _cells(spark, sf_dir), "company_id").where("known_pos is not null").withColumnRenamed("company_id", "instrument_id")
+    levels = written(streams(spark, sf_dir).select("instrument_id", "pos", (F.lit(1.0) + F.col("i")).alias("level")), "levels")
+    facts = written(_facts(spark, sf_dir), "facts")
+    known = facts.where("fact = 'ni'").groupBy("company_id", F.col("avail_pos").alias("pos")).agg(F.max("avail_pos").alias("known_pos"))
+    cells = K.asof_steps(known, _cells(spark, sf_dir, facts), "company_id").where("known_pos is not null").withColumnRenamed("company_id", "instrument_id")
     return K.announcement_features(cells, levels).select("instrument_id", "pos", "earn_age", _show("ear"), _show("post_ear"))
 
 
@@ -141,7 +146,12 @@ def usable_blobs(spark, sf_dir):
 
 
 def contract_violations(spark, sf_dir):
-    return W.contract_violations(T.table(spark, sf_dir, "events"), "props", ["k", "source"]).groupBy("event_type", "missing").agg(F.count("*").alias("n"))
+    """Events as receipts; some name no user, some answer no query, and the query of others lacks a field or is no object."""
+    e, k = T.table(spark, sf_dir, "events"), F.col("event_id")
+    asked = F.when(k % 6 == 0, "[]").when(k % 6 == 1, '{"day": 1}').otherwise('{"day": 1, "page": 2}')
+    e = e.select("event_type", "props", F.when(k % 7 == 0, " ").otherwise(F.col("user_id").cast("string")).alias("natural_key"), F.when(k % 13 != 0, F.col("ts")).alias("retrieved_at"), asked.alias("query"))
+    got = W.contract_violations(e, "props", ["k"], ["natural_key", "retrieved_at"], ("query", ["day", "page"]))
+    return got.groupBy("event_type", "missing").agg(F.count("*").alias("n"))
 
 
 def index_series(spark, sf_dir):
@@ -163,9 +173,13 @@ def _flow_rows(spark, sf_dir):
 
 
 def flow_quality_counts(spark, sf_dir):
-    f = _flow_rows(spark, sf_dir)
-    total = F.col("a") + F.col("b") + F.col("c") + F.col("d")
-    return W.quality_counts(f, ["session"], {"identity_broken": total != 0, "large": F.col("a") > 45, "odd": F.col("c") == 1})
+    """Rows of a day by source order modulo 7, which is the page they come from; pages of a cell may disagree."""
+    f = _flow_rows(spark, sf_dir).withColumn("page", F.col("source") % 7)
+    cell = Window.partitionBy("instrument_id", "session")
+    last = _calendar(spark, sf_dir).agg(F.max("session").alias("last"))
+    f = f.withColumns({"conflicting": F.min("a").over(cell) != F.max("a").over(cell), "volume": F.sum("a").over(cell) - 30}).join(last)
+    f = f.withColumn("late", F.coalesce(F.col("session") > F.date_sub("last", 40), F.lit(False))).withColumn("total", F.lit(0).cast("long")).withColumn("session", F.when(F.col("source") % 17 != 0, F.col("session")))
+    return W.quality_counts(f, ["page"], W.flow_checks(["a", "b", "c", "d"], "total", "a", "volume", "conflicting", "late"))
 
 
 def flow_supplement(spark, sf_dir):
@@ -361,14 +375,17 @@ QUALIFY row_number() OVER (PARTITION BY event_type, user_id, CAST(ts AS DATE), e
   QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1)
 SELECT source, natural_key, status, event_id FROM l WHERE natural_key IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 3 = 0)""",
     "usable_blobs": """SELECT json_extract_string(props, '$.k') AS content_hash, count(*) AS versions FROM events GROUP BY ALL HAVING bool_or(event_type <> 'error')""",
-    "contract_violations": """WITH m AS (SELECT event_type, array_to_string(list_filter(['k', 'source'], lambda x: NOT list_contains(json_keys(props), x)), ',') AS missing FROM events)
+    "contract_violations": """WITH m AS (SELECT event_type, concat_ws(',', CASE WHEN NOT list_contains(json_keys(props), 'k') THEN 'k' END, CASE WHEN event_id % 7 = 0 THEN 'envelope:natural_key' END,
+  CASE WHEN event_id % 13 = 0 THEN 'envelope:retrieved_at' END, CASE WHEN event_id % 6 = 0 THEN 'query:day' END, CASE WHEN event_id % 6 < 2 THEN 'query:page' END) AS missing FROM events)
 SELECT event_type, missing, count(*) AS n FROM m WHERE missing <> '' GROUP BY ALL""",
     "index_series": f"""WITH {OBS}, {CAL}, f AS (SELECT instrument_id, min(pos) AS first_pos FROM ob GROUP BY ALL)
 SELECT f.instrument_id, CASE WHEN c.pos < first_pos THEN 'unlisted' WHEN close > 0 THEN 'known' ELSE 'missing' END AS state, count(*) AS n
 FROM f CROSS JOIN cal0 c LEFT JOIN ob ON ob.instrument_id = f.instrument_id AND ob.pos = c.pos GROUP BY ALL""",
     "cash_series": f"""WITH {CAL}, o AS (SELECT CAST(o_orderdate AS DATE) AS session, count(*) AS n, min(o_totalprice) AS p FROM orders WHERE o_orderkey % 11 = 0 GROUP BY ALL)
 SELECT session, coalesce(n, 0) AS rows FROM cal0 LEFT JOIN o USING (session) WHERE coalesce(n, 0) <> 1 OR NOT coalesce(p, 0) > 0""",
-    "flow_quality_counts": f"""WITH {FLOWS} SELECT session, count(*) AS rows, count(*) FILTER (a + b + c + d <> 0) AS identity_broken, count(*) FILTER (a > 45) AS large, count(*) FILTER (c = 1) AS odd FROM fl GROUP BY session""",
+    "flow_quality_counts": f"""WITH {FLOWS}, x AS (SELECT *, min(a) OVER w <> max(a) OVER w AS con, sum(a) OVER w - 30 AS volume, session > (SELECT max(session) FROM fl) - 40 AS late FROM fl WINDOW w AS (PARTITION BY instrument_id, session))
+SELECT source % 7 AS page, count(*) AS rows, count(*) FILTER (con) AS conflict, count(*) FILTER (a + b + c + d <> 0) AS identity, count(*) FILTER (late) AS tail, count(*) FILTER (source % 17 = 0) AS dateless,
+  count(*) FILTER (abs(a) > volume) AS retail_over_volume FROM x GROUP BY ALL""",
     "flow_supplement": f"""WITH {FLOWS} SELECT instrument_id, session, min(a) AS a, min(b) AS b, min(c) AS c, min(d) AS d, min(source) AS source FROM fl
 WHERE source % 2 = 0 AND a + b + c + d = 0 AND (instrument_id, session) IN (SELECT (instrument_id, session) FROM fl WHERE source % 3 = 0)
 GROUP BY instrument_id, session HAVING count(DISTINCT (a, b, c, d)) = 1""",
@@ -410,5 +427,5 @@ FROM c, (VALUES ('momentum'), ('volatility'), ('sessions'), ('liquidity'), ('flo
 
 DATES = {
     "effective_availability": ("effective_day",), "quarantine_events": ("published",), "earnings_releases": ("published", "effective_day"), "upsert_ranges": ("start", '"end"'), "cash_series": ("session",),
-    "flow_quality_counts": ("session",), "flow_supplement": ("session",), "flow_union": ("session",),
+ "flow_supplement": ("session",), "flow_union": ("session",),
 }

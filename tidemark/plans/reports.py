@@ -16,6 +16,7 @@ from tidemark.plans.evaluation import S, bootstrap_given_starts, streams
 from tidemark.plans.panel import PANEL, REGIMES, _tick, panel
 from tidemark.plans.pit import NAMES, STEPS, _calendar, _cells, _facts, _known
 from tidemark.sources import tables as T
+from tidemark.sources.scratch import written
 
 METRICS = ["op", "ni", "sales"]
 
@@ -31,8 +32,8 @@ def _released(spark, sf_dir):
     )
 
 
-def _quarters(spark, sf_dir):
-    return pit.release_quarters(_released(spark, sf_dir), _facts(spark, sf_dir))
+def _quarters(spark, sf_dir, facts):
+    return pit.release_quarters(_released(spark, sf_dir), facts)
 
 
 def _cent(c: str):
@@ -40,21 +41,22 @@ def _cent(c: str):
 
 
 def annual_releases(spark, sf_dir):
-    return _quarters(spark, sf_dir).select("company_id", "quarter", "metric", "avail_pos", "version", _cent("value"), _cent("prior_value"))
+    return _quarters(spark, sf_dir, _facts(spark, sf_dir)).select("company_id", "quarter", "metric", "avail_pos", "version", _cent("value"), _cent("prior_value"))
 
 
 def release_pairs(spark, sf_dir):
-    steps = pit.release_pair_steps(_quarters(spark, sf_dir), METRICS)
+    steps = pit.release_pair_steps(_quarters(spark, sf_dir, _facts(spark, sf_dir)), METRICS)
     return steps.select("company_id", "pos", "quarter", "known_pos", *(_cent(c) for m in METRICS for c in (m, f"{m}_ly")))
 
 
 def earnings_surprises(spark, sf_dir):
     """At each session, by the newer of filing and release."""
-    facts, cells = _facts(spark, sf_dir), _cells(spark, sf_dir)
+    facts = written(_facts(spark, sf_dir), "facts")
+    cells = _cells(spark, sf_dir, facts)
     values = [c for m in METRICS for c in (m, f"{m}_ly")]
     known = K.quarter_complete(facts).select("company_id", "quarter", F.col("pos").alias("known_pos"))
     filed = pit.fact_steps(facts, NAMES).join(known, ["company_id", "quarter"]).select("company_id", "pos", "quarter", "known_pos", *values)
-    released = pit.release_pair_steps(_quarters(spark, sf_dir), METRICS)
+    released = pit.release_pair_steps(_quarters(spark, sf_dir, facts), METRICS)
     shown = [pit.asof_steps(x, cells, "company_id").where("quarter is not null") for x in (filed, released)]
     best = pit.best_earnings(*shown).join(F.broadcast(_calendar(spark, sf_dir)), "pos").withColumn("age", F.year("session") * 4 + F.quarter("session") - 1 - F.col("quarter"))
     out = pit.earnings_surprise(best.withColumn("mcap", (F.col("company_id") + 1) * 1_000_000.0))

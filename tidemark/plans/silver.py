@@ -105,13 +105,19 @@ def stratified_sample(spark, sf_dir):
 
 
 def dividend_days(spark, sf_dir):
-    b = T.bars(spark, sf_dir)
-    e = T.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.to_date("o_orderdate").alias("record_date"))
-    return V.dividend_days(e, T.calendar(b)).select("o_orderkey", "record_session", "ex_session")
+    """Records and receipts reach back before the first session, pay days past the last one."""
+    day = F.to_date("o_orderdate")
+    e = T.table(spark, sf_dir, "orders").select("o_orderkey", F.date_sub(day, 20).alias("record_date"), F.date_add(day, 200).alias("pay_date"), F.date_add(day, (F.col("o_orderkey") % 300 - 60).cast("int")).alias("received"))
+    return V.dividend_days(e, T.sessions(spark, sf_dir)).select("o_orderkey", "ex_session", "pay_session", "avail_session")
 
 
 def dividend_resolve(spark, sf_dir):
-    o = T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("company_id"), F.col("o_orderkey").alias("receipt"), F.to_date("o_orderdate").alias("record_date"), F.col("o_totalprice").alias("amount"))
+    """Twenty customers are a company; every third order is a correction, of one of two kinds or of none."""
+    k = F.col("o_orderkey")
+    o = T.table(spark, sf_dir, "orders").select(
+        F.expr("o_custkey div 20").alias("company_id"), k.alias("receipt"), F.to_date("o_orderdate").alias("record_date"), F.when(k % 5 < 2, "cash").when(k % 5 < 4, "stock").alias("kind"),
+        (k % 3 == 0).alias("correction"), F.col("o_totalprice").alias("amount"),
+    )
     return V.dividend_resolve(o, 30)
 
 
@@ -180,14 +186,27 @@ SELECT session, rows, CASE WHEN close_match IS NULL THEN 'no_data' WHEN coverage
   floor(coverage * 1e6 + 0.5) / 1e6 AS coverage, floor(close_match * 1e6 + 0.5) / 1e6 AS close_match, floor(volume_match * 1e6 + 0.5) / 1e6 AS volume_match FROM r""",
     "stratified_sample": """WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY sha256(CAST(p_partkey AS VARCHAR)), p_partkey) AS rank FROM part)
 SELECT * FROM r ORDER BY rank, p_brand LIMIT 60""",
-    "dividend_days": f"""WITH {BARS}, c AS (SELECT session, lag(session) OVER (ORDER BY pos) AS before, lead(session) OVER (ORDER BY pos) AS nx FROM cal)
-SELECT o_orderkey, c.session AS record_session, before AS ex_session FROM orders LEFT JOIN c ON CAST(o_orderdate AS DATE) >= c.session
-  AND CAST(o_orderdate AS DATE) <= coalesce(CAST(nx - INTERVAL 1 DAY AS DATE), CAST(c.session + INTERVAL 31 DAY AS DATE)) WHERE o_orderstatus = 'F'""",
+    "dividend_days": f"""WITH {BARS}, c AS (SELECT session, lag(session) OVER (ORDER BY pos) AS before FROM cal), l AS (SELECT max(session) AS last FROM cal),
+o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) - 20 AS rec, CAST(o_orderdate AS DATE) + 200 AS pay, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 300 - 60 AS INTEGER) AS got FROM orders)
+SELECT o_orderkey, r.before AS ex_session, p.session AS pay_session, (SELECT min(session) FROM cal WHERE session > got) AS avail_session
+FROM o ASOF LEFT JOIN c r ON rec >= r.session ASOF LEFT JOIN c p ON pay >= p.session""",
+    # A state machine: the decisions that stand, one receipt of each company a step.
+    "dividend_resolve": """WITH RECURSIVE d AS (SELECT o_custkey // 20 AS company_id, o_orderkey AS receipt, CAST(o_orderdate AS DATE) AS record_date, CASE WHEN o_orderkey % 5 < 2 THEN 'cash' WHEN o_orderkey % 5 < 4 THEN 'stock' END AS kind,
+  o_orderkey % 3 = 0 AS correction, o_totalprice AS amount, row_number() OVER (PARTITION BY o_custkey // 20 ORDER BY o_orderkey) AS n FROM orders),
+e AS (SELECT company_id, n, struct_pack(r := receipt, t := record_date, k := kind, a := amount) AS x, correction AS c FROM d),
+s(company_id, n, l) AS (
+  SELECT DISTINCT company_id, 0::BIGINT, CAST([] AS STRUCT(r BIGINT, t DATE, k VARCHAR, a DOUBLE)[]) FROM d
+  UNION ALL
+  SELECT s.company_id, e.n, list_append(list_filter(s.l, lambda y: y.t <> e.x.t AND NOT coalesce(
+    e.c AND y.r = list_max(list_transform(list_filter(s.l, lambda z: z.k IS NOT DISTINCT FROM e.x.k AND abs(date_diff('day', z.t, e.x.t)) <= 30), lambda z: z.r)), false)), e.x)
+  FROM s JOIN e ON e.company_id = s.company_id AND e.n = s.n + 1),
+f AS (SELECT company_id, unnest(l) AS x FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY n DESC) = 1))
+SELECT company_id, x.r AS receipt, x.t AS record_date, x.k AS kind, x.a AS amount FROM f""",
     "price_audit": f"""WITH {STATES} SELECT market, count(*) FILTER (price_state = 'invalid') AS invalid, count(*) FILTER (price_state = 'zero_volume') AS zero_volume,
   count(*) FILTER (price_state = 'tradable') AS tradable FROM states GROUP BY market""",
 }
 
 DATES = {
     "availability_lag": ("session", "available_session"), "flow_freshness": ("session",), "merge_facts": ("available",), "financial_quality": ("available",),
-    "flag_transitions": ("session",), "backfill_plan": ("first_session", "last_session"), "reconcile_sessions": ("session",), "dividend_days": ("record_session", "ex_session"),
+    "flag_transitions": ("session",), "backfill_plan": ("first_session", "last_session"), "reconcile_sessions": ("session",), "dividend_days": ("ex_session", "pay_session", "avail_session"), "dividend_resolve": ("record_date",),
 }
