@@ -1,8 +1,8 @@
 """Phrase collocations from depth-truncated suffix trees, partitioned vertically as in ERA (Mansour et al., 2011).
 
-A suffix is a position's word and up to four that follow it in its piece. A first pass counts words, a second one counts
-pairs of frequent words in hashed counters; a suffix ends before a word, or a pair, that cannot be frequent, so what is
-left of it holds every frequent phrase. Prefixes of one word are dealt to groups of a bounded size; a prefix with more
+A suffix is a position's word and up to four that follow it in its piece. A first pass counts words, the next two count
+pairs and triples of what is left in hashed counters; a suffix ends before a word, pair or triple that cannot be frequent, so
+what is left of it holds every frequent phrase. Prefixes of one word are dealt to groups of a bounded size; a prefix with more
 suffixes than the budget is extended by a word, as often as needed. Each group's subtree is its sorted leaves: a node at
 depth d is a run of leaves that agree in d words, and the node's count is the sum of their totals. Words are 64-bit hashes
 salted with their language; a collision that could touch a count is found and raised.
@@ -25,7 +25,9 @@ from tidemark.llm.shingles import WEIGHTS, lowered, mix
 DEPTH = 5
 WORDS = [f"w{i}" for i in range(1, DEPTH + 1)]
 #: Bytes of text that are hashed at once, suffixes that a task gathers before it hands them on, and suffixes a group may hold.
-CHUNK, GATHERED, BUDGET = 4 << 20, 1 << 20, 500_000
+CHUNK, GATHERED, BUDGET = 1 << 20, 1 << 19, 500_000
+#: Shares of all leaves that a group may hold at most.
+GROUPS = 128
 #: Least and most bits of a filter's address: a filter of the most takes 8 MB, its counters 64 MB of a task.
 LEAST_BITS, MOST_BITS = 20, 26
 #: What parts pieces, what parts words, and both.
@@ -130,32 +132,51 @@ def _set(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _pairs(h: np.ndarray, bits: int) -> np.ndarray:
-    """Place of each word and the next in a filter of pairs."""
-    return mix(h[:-1] * WEIGHTS[0] + h[1:] * WEIGHTS[1]) & np.uint64((1 << bits) - 1)
+def _grams(h: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """Place of each run of k words in a filter."""
+    total = np.zeros(len(h) - k + 1, np.uint64)
+    for j in range(k):
+        total += h[j : len(h) - k + 1 + j] * WEIGHTS[j]
+    return mix(total) & np.uint64((1 << bits) - 1)
 
 
-def _frequent_pairs(h: np.ndarray, same: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
-    """Whether a word and the next are of one piece and may both be frequent."""
-    known = _set(words, h & np.uint64((1 << bits) - 1))
-    return same[:-1] & known[:-1] & known[1:]
+def _passing(h: np.ndarray, same: np.ndarray, filters: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """For k = 1, 2, ..: whether the k words from each place on are of one piece and may be frequent, by the filters of all lengths up to k.
+
+    With one filter more than is given: there the two runs of one word less that it holds have passed.
+    """
+    out = [_set(filters[0], h & np.uint64((1 << bits) - 1))]
+    for k in range(2, len(filters) + 2):
+        if len(h) < k:
+            out.append(np.zeros(0, bool))
+            continue
+        on = out[-1][:-1] & out[-1][1:]
+        if k == 2:
+            on &= same[:-1]
+        if k <= len(filters):
+            at = np.flatnonzero(on)
+            on[at] = _set(filters[k - 1], _grams(h, k, bits)[at])
+        out.append(on)
+    return out
 
 
-def pair_filter(docs: DataFrame, words: np.ndarray, bits: int, least: int) -> np.ndarray:
-    """Bits of the hashed counters that pairs of frequent words raise to `least`; a pair without its bit is rarer."""
+def gram_filter(docs: DataFrame, filters: list[np.ndarray], bits: int, least: int) -> np.ndarray:
+    """Bits of the hashed counters that runs of one word more than the filters know raise to `least`; a run without its bit is rarer.
+
+    Only runs whose parts pass the filters are counted.
+    """
     kind = np.uint8 if least <= 255 else np.uint32
-    most = np.iinfo(kind).max
+    most, k = np.iinfo(kind).max, len(filters) + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counters = np.zeros(1 << bits, kind)
         for lang, data in _chunks(batches):
             h, same, _, _ = hashed(lang, data)
-            if len(h) > 1:
-                at, c = np.unique(_pairs(h, bits)[_frequent_pairs(h, same, words, bits)], return_counts=True)
+            if len(h) >= k:
+                at, c = np.unique(_grams(h, k, bits)[_passing(h, same, filters, bits)[-1]], return_counts=True)
                 counters[at] = np.minimum(counters[at].astype(np.int64) + c, most).astype(kind)
-        used = np.flatnonzero(counters)
-        for i in range(0, len(used), GATHERED):
-            at = used[i : i + GATHERED]
+        for i in range(0, len(counters), GATHERED):
+            at = np.flatnonzero(counters[i : i + GATHERED]) + i
             yield pd.DataFrame({"at": at.astype(np.int32), "c": counters[at].astype(np.int64)})
 
     counted = docs.mapInPandas(run, "at int, c long").groupBy("at").agg(F.sum("c").alias("c"))
@@ -170,8 +191,8 @@ def _leaves(w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w[first], np.add.reduceat(c, first)
 
 
-def suffixes(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, bits: int) -> DataFrame:
-    """(w1 .. w5, c): suffixes of two words or more, up to the first word or pair that is rare, and how often a task met each."""
+def suffixes(docs: DataFrame, filters: list[np.ndarray], bits: int) -> DataFrame:
+    """(w1 .. w5, c): suffixes of two words or more, up to the first word, pair or triple that is rare, and how often a task met each."""
 
     def frame(w: np.ndarray, c: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({**{n: w[:, i].view(np.int64) for i, n in enumerate(WORDS)}, "c": c})
@@ -181,22 +202,20 @@ def suffixes(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, bits: int) -
         rows = 0
         for lang, data in _chunks(batches):
             h, same, _, _ = hashed(lang, data)
-            if len(h) < 2:
+            _, pair, triple, _ = _passing(h, same, filters, bits)
+            at = np.flatnonzero(pair)
+            if not len(at):
                 continue
-            on = _frequent_pairs(h, same, words, bits)
-            on &= _set(pairs, _pairs(h, bits))
-            at = np.flatnonzero(on)
             w = np.zeros((len(at), DEPTH), np.uint64)
-            w[:, 0] = h[at]
+            w[:, 0], w[:, 1] = h[at], h[at + 1]
             going = np.ones(len(at), bool)
-            for j in range(1, DEPTH):
-                place = at + j - 1
-                going &= place < len(on)
-                going[going] = on[place[going]]
+            for j in range(2, DEPTH):
+                place = at + j - 2
+                going &= place < len(triple)
+                going[going] = triple[place[going]]
                 w[going, j] = h[at[going] + j]
-            if len(at):
-                held.append(_leaves(w, np.ones(len(at), np.int64)))
-                rows += len(held[-1][0])
+            held.append(_leaves(w, np.ones(len(at), np.int64)))
+            rows += len(held[-1][0])
             if rows >= GATHERED:
                 held = [_leaves(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))]
                 rows = len(held[0][0])
@@ -213,9 +232,11 @@ def grouped(leaves: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Leaves with `prefix`, the number of words that the group's prefix has, and `part`, its group.
 
     A prefix with more leaves than the budget is extended; the driver holds one hash for each such prefix, of which there
-    are at most as many as budgets in the table. Groups are so many that one holds half a budget on average.
+    are at most as many as budgets in the table. Groups are so many that one holds half a budget on average, and the budget
+    is no more than a small share of all leaves.
     """
     total = leaves.count()
+    budget = max(1, min(budget, total // GROUPS))
     keys = [F.xxhash64(*WORDS[:d]) for d in range(1, DEPTH + 1)]
     prefix, length, over = keys[0], F.lit(1), F.lit(True)
     for d in range(1, DEPTH):
@@ -257,8 +278,10 @@ def frequent_phrases(docs: DataFrame, dictionary: DataFrame, least: int) -> Data
     n = dictionary.agg(F.sum("f")).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, int(n).bit_length()))
     words = _filter(dictionary.where(F.col("f") >= least).select(F.col("h").bitwiseAND((1 << bits) - 1).cast("int").alias("at")), bits)
-    pairs = pair_filter(docs, words, bits, least)
-    leaves = write_table(suffixes(docs, words, pairs, bits), "suffixes")
+    filters = [words]
+    for _ in range(2):
+        filters.append(gram_filter(docs, filters, bits, least))
+    leaves = write_table(suffixes(docs, filters, bits), "suffixes")
     nodes = grouped(leaves).groupBy("part").applyInPandas(_subtree(least), ", ".join(f"{w} long" for w in WORDS) + ", f long")
     whole = nodes.groupBy(*WORDS).agg(F.sum("f").alias("a")).where(F.col("a") >= least)
     return write_table(whole.select(F.filter(F.array(*WORDS), lambda w: w != 0).alias("p"), "a"), "phrases")
