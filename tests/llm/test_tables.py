@@ -133,3 +133,28 @@ def test_licence_wordings(spark):
     files = spark.createDataFrame([(i, f"{i}/x.txt", t) for i, (t, _) in enumerate(WORDINGS)], "file_id long, path string, text string")
     got = {r.file_id: r.licence for r in licences.licences(files, licences.template_table(spark)).collect()}
     assert got == {i: want for i, (_, want) in enumerate(WORDINGS)}
+
+
+def test_every_template_needs_a_cue():
+    """A unit holds all words that a template needs as terms, so it holds all parts of the cue that they hold: no cue drops a match."""
+    import re
+
+    for _, _, needs in licences.TEMPLATES:
+        words = needs.split(" ")
+        assert any(all(any(re.search(c, w) if c[0] == "\\" else c in w for w in words) for c in parts) for parts in licences.CUES), needs
+
+
+def test_a_grant_without_its_usual_words(spark):
+    text = GRANT.replace("hereby ", "")
+    files = spark.createDataFrame([(1, "a/x.txt", text), (2, "b/x.txt", "This work comes by way of cc and 4.0, see elsewhere")], "file_id long, path string, text string")
+    got = {r.file_id: r.licence for r in licences.licences(files, licences.template_table(spark)).collect()}
+    assert got[1] == "MIT"
+
+
+def test_top_k_of_shared_ids_and_large_parts(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (None, [1.0, 1.0]), (3, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in kd_search.top_k(df).orderBy("query_id", "rank").collect()] == [(0, 1, 2, 65536), (0, 2, 1, 0)]
+    big = spark.createDataFrame([(0, [1e30, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="too large"):
+        kd_search.top_k(big).collect()

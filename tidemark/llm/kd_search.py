@@ -79,11 +79,17 @@ class Tree:
 
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", factor: float = 256.0) -> DataFrame:
-    """(vec_id, x array<long>): floor(factor * component as double). Null vectors, those with null or non-finite parts, and those without an id go."""
+    """(vec_id, x array<long>): floor(factor * component as double). Null vectors, those with null or non-finite parts, and those without an id go.
+
+    Raises where an inner product of such vectors could leave 64 bits.
+    """
     x = F.col(f"`{vec_col}`")
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
+    scaled = F.transform(x, lambda e: F.floor(e.cast("double") * factor))
+    most = F.aggregate(x, F.lit(0.0), lambda acc, e: F.greatest(acc, F.abs(e.cast("double") * factor) + 1))
+    fits = F.size(x) * most * most < float(1 << 62)
     return vectors.where(x.isNotNull() & ~bad & F.col(f"`{id_col}`").isNotNull()).select(
-        F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * factor)).alias("x")
+        F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.when(fits, scaled).otherwise(F.raise_error(F.lit("a component is too large for 64-bit inner products")).cast("array<bigint>")).alias("x")
     )
 
 
@@ -116,7 +122,8 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best inner products of each row whose id is divisible by `every`.
 
-    Ties go to the smaller id; a row is no answer to itself, also where its id is repeated. Vectors of another length than
+    Ties go to the smaller id; a row is no answer to itself, also where its id is repeated. Of vectors that share a query's id the
+    smallest asks; as candidates all take part. Vectors of another length than
     the query's take no part in its answer; empty vectors meet each other with a score of 0. A row without id takes no part.
     An empty table gives an empty one; with fewer candidates, all are returned.
     """
@@ -129,7 +136,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     queries = write_table(asked.select(
         F.col("vec_id").alias("query_id"), "x", "dim", F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(blocks)).cast("int").alias("block")
-    ).dropDuplicates(["query_id"]), "queries")
+    ).groupBy("query_id", "block").agg(F.min(F.struct("x", "dim")).alias("q")).select("query_id", "q.x", "q.dim", "block"), "queries")
     search = _search(k)
     schema = "query_id long, vec_id long, score long"
 

@@ -1,7 +1,7 @@
 """Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor.
 
 DataFrame operations only. Whole texts are cut into units: blocks between blank lines (comment headers, licence texts),
-lines, and sentences. Units with a licence cue are reduced to their wording, without comment signs, years and holders, and
+lines, and sentences. Units that hold what some template needs are reduced to their wording, without comment signs, years and holders, and
 grouped by it before any vector is made, so that a header which a third of all files carry is compared once. A file without
 a licence of its own takes that of the nearest directory above it which holds a licence file.
 """
@@ -118,9 +118,10 @@ GNU_TEXT = (
     "details. You should have received a copy of the GNU {kind}General Public License along with this {what}. If not, see http://www.gnu.org/licenses."
 )
 GNU_VERSIONS = ["version {v} of the License.", "either version {v} of the License, or (at your option) any later version."]
-#: What a unit that is compared must hold, in lower case.
+#: A unit is compared if it holds, in lower case, all parts of one of these. Each template needs words that hold all parts of one of them, so
+#: what is left out could match none. A part that begins with a backslash is a pattern.
 CUES = [
-    "licens", "licenc", "copyright", "rights reserved", "hereby granted", "redistribut", "public domain", "proprietary", "creative commons", "cc by", "cc0",
+    ("licens",), ("licenc",), ("bsd", "-clause"), ("permission", "granted"), ("redistribution", "permitted"), ("creative", "commons"), ("by", r"\bcc\b"), ("cc0",), ("unencumbered",), ("rights", "reserved"), ("proprietary", "copying"),
 ]
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Years and holders of a copyright notice, up to what follows them.
@@ -156,7 +157,7 @@ def wording(text: Column) -> Column:
 
 def _has_cue(text: Column) -> Column:
     low = F.lower(text)
-    return reduce(Column.__or__, [low.contains(c) for c in CUES])
+    return reduce(Column.__or__, [reduce(Column.__and__, [low.rlike(c) if c[0] == "\\" else low.contains(c) for c in parts]) for parts in CUES])
 
 
 def units(text: Column) -> Column:

@@ -132,7 +132,10 @@ _NORMAL = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 
 
 def _cue(text: str) -> str:
-    return "(" + " OR ".join(f"contains(lower({text}), '{c}')" for c in CUES) + ")"
+    def held(c: str) -> str:
+        return f"regexp_matches(lower({text}), '{c}')" if c[0] == "\\" else f"contains(lower({text}), '{c}')"
+
+    return "(" + " OR ".join("(" + " AND ".join(map(held, parts)) + ")" for parts in CUES) + ")"
 
 
 def _wording(text: str) -> str:
