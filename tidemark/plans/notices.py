@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import forms as O
 from tidemark.operators import notices as N
 from tidemark.plans.pit import FACTS, _facts, _known
 from tidemark.sources import tables as T
@@ -128,9 +129,48 @@ def document_benchmark(spark, sf_dir):
     return got.select("labels", "compared", "exact", *((F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) for c in ("precision", "coverage")))
 
 
+def _bodies(spark, sf_dir):
+    """Delisting forms of orders: digits of the key tell what a form lacks, how it writes a date and whether it has a period."""
+    k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
+
+    def shown(day):
+        return F.when(k % 3 == 0, F.date_format(day, "yyyy-MM-dd")).when(k % 3 == 1, F.date_format(day, "yyyy.MM.dd")).otherwise(F.date_format(day, "yyyy년 MM월 dd일"))
+
+    code = F.when(k % 11 == 0, F.lit("<td>코드 없음</td>")).when(k % 11 == 1, F.concat(F.lit("<td>종목코드 : KR7"), F.lpad((k % 1000000).cast("string"), 6, "0"), F.lit("003</td>"))).otherwise(
+        F.concat(F.lit("<td>단축코드</td><td>A"), F.lpad((k % 1000000).cast("string"), 6, "0"), F.lit(" <b>A00000X</b></td><td>상장폐지 사유 A999999 등</td>"))
+    )
+    period = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("<p>정리매매 허용기간<br>시작일 "), shown(d), F.when(k % 13 != 0, F.concat(F.when(k % 2 == 0, "&nbsp;종료일 ").otherwise(" 만료일: "), shown(F.date_add(d, 10)))).otherwise(""), F.lit("</p>")))
+    day = F.when(k % 17 == 0, "").when(k % 7 == 0, "<p>상장폐지일 : -</p>").otherwise(F.concat(F.lit("<p>상장폐지일 "), shown(F.date_add(d, 11)), F.lit("</p>")))
+    day = F.when(k % 7 == 0, F.when(k % 17 == 0, "").otherwise("<p>상장폐지일 -</p>")).otherwise(day)
+    return T.table(spark, sf_dir, "orders").select(k.alias("notice"), F.concat(F.lit("<html>"), code, period, day).alias("html"))
+
+
+def delisting_forms(spark, sf_dir):
+    forms, _ = O.delisting_forms(_bodies(spark, sf_dir))
+    return forms.withColumn("tickers", F.array_join("tickers", ","))
+
+
+def unread_forms(spark, sf_dir):
+    _, unread = O.delisting_forms(_bodies(spark, sf_dir))
+    return unread
+
+
+#: Account ids and labels with the fact that they should give.
+ACCOUNTS = [
+    ("ifrs-full_Assets", "x", "assets"), (None, "I. 매출액 (주석 29)", "sales"), ("", "(1)영업이익", "operating_profit"), (" dart_Revenue ", None, "sales"), ("other", "가. 유형자산의 취득", "capex"), ("other", "[자본총계]", "equity"),
+    ("other", "자산총계 및 부채", None), ("ifrs-full_Equity", "자산총계", "equity"), (None, "수익(매출액)", None), (None, None, None),
+]
+
+
+def account_facts(spark, sf_dir):
+    n = F.col("o_orderkey") % len(ACCOUNTS)
+    o = T.table(spark, sf_dir, "orders").select(_of([a for a, *_ in ACCOUNTS], n).alias("account_id"), _of([b for _, b, _ in ACCOUNTS], n).alias("label"))
+    return o.groupBy("account_id", "label", O.account_fact(F.col("account_id"), F.col("label")).alias("fact")).agg(F.count("*").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
     notice_titles, notice_dedupe, notice_contradictions, document_targets, periodic_identities, relevant_identities, coverage_gaps, corporate_actions, corporate_violations, pending_bars, sharded_units,
-    release_benchmark, document_benchmark,
+    release_benchmark, document_benchmark, delisting_forms, unread_forms, account_facts,
 )}
 
 
@@ -151,6 +191,10 @@ RECORDS = """c0 AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 61 <> 0 THEN
   list_extract([NULL, ' ', 'why'], CAST(o_orderkey % 7 % 3 AS INTEGER) + 1) AS reason FROM orders),
 c1 AS (SELECT *, CASE WHEN k % 6 = 4 THEN 'unsupported_type' WHEN k % 6 = 2 AND (k % 4 = 0 OR k % 9 = 0) THEN 'bonus_without_listing' WHEN k % 6 = 3 OR status IS NULL THEN 'no_evidence' WHEN status = 'maybe' THEN 'unknown_status'
   WHEN status = 'verified' AND reason = 'why' THEN 'verified_with_reason' WHEN status = 'unresolved' AND coalesce(reason, '') <> 'why' THEN 'unresolved_without_reason' WHEN instrument_id IS NULL THEN 'no_instrument' END AS violation FROM c0)"""
+FORM = """d AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders),
+f AS (SELECT k AS notice, CASE WHEN k % 11 = 0 THEN '' WHEN k % 11 = 1 THEN lpad(CAST(k % 1000000 AS VARCHAR), 6, '0') ELSE lpad(CAST(k % 1000000 AS VARCHAR), 6, '0') || ',00000X' END AS tickers,
+  CASE WHEN k % 5 <> 0 THEN d END AS liquidation_start, CASE WHEN k % 5 <> 0 AND k % 13 <> 0 THEN d + 10 END AS liquidation_end, CASE WHEN k % 17 <> 0 AND k % 7 <> 0 THEN d + 11 END AS delisting_date,
+  CASE WHEN k % 11 = 0 THEN 'no_code' WHEN k % 17 = 0 THEN 'no_day' WHEN k % 5 <> 0 AND k % 13 = 0 THEN 'half_a_period' END AS reason FROM d)"""
 _SUBJECT = "c_mktsegment || '-' || c_nationkey"
 
 SQL = {
@@ -183,4 +227,10 @@ p AS (SELECT f, fact, b, f * 3 + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END AS v FRO
 n AS (SELECT count(*) AS labels, count(p.v) AS compared, count(*) FILTER (p.v = l.v) AS exact FROM l LEFT JOIN p USING (f, fact, b) WHERE f IN (SELECT f FROM p))
 SELECT *, floor(exact / compared * 1e6 + 0.5) / 1e6 AS precision, floor(compared / labels * 1e6 + 0.5) / 1e6 AS coverage FROM n""",
 }
-DATES = {"periodic_identities": ("published",), "coverage_gaps": ("start", '"end"'), "corporate_actions": ("effective", "listing"), "pending_bars": ("session",)}
+_rows = ", ".join("(" + ", ".join([str(i), *("NULL" if x is None else f"'{x}'" for x in r)]) + ")" for i, r in enumerate(ACCOUNTS))
+SQL |= {
+    "delisting_forms": f"WITH {FORM} SELECT notice, tickers, liquidation_start, liquidation_end, delisting_date FROM f WHERE reason IS NULL",
+    "unread_forms": f"WITH {FORM} SELECT notice, reason FROM f WHERE reason IS NOT NULL",
+    "account_facts": f"WITH a(i, account_id, label, fact) AS (VALUES {_rows}) SELECT account_id, label, fact, count(*) AS n FROM orders JOIN a ON i = o_orderkey % {len(ACCOUNTS)} GROUP BY ALL",
+}
+DATES = {"delisting_forms": ("liquidation_start", "liquidation_end", "delisting_date"), "periodic_identities": ("published",), "coverage_gaps": ("start", '"end"'), "corporate_actions": ("effective", "listing"), "pending_bars": ("session",)}
