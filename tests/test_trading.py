@@ -133,3 +133,23 @@ def test_scan_and_publish(spark, tmp_path):
     with pytest.raises(core.PointInTimeError):
         datasets.publish_identity(df.withColumn("v", F.lit(9)), str(tmp_path), "k", {"a": 1}, ["x", "y"], ["year"])
     assert datasets.publish_identity(df.withColumn("v", F.lit(9)), str(tmp_path), "k", {"a": 2}, ["x", "y"], ["year"]) != one
+
+
+def test_priced_orders(spark):
+    """One case of each reason, a fill in part, both sides, and a price held by the day's limit."""
+    row = {"open": 1000, "close": 1000, "volume": 5, "upper_limit": 1300, "lower_limit": 700, "open_at_upper": False, "open_at_lower": False, "entry_blocked": False, "adtv20": 40000.0, "ret_vol60": 0.01}
+    cases = {
+        1: ("buy", 10, {}, {}, (10, 1012, None, 0)), 2: ("sell", 10, {}, {}, (10, 988, None, 0)), 3: ("buy", 25, {}, {}, (20, 1013, "capacity", 5)), 4: ("buy", 5, {"volume": 0}, {}, (0, None, "halted", 5)),
+        5: ("buy", 5, {"entry_blocked": True}, {}, (0, None, "entry_blocked", 5)), 6: ("sell", 5, {"entry_blocked": True}, {"adtv20": 1e9}, (5, 988, None, 0)), 7: ("buy", 5, {"open": 0}, {}, (0, None, "missing_price", 5)),
+        8: ("buy", 5, {"open_at_upper": True}, {}, (0, None, "limit_locked", 5)), 9: ("buy", 5, {"open_at_lower": True}, {"adtv20": 1e9}, (5, 1012, None, 0)), 10: ("buy", 5, {}, {"adtv20": None}, (0, None, "capacity", 5)),
+        11: ("buy", 5, {}, {"ret_vol60": None}, (0, None, "no_volatility", 5)), 12: ("buy", 5, None, {}, (0, None, "missing_price", 5)), 13: ("buy", 5, {"upper_limit": 1005}, {}, (5, 1005, None, 0)), 14: ("sell", 5, {"lower_limit": 999}, {}, (5, 999, None, 0)),
+    }
+    rows, asked = [], []
+    for i, (side, quantity, later, before, _) in cases.items():
+        asked.append((i, 3, side, quantity))
+        rows.append((i, 3, *(row | before).values()))
+        if later is not None:
+            rows.append((i, 4, *(row | later).values()))
+    schema = "instrument_id int, pos int, open long, close long, volume long, upper_limit long, lower_limit long, open_at_upper boolean, open_at_lower boolean, entry_blocked boolean, adtv20 double, ret_vol60 double"
+    got = orders.priced_orders(spark.createDataFrame(asked, "instrument_id int, pos int, side string, quantity long"), spark.createDataFrame(rows, schema), 0.5, 0.2, 0.01, 0.2, F.lit(5))
+    assert {r.instrument_id: (r.filled, r.price, r.reject, r.rest) for r in got.collect()} == {i: want for i, (*_, want) in cases.items()}

@@ -58,3 +58,35 @@ def order_fill_estimate(orders: DataFrame, next_rows: DataFrame, participation:
         .when(cap < 1, "capacity")
     )
     return j.select("pos", "instrument_id", "order", reason.alias("reject"), F.when(reason.isNull(), F.least(size, cap)).otherwise(0).cast("long").alias("filled"))
+
+
+def priced_orders(orders: DataFrame, rows: DataFrame, participation: float, k: float, extra: float, slip_ticks: float, tick: Column) -> DataFrame:
+    """Orders (instrument_id, pos, side, quantity) decided at pos, in the opening auction of pos + 1: filled, price, reject and, of a part, rest.
+
+    rows: (instrument_id, pos, open, close, volume, upper_limit, lower_limit, open_at_upper, open_at_lower, entry_blocked, adtv20, ret_vol60 and what
+    `tick` reads). The first reason that holds rejects: missing_price, halted, entry_blocked for a purchase, missing_price of an open
+    that is not positive, limit_locked on the order's side, capacity, no_volatility. Capacity is a share of the decision day's adtv20 at its close; an
+    order beyond it is filled in part and its rest rejected. The price moves against the order by impact, extra and ticks, is rounded against it to
+    whole won, and stays within the day's limits.
+    """
+    keys = ["instrument_id", "pos"]
+    decided = rows.select(*keys, F.col("close").alias("d_close"), F.col("adtv20").alias("d_adtv"), F.col("ret_vol60").alias("d_vol"))
+    opened = rows.withColumns({"tick": tick, "pos": F.col("pos") - 1}).select(*keys, "open", "volume", "upper_limit", "lower_limit", "open_at_upper", "open_at_lower", "entry_blocked", "tick", F.lit(True).alias("there"))
+    j = orders.join(opened, keys, "left").join(decided, keys, "left")
+    buy = F.col("side") == "buy"
+    cap = F.coalesce(F.when((F.col("d_adtv") > 0) & (F.col("d_close") > 0), F.floor(participation * F.col("d_adtv") / F.col("d_close"))), F.lit(0)).cast("long")
+    reject = (
+        F.when(F.col("there").isNull(), "missing_price").when(F.col("volume") == 0, "halted").when(buy & F.coalesce("entry_blocked", F.lit(False)), "entry_blocked")
+        .when(~F.coalesce(F.col("open") > 0, F.lit(False)), "missing_price").when(F.when(buy, F.col("open_at_upper")).otherwise(F.col("open_at_lower")), "limit_locked")
+        .when(cap <= 0, "capacity").when(F.col("d_vol").isNull() | F.isnan("d_vol"), "no_volatility")
+    )
+    j = j.withColumns({"cap": cap, "reject": reject})
+    filled = F.when(F.col("reject").isNull(), F.least("quantity", "cap")).otherwise(0)
+    j = j.withColumn("filled", filled.cast("long"))
+    base = F.col("open").cast("double")
+    move = impact(k, F.col("d_vol"), F.col("filled") * base, F.col("d_adtv")) + extra
+    up = F.least(F.ceil(base * (1.0 + move) + slip_ticks * F.col("tick")), F.coalesce("upper_limit", F.lit(2**62)))
+    down = F.greatest(F.floor(base * (1.0 - move) - slip_ticks * F.col("tick")), F.coalesce("lower_limit", F.lit(1)), F.lit(1))
+    price = F.when(F.col("filled") > 0, F.when(buy, up).otherwise(down)).cast("long")
+    rest = F.when(F.col("reject").isNull(), F.col("quantity") - F.col("filled")).otherwise(F.col("quantity"))
+    return j.select(*orders.columns, "filled", price.alias("price"), F.coalesce("reject", F.when(F.col("filled") < F.col("quantity"), "capacity")).alias("reject"), rest.cast("long").alias("rest"))

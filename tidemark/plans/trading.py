@@ -8,7 +8,7 @@ from tidemark.operators import evaluation as E
 from tidemark.operators import fundamentals as K
 from tidemark.operators import orders as O
 from tidemark.operators import panel as P
-from tidemark.plans.panel import BARS, PANEL, panel
+from tidemark.plans.panel import BARS, PANEL, REGIMES, _tick, panel
 from tidemark.sources import datasets as D
 from tidemark.sources import tables as T
 
@@ -33,6 +33,14 @@ def impact_costs(spark, sf_dir):
     return p.select("instrument_id", "session", (F.floor(cost * 1e6 + 0.5) / 1e6).alias("impact"))
 
 
+def priced_orders(spark, sf_dir):
+    """An order for each trading day of a supplier, on the side of its key's parity; purchases of some are blocked, others' opens are absent."""
+    p = P.ret_vol(panel(spark, sf_dir)).withColumn("entry_blocked", (F.col("instrument_id") % 17 == 0) & (F.col("pos") % 3 == 0)).withColumn("open", F.when(F.col("volume") % 23 != 0, F.col("open")).otherwise(0))
+    side = F.when(F.col("instrument_id") % 2 == 0, "buy").otherwise("sell")
+    orders = T.observed(spark, sf_dir).select("instrument_id", (F.col("pos") - F.col("pos") % 2).alias("pos"), side.alias("side"), (F.col("close") % 50 * 10 + 1).alias("quantity"), F.col("pos").alias("asked"))
+    return O.priced_orders(orders, p, 0.5, 0.1, 0.001, 0.5, P.tick_for(F.col("open"), F.col("session"), REGIMES))
+
+
 def dividend_returns(spark, sf_dir):
     b = T.bars(spark, sf_dir)
     paid = T.table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_suppkey").alias("instrument_id"), F.to_date("l_shipdate").alias("ex_session"), F.col("l_linenumber").alias("dps"))
@@ -54,9 +62,26 @@ def published_bars(spark, sf_dir):
     return D.scan(spark, path, ["year"], F.col("p_year") == 1997).groupBy("year").agg(F.count("*").alias("n"), F.sum("close").alias("closes"))
 
 
-QUERIES = {f.__name__: f for f in (select_held, contract_targets, impact_costs, dividend_returns, scanned_columns, published_bars)}
+QUERIES = {f.__name__: f for f in (select_held, contract_targets, impact_costs, priced_orders, dividend_returns, scanned_columns, published_bars)}
+
+VOL = PANEL + """, k AS (SELECT *, CASE WHEN ret_price IS NOT NULL THEN count(ret_price) OVER (PARTITION BY instrument_id ORDER BY session) END AS kr FROM panel),
+o AS (SELECT *, CASE WHEN kr >= 60 THEN stddev_samp(ret_price) OVER (PARTITION BY instrument_id, ret_price IS NULL ORDER BY session ROWS 59 PRECEDING) END AS own FROM k),
+fv AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY instrument_id ORDER BY session ROWS UNBOUNDED PRECEDING) AS vol FROM o)"""
 
 SQL = {
+    "priced_orders": f"""WITH {VOL}, a AS (SELECT instrument_id, pos - pos % 2 AS pos, CASE WHEN instrument_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, close % 50 * 10 + 1 AS quantity, pos AS asked FROM bars JOIN cal USING (session)),
+n AS (SELECT instrument_id, pos - 1 AS pos, CASE WHEN volume % 23 <> 0 THEN open ELSE 0 END AS op, volume AS nv, upper_limit AS ul, lower_limit AS ll, open_at_upper AS au, open_at_lower AS al, instrument_id % 17 = 0 AND pos % 3 = 0 AS eb,
+  session FROM fv),
+t AS (SELECT *, {_tick("op")} AS tick FROM n),
+j AS (SELECT a.*, op, nv, ul, ll, au, al, eb, tick, d.adtv20 AS adtv, d.vol, coalesce(CASE WHEN d.adtv20 > 0 AND d.close > 0 THEN CAST(floor(0.5::DOUBLE * d.adtv20 / d.close) AS BIGINT) END, 0) AS cap
+  FROM a LEFT JOIN t ON t.instrument_id = a.instrument_id AND t.pos = a.pos LEFT JOIN fv d ON d.instrument_id = a.instrument_id AND d.pos = a.pos),
+r AS (SELECT *, CASE WHEN nv IS NULL THEN 'missing_price' WHEN nv = 0 THEN 'halted' WHEN side = 'buy' AND eb THEN 'entry_blocked' WHEN NOT op > 0 THEN 'missing_price' WHEN CASE WHEN side = 'buy' THEN au ELSE al END THEN 'limit_locked'
+  WHEN cap <= 0 THEN 'capacity' WHEN vol IS NULL THEN 'no_volatility' END AS why FROM j),
+fi AS (SELECT *, CASE WHEN why IS NULL THEN least(quantity, cap) ELSE 0 END AS filled FROM r),
+m AS (SELECT *, 0.1::DOUBLE * vol * sqrt(filled * CAST(op AS DOUBLE) / adtv) + 0.001::DOUBLE AS move FROM fi)
+SELECT instrument_id, pos, side, quantity, asked, filled, CASE WHEN filled > 0 THEN CAST(CASE WHEN side = 'buy' THEN least(ceil(op * (1.0::DOUBLE + move) + 0.5::DOUBLE * tick), coalesce(ul, 1e18))
+  ELSE greatest(floor(op * (1.0::DOUBLE - move) - 0.5::DOUBLE * tick), coalesce(ll, 1), 1) END AS BIGINT) END AS price, coalesce(why, CASE WHEN filled < quantity THEN 'capacity' END) AS reject,
+  CASE WHEN why IS NULL THEN quantity - filled ELSE quantity END AS rest FROM m""",
     # A state machine over each sleeve's decisions.
     "select_held": f"""WITH RECURSIVE {BARS}, x AS (SELECT pos % 4 AS sleeve, pos, instrument_id, CASE WHEN volume % 11 <> 0 THEN instrument_id * 7919 % 101 + close % 37 END AS score FROM bars JOIN cal USING (session)),
 r AS (SELECT *, row_number() OVER (PARTITION BY sleeve, pos ORDER BY score DESC, instrument_id) AS rank FROM x WHERE score IS NOT NULL),
@@ -70,9 +95,7 @@ s(sleeve, k, pos, held) AS (
 SELECT sleeve, pos, CAST(unnest(range(1, len(held) + 1)) AS INTEGER) AS rank, unnest(held) AS instrument_id FROM s WHERE k > 0""",
     "contract_targets": f"""WITH {BARS}, x AS (SELECT instrument_id, pos, CASE WHEN pos % 8 <> 0 THEN CAST(sign(change) AS BIGINT) * (pos % 9) END AS twice FROM bars JOIN cal USING (session))
 SELECT instrument_id, pos, CASE WHEN twice >= 0 THEN twice // 2 ELSE -(-twice // 2) END AS contracts FROM x""",
-    "impact_costs": f"""WITH {PANEL}, k AS (SELECT *, CASE WHEN ret_price IS NOT NULL THEN count(ret_price) OVER (PARTITION BY instrument_id ORDER BY session) END AS kr FROM panel),
-o AS (SELECT *, CASE WHEN kr >= 60 THEN stddev_samp(ret_price) OVER (PARTITION BY instrument_id, ret_price IS NULL ORDER BY session ROWS 59 PRECEDING) END AS own FROM k),
-fv AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY instrument_id ORDER BY session ROWS UNBOUNDED PRECEDING) AS vol FROM o)
+    "impact_costs": f"""WITH {VOL}
 SELECT instrument_id, session, floor(0.1::DOUBLE * vol * sqrt(value / CASE WHEN adtv20 > 0 THEN adtv20 END) * 1e6 + 0.5) / 1e6 AS impact FROM fv""",
     "dividend_returns": f"""WITH {BARS}, p AS (SELECT l_suppkey AS instrument_id, CAST(l_shipdate AS DATE) AS session, sum(l_linenumber) AS dps FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY ALL)
 SELECT instrument_id, session, floor(dps * (1 - 0.154::DOUBLE) / base_price * 1e9 + 0.5) / 1e9 AS dividend_return FROM p JOIN bars USING (instrument_id, session) WHERE base_price > 0""",
