@@ -93,10 +93,14 @@ def test_leaves_and_subtree():
     w = np.array([[1, 2, 0, 0, 0], [1, 2, 3, 0, 0], [1, 2, 0, 0, 0], [4, 2, 0, 0, 0]], np.uint64)
     leaves, c = collocations._leaves(w, np.array([1, 1, 1, 5]))
     assert sorted(zip(leaves[:, 2].tolist(), c.tolist(), strict=True)) == [(0, 2), (0, 5), (3, 1)]
-    pdf = pd.DataFrame(leaves.astype(np.int64), columns=collocations.WORDS).assign(c=c, prefix=1)
+    pdf = pd.DataFrame([(2 * collocations.PARTS, len(c), leaves.tobytes() + c.tobytes())], columns=["part", "n", "leaves"])
     got = collocations._subtree(3)(pdf)
     assert sorted(map(tuple, got.to_numpy().tolist())) == [(1, 2, 0, 0, 0, 3), (4, 2, 0, 0, 0, 5)]
-    assert len(collocations._subtree(3)(pdf.assign(prefix=4))) == 3
+    assert len(collocations._subtree(3)(pdf.assign(part=4 * collocations.PARTS))) == 3
+    packed = collocations._packed(leaves, c, 2)
+    again = collocations._unpacked(packed["leaves"], packed["n"])
+    assert packed["n"].sum() == len(c)
+    assert sorted(zip(map(tuple, again[0].tolist()), again[1].tolist(), strict=True)) == sorted(zip(map(tuple, leaves.tolist()), c.tolist(), strict=True))
 
 
 def test_hashes_of_long_words_tell_places_apart():

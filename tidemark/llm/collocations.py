@@ -2,8 +2,8 @@
 
 A suffix is a position's word and up to four that follow it in its piece. A first pass counts words, the next two count
 pairs and triples of what is left in hashed counters; a suffix ends before a word, pair or triple that cannot be frequent, so
-what is left of it holds every frequent phrase. Prefixes of one word are dealt to groups of a bounded size; a prefix with more
-suffixes than the budget is extended by a word, as often as needed. Each group's subtree is its sorted leaves: a node at
+what is left of it holds every frequent phrase. Prefixes of two words are dealt to parts, so that no node of two words or more is
+cut; a part with more suffixes than the budget is dealt again by prefixes of a word more. Each part's subtree is its sorted leaves: a node at
 depth d is a run of leaves that agree in d words, and the node's count is the sum of their totals. Words are 64-bit hashes
 salted with their language; a collision that could touch a count is found and raised.
 """
@@ -26,10 +26,11 @@ DEPTH = 5
 WORDS = [f"w{i}" for i in range(1, DEPTH + 1)]
 #: Bytes of text that are hashed at once, suffixes that a task gathers before it hands them on, and suffixes a group may hold.
 CHUNK, GATHERED, BUDGET = 1 << 20, 1 << 19, 500_000
-#: Shares of all leaves that a group may hold at most.
-GROUPS = 128
-#: Least and most bits of a filter's address: a filter of the most takes 8 MB, its counters 64 MB of a task.
-LEAST_BITS, MOST_BITS = 20, 26
+#: Parts that prefixes of one length are dealt to, a power of two, and shares of all leaves that a part may hold at most.
+PARTS, SHARES = 1024, 128
+PACKED = "part long, n long, leaves binary"
+#: Least and most bits of a filter's address: a filter of the most takes 4 MB, its counters 32 MB of a task.
+LEAST_BITS, MOST_BITS = 20, 25
 #: What parts pieces, what parts words, and both.
 PIECE, BLANK = b".,;:!?\n\v\f\r", b" \t"
 
@@ -175,8 +176,8 @@ def gram_filter(docs: DataFrame, filters: list[np.ndarray], bits: int, least: in
             if len(h) >= k:
                 at, c = np.unique(_grams(h, k, bits)[_passing(h, same, filters, bits)[-1]], return_counts=True)
                 counters[at] = np.minimum(counters[at].astype(np.int64) + c, most).astype(kind)
-        for i in range(0, len(counters), GATHERED):
-            at = np.flatnonzero(counters[i : i + GATHERED]) + i
+        for i in range(0, len(counters), 1 << LEAST_BITS):
+            at = np.flatnonzero(counters[i : i + (1 << LEAST_BITS)]) + i
             yield pd.DataFrame({"at": at.astype(np.int32), "c": counters[at].astype(np.int64)})
 
     counted = docs.mapInPandas(run, "at int, c long").groupBy("at").agg(F.sum("c").alias("c"))
@@ -191,11 +192,32 @@ def _leaves(w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w[first], np.add.reduceat(c, first)
 
 
+def _packed(w: np.ndarray, c: np.ndarray, length: int) -> pd.DataFrame:
+    """Leaves by the part that their first words (so many) are dealt to; a part's number tells the length, too."""
+    total = np.zeros(len(w), np.uint64)
+    for j in range(length):
+        total += w[:, j] * WEIGHTS[j]
+    part = (mix(total) & np.uint64(PARTS - 1)).astype(np.int64) + length * PARTS
+    order = np.argsort(part, kind="stable")
+    first = np.flatnonzero(np.diff(part[order], prepend=-1))
+    spans = zip(first, np.append(first[1:], len(order)), strict=True)
+    rows = [(part[order[a]], b - a, w[order[a:b]].tobytes() + c[order[a:b]].tobytes()) for a, b in spans]
+    return pd.DataFrame(rows, columns=["part", "n", "leaves"])
+
+
+def _unpacked(leaves: pd.Series, n: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    pairs = [(np.frombuffer(x, np.uint64, k * DEPTH).reshape(k, DEPTH), np.frombuffer(x, np.int64, k, k * DEPTH * 8)) for x, k in zip(leaves, n, strict=True)]
+    return np.concatenate([w for w, _ in pairs]), np.concatenate([c for _, c in pairs])
+
+
 def suffixes(docs: DataFrame, filters: list[np.ndarray], bits: int) -> DataFrame:
-    """(w1 .. w5, c): suffixes of two words or more, up to the first word, pair or triple that is rare, and how often a task met each."""
+    """(part, n, leaves): suffixes of two words or more, up to the first word, pair or triple that is rare, with how often a task met each.
+
+    A task's leaves go packed, one row for each part that the first two words deal them to.
+    """
 
     def frame(w: np.ndarray, c: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({**{n: w[:, i].view(np.int64) for i, n in enumerate(WORDS)}, "c": c})
+        return _packed(w, c, 2)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -225,48 +247,53 @@ def suffixes(docs: DataFrame, filters: list[np.ndarray], bits: int) -> DataFrame
         if held:
             yield frame(*_leaves(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])))
 
-    return docs.mapInPandas(run, ", ".join(f"{w} long" for w in WORDS) + ", c long")
+    return docs.mapInPandas(run, PACKED)
 
 
 def grouped(leaves: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Leaves with `prefix`, the number of words that the group's prefix has, and `part`, its group.
+    """Leaves in parts of at most a budget, where their words allow it: a part with more is dealt again by one word more of each prefix.
 
-    A prefix with more leaves than the budget is extended; the driver holds one hash for each such prefix, of which there
-    are at most as many as budgets in the table. Groups are so many that one holds half a budget on average, and the budget
-    is no more than a small share of all leaves.
+    The budget is no more than a small share of all leaves. The driver holds the numbers of the parts over it, fewer than shares.
     """
-    total = leaves.count()
-    budget = max(1, min(budget, total // GROUPS))
-    keys = [F.xxhash64(*WORDS[:d]) for d in range(1, DEPTH + 1)]
-    prefix, length, over = keys[0], F.lit(1), F.lit(True)
-    for d in range(1, DEPTH):
-        heavy = [r.key for r in leaves.where(over).groupBy(keys[d - 1].alias("key")).count().where(F.col("count") > budget).collect()]
-        if not heavy:
+    total = leaves.agg(F.sum("n")).first()[0] or 0
+    budget = max(1, min(budget, total // SHARES))
+
+    def split(length: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for i in range(len(pdf)):
+                    yield _packed(*_unpacked(pdf["leaves"].iloc[i : i + 1], pdf["n"].iloc[i : i + 1]), length)
+
+        return run
+
+    for length in range(3, DEPTH + 1):
+        over = [r.part for r in leaves.where(F.col("part") >= (length - 1) * PARTS).groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") > budget).collect()]
+        if not over:
             break
-        over = over & keys[d - 1].isin(heavy)
-        prefix, length = F.when(over, keys[d]).otherwise(prefix), F.when(over, F.lit(d + 1)).otherwise(length)
-    parts = max(64, -(-2 * total // budget))
-    return leaves.withColumns({"prefix": length, "part": F.pmod(prefix, F.lit(parts))})
+        heavy = F.col("part").isin(over)
+        leaves = write_table(leaves.where(~heavy).unionByName(leaves.where(heavy).mapInPandas(split(length), PACKED)), "suffixes")
+    return leaves
 
 
 def _subtree(least: int):
-    """Counts of a group's nodes. Those above its prefixes are parts of a count, whatever their size."""
+    """Counts of a part's nodes. Those above its prefixes are parts of a count, whatever their size."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, c = pdf[WORDS].to_numpy(), pdf["c"].to_numpy()
-        order = np.lexsort(w.T[::-1])
-        w, c, prefix = w[order], c[order], pdf["prefix"].to_numpy()[order]
+        w, c = _leaves(*_unpacked(pdf["leaves"], pdf["n"]))
+        prefix = int(pdf["part"].iloc[0]) // PARTS
         out = []
         differs = np.ones(len(w), bool)
         agree = np.ones(len(w) - 1, bool)
         for d in range(DEPTH):
             agree &= w[1:, d] == w[:-1, d]
             differs[1:] = ~agree
+            if not d:
+                continue
             first = np.flatnonzero(differs)
             total = np.add.reduceat(c, first)
-            keep = (w[first, d] != 0) & ((total >= least) | (prefix[first] > d + 1)) if d else np.zeros(len(first), bool)
+            keep = (w[first, d] != 0) & ((total >= least) | (prefix > d + 1))
             node = np.zeros((int(keep.sum()), DEPTH), np.int64)
-            node[:, : d + 1] = w[first[keep], : d + 1]
+            node[:, : d + 1] = w[first[keep], : d + 1].view(np.int64)
             out.append(pd.DataFrame(node, columns=WORDS).assign(f=total[keep]))
         return pd.concat(out)
 
