@@ -71,9 +71,15 @@ def flows_krw(flows: DataFrame, closes: DataFrame, lag: int) -> DataFrame:
 
 
 def dividend_ttm(dividends: DataFrame, positions: DataFrame, days: int) -> DataFrame:
-    """Sum of dividends from their ex day on for `days` days: spans become days, then an equi join."""
-    spans = dividends.select("instrument_id", "dps", F.explode(F.sequence("ex_day", F.date_add("ex_day", days))).alias("session"))
-    return positions.join(spans, ["instrument_id", "session"]).groupBy("instrument_id", "session").agg(F.sum("dps").alias("dps_ttm"), F.count("*").alias("paid"))
+    """Sum of dividends from their ex day on for `days` days.
+
+    Time is cut into periods of days + 1, so a span lies in its ex day's period and the next: a dividend has two rows at any number
+    of days, and a position meets the dividends of its own period only.
+    """
+    period = lambda day: F.floor(F.datediff(F.col(day), F.lit("1970-01-01").cast("date")) / (days + 1))
+    spans = dividends.select("instrument_id", "dps", "ex_day", F.explode(F.array(period("ex_day"), period("ex_day") + 1)).alias("period"))
+    met = positions.withColumn("period", period("session")).join(spans, ["instrument_id", "period"]).where(F.col("session").between(F.col("ex_day"), F.date_add("ex_day", days)))
+    return met.groupBy("instrument_id", "session").agg(F.sum("dps").alias("dps_ttm"), F.count("*").alias("paid"))
 
 
 def dividend_return(dividends: DataFrame, bars: DataFrame, withholding: float) -> DataFrame:
