@@ -56,6 +56,6 @@ def snapshot_completeness(pages: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def current_universe(universe: DataFrame) -> DataFrame:
-    """Eligible tickers of the latest session, known from the one partition that it has."""
+    """Eligible tickers of the latest session, known from the one partition that it has; a blank ticker is the empty text."""
     last = universe.agg(F.max("session").alias("session"))
-    return universe.join(F.broadcast(last), "session").where("eligible").select("ticker").distinct()
+    return universe.join(F.broadcast(last), "session").where("eligible").select(_plain("ticker").alias("ticker")).distinct()
