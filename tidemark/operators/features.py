@@ -2,8 +2,8 @@
 
 Windows here run over the calendar, not over observed rows: an absent session still takes a slot. The grid is partitioned
 by instrument once; every feature is a window over that partitioning, so they share one shuffle and one sort. Frames are
-ranges of positions: features of values that are NULL in an absent session need the observed rows only, and the grid is
-laid out only for those that are known there too (levels, labels, the market's return).
+ranges of positions, so features need the observed rows only: what is known in an absent session too (levels, the prices of
+labels) is the value of the row before, held for the slots up to the next one, and the market's return is a table of days.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.core import grid, lag_ratio, roll_count, roll_max, roll_mean, roll_min, roll_std, roll_sum, shifted
+from tidemark.functions.core import grid, lag_ratio, obs, roll_count, roll_max, roll_mean, roll_min, roll_std, roll_sum, shifted
 
 
 def densify(panel: DataFrame, calendar: DataFrame, instruments: DataFrame | None = None) -> DataFrame:
@@ -48,10 +48,34 @@ def momentum_features() -> dict[str, Column]:
     return {"ret_1d": F.col("rcc")} | {f"ret_{k}": lag_ratio(tr, k) for k in (5, 10, 21)} | {f"mom_{k}_21": mom(k, 21) for k in (63, 126, 252)}
 
 
+def with_held(cells: DataFrame) -> DataFrame:
+    """Observed cells with held, the number of slots from a row up to the next one of its instrument."""
+    return cells.withColumn("held", F.lead("pos").over(obs(order="pos")) - F.col("pos"))
+
+
 def level_features() -> dict[str, Column]:
-    px = F.col("adj")
-    return {"hi52": px / roll_max(px, 252, 126), "lo52": px / roll_min(px, 252, 126), "dist_hi20": px / roll_max(px, 20, 10)} | {
-        f"dev_ma{w}": px / roll_mean(px, w, w // 2) - 1 for w in (20, 60, 120)
+    """Features of adj, which is known in absent sessions too, over observed rows with held: a row's level holds up to the next
+    row, and 1 holds before the first. Slots at the head of a window that no row of it covers have the level before the window."""
+    px, rows = F.col("adj"), Window.partitionBy("instrument_id").orderBy("pos")
+
+    def before(n: int) -> Column:
+        return F.coalesce(F.last(px).over(rows.rangeBetween(Window.unboundedPreceding, -n)), F.lit(1.0))
+
+    def head(n: int) -> Column:
+        return F.min("pos").over(grid(n)) - F.greatest(F.col("pos") - (n - 1), F.lit(0))
+
+    def enough(n: int, least: int, value: Column) -> Column:
+        return F.when(F.least(F.col("pos") + 1, F.lit(n)) >= least, value)
+
+    def extreme(over, pick, n: int, least: int) -> Column:
+        return px / enough(n, least, pick(over(px).over(grid(n)), F.when(head(n) > 0, before(n))))
+
+    def mean(n: int, least: int) -> Column:
+        held = F.coalesce(F.sum(px * F.col("held")).over(rows.rangeBetween(-(n - 1), -1)), F.lit(0.0))
+        return enough(n, least, (head(n) * before(n) + held + px) / F.least(F.col("pos") + 1, F.lit(n)))
+
+    return {"hi52": extreme(F.max, F.greatest, 252, 126), "lo52": extreme(F.min, F.least, 252, 126), "dist_hi20": extreme(F.max, F.greatest, 20, 10)} | {
+        f"dev_ma{w}": px / mean(w, w // 2) - 1 for w in (20, 60, 120)
     }
 
 
@@ -91,33 +115,41 @@ def flow_features(flow: str) -> dict[str, Column]:
     return {f"fl_{flow}_{w}": F.when(roll_count(x, w) >= 0.6 * w, roll_sum(x, w) / mcap) for w in (5, 20, 60)}
 
 
-def with_market_return(cells: DataFrame) -> DataFrame:
-    """cells with the cap-weighted market return of each position: caps of the slot before, where cap and return are known."""
-    cap = F.lag(F.when(F.col("market_cap") > 0, F.col("market_cap").cast("double"))).over(Window.partitionBy("instrument_id").orderBy("pos"))
-    c = cells.withColumn("prev_cap", cap)
+def with_market_return(cells: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Observed cells with the cap-weighted market return rm of their position, its mean over the last 60 positions and its variance
+    there: caps of the slot before, where cap and return are known. The market is a row a day, so its windows run over the days alone."""
+    c = cells.withColumn("prev_cap", shifted(F.when(F.col("market_cap") > 0, F.col("market_cap").cast("double")), 1))
     both = F.col("prev_cap").isNotNull() & F.col("rcc").isNotNull()
     m = c.groupBy("pos").agg(F.coalesce(F.sum(F.when(both, F.col("prev_cap") * F.col("rcc"))), F.lit(0.0)).alias("num"), F.greatest(F.coalesce(F.sum(F.when(both, F.col("prev_cap"))), F.lit(0.0)), F.lit(1.0)).alias("den"))
-    return c.drop("prev_cap").join(m.select("pos", (F.col("num") / F.col("den")).alias("rm")), "pos")
+    days = calendar.select("pos").join(m, "pos", "left").select("pos", F.coalesce(F.col("num") / F.col("den"), F.lit(0.0)).alias("rm"))
+    last = Window.orderBy("pos").rangeBetween(-59, 0)
+    mean, square = (F.when(F.count("rm").over(last) >= 30, F.avg(x).over(last)) for x in (F.col("rm"), F.col("rm") * F.col("rm")))
+    days = days.withColumns({"rm_mean": mean, "rm_var": square - mean * mean})
+    return cells.join(F.broadcast(days), "pos")
 
 
 def market_features() -> dict[str, Column]:
-    r, m = F.col("rcc"), F.col("rm")
-    var = roll_mean(m * m, 60, 30) - roll_mean(m, 60, 30) * roll_mean(m, 60, 30)
-    beta = F.when(var > 1e-12, (roll_mean(r * m, 60, 30) - roll_mean(r, 60, 30) * roll_mean(m, 60, 30)) / var)
+    r, m, var = F.col("rcc"), F.col("rm"), F.col("rm_var")
+    beta = F.when(var > 1e-12, (roll_mean(r * m, 60, 30) - roll_mean(r, 60, 30) * F.col("rm_mean")) / var)
     vol = roll_std(r, 60, 30)
     return {"beta60": beta, "ivol60": F.sqrt(F.greatest(vol * vol - beta * beta * var, F.lit(0.0)))}
 
 
 def labels(horizons: tuple[int, ...] = (5, 10, 21)) -> dict[str, Column]:
-    """Open-to-open forward returns: uo[t + 1 + h] / uo[t + 1] - 1 over column uo."""
-    uo = F.col("uo")
-    return {f"y{h}": F.when(shifted(uo, -1) > 0, shifted(uo, -1 - h) / shifted(uo, -1) - 1) for h in horizons}
+    """Open-to-open forward returns over observed rows of unit_open: uo[t + 1 + h] / uo[t + 1] - 1, where a slot without a row has
+    the tr of the row before it, up to the calendar's last position."""
+
+    def uo(k: int) -> Column:
+        row = F.last(F.struct("pos", "tr", "uo")).over(Window.partitionBy("instrument_id").orderBy("pos").rangeBetween(Window.unboundedPreceding, k))
+        return F.when(F.col("pos") + k <= F.col("last"), F.when(row["pos"] == F.col("pos") + k, row["uo"]).otherwise(row["tr"]))
 
+    return {f"y{h}": F.when(uo(1) > 0, uo(1 + h) / uo(1) - 1) for h in horizons}
 
-def unit_open(cells: DataFrame) -> DataFrame:
-    """cells with uo: the last known growth before a slot times its overnight return."""
-    filled = F.last("tr", ignorenulls=True).over(Window.partitionBy("instrument_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    return cells.withColumn("uo", filled * (1 + F.coalesce("ron", F.lit(0.0))))
+
+def unit_open(cells: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Observed cells with uo, the known growth before a slot times its overnight return, and the calendar's last position."""
+    last = calendar.agg(F.max("pos").alias("last"))
+    return cells.withColumn("uo", F.lag("tr").over(obs(order="pos")) * (1 + F.coalesce("ron", F.lit(0.0)))).join(F.broadcast(last))
 
 
 def select_features(cells: DataFrame, features: dict[str, Column]) -> DataFrame:
@@ -135,7 +167,8 @@ def rank_normalize(rows: DataFrame, column: str, least: int) -> DataFrame:
 
 def winsor_z(rows: DataFrame, column: str, low: float, high: float, least: int) -> DataFrame:
     """Value clipped at linear percentiles of its position, less the mean, over the population deviation."""
-    w = Window.partitionBy("pos")
+    # In a fixed order, so that the last digit of a sum does not depend on how rows arrived.
+    w = Window.partitionBy("pos").orderBy("instrument_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cut = rows.groupBy("pos").agg(F.expr(f"percentile({column}, {low})").alias("a"), F.expr(f"percentile({column}, {high})").alias("b"), F.count(column).alias("known"))
     c = rows.join(cut, "pos").withColumn("clipped", F.greatest(F.least(column, "b"), F.when(F.col(column).isNotNull(), F.col("a"))))
     sd = F.stddev_pop("clipped").over(w)

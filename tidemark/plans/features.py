@@ -15,7 +15,7 @@ def cells(spark, sf_dir):
 
 
 def observed_cells(spark, sf_dir):
-    """The present cells alone, for features whose inputs are NULL elsewhere."""
+    """The present cells alone, which all features are made of."""
     return X.returns(T.observed(spark, sf_dir, flows=True).withColumn("present", F.lit(True)))
 
 
@@ -25,10 +25,10 @@ def _shown(c: str):
     return F.when(F.col(c).isNotNull(), F.floor(x * 1e4 + 0.5000001) / 1e4).alias(c)
 
 
-def _query(features, prepare=lambda c: c, source=observed_cells):
+def _query(features, prepare=lambda c, calendar: c):
     def run(spark, sf_dir):
         named = features()
-        return X.select_features(prepare(source(spark, sf_dir)), named).select("instrument_id", "pos", *map(_shown, named))
+        return X.select_features(prepare(observed_cells(spark, sf_dir), T.sessions(spark, sf_dir)), named).select("instrument_id", "pos", *map(_shown, named))
 
     return run
 
@@ -56,13 +56,13 @@ def weekly_sessions(spark, sf_dir):
 QUERIES = {
     "grid_coverage": grid_coverage,
     "features_momentum": _query(X.momentum_features),
-    "features_levels": _query(X.level_features, source=cells),
+    "features_levels": _query(X.level_features, lambda c, calendar: X.with_held(c)),
     "features_volatility": _query(X.volatility_features),
     "features_sessions": _query(X.session_features),
     "features_liquidity": _query(X.liquidity_features),
     "features_flows": _query(lambda: X.flow_features("net") | X.flow_features("returned") | X.flow_features("taken")),
-    "features_market": _query(X.market_features, X.with_market_return, cells),
-    "forward_labels": _query(X.labels, X.unit_open, cells),
+    "features_market": _query(X.market_features, X.with_market_return),
+    "forward_labels": _query(X.labels, X.unit_open),
     "rank_features": rank_features,
     "winsor_features": winsor_features,
     "weekly_sessions": weekly_sessions,

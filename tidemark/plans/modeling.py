@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features as X
 from tidemark.operators import modeling as M
-from tidemark.plans.features import CELLS, cells, observed_cells
+from tidemark.plans.features import CELLS, observed_cells
 from tidemark.sources import tables as T
 
 FEATURES = ["ret_5", "ret_21", "mom_63_21", "vol20", "range20", "dvol60", "on20", "id20"]
@@ -14,9 +14,7 @@ FEATURES = ["ret_5", "ret_21", "mom_63_21", "vol20", "range20", "dvol60", "on20"
 
 def _rows(spark, sf_dir):
     named = {n: c for n, c in (X.momentum_features() | X.volatility_features() | X.session_features()).items() if n in FEATURES}
-    features = X.select_features(observed_cells(spark, sf_dir), named)
-    labels = X.select_features(X.unit_open(cells(spark, sf_dir)), X.labels((5, 21)))
-    return features.join(labels, ["instrument_id", "pos"], "left")
+    return X.select_features(X.unit_open(observed_cells(spark, sf_dir), T.sessions(spark, sf_dir)), named | X.labels((5, 21)))
 
 
 def walk_forward(spark, sf_dir):
