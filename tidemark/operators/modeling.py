@@ -40,14 +40,10 @@ def sealed(rows: DataFrame, last: int) -> DataFrame:
 
 def ranked_design(rows: DataFrame, features: list[str], least: int) -> DataFrame:
     """rows (instrument_id, pos, ...) with each feature as its rank of (0, 1) at the position, ties by instrument; UNKNOWN where it is NULL or
-    fewer than `least` are known. All features are ranked by one window over (position, feature)."""
-    long = rows.select("instrument_id", "pos", F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features))).alias("x"))
-    long = long.select("instrument_id", "pos", "x.*").where("value is not null and not isnan(value)")
-    w = Window.partitionBy("pos", "feature")
-    rank = (F.row_number().over(w.orderBy("value", "instrument_id")) - 0.5) / F.count("*").over(w)
-    ranks = long.withColumn("rank", rank).withColumn("n", F.count("*").over(w)).where(F.col("n") >= least)
-    wide = ranks.groupBy("instrument_id", "pos").pivot("feature", features).agg(F.first("rank"))
-    return rows.drop(*features).join(wide, ["instrument_id", "pos"], "left").na.fill(UNKNOWN, features)
+    fewer than `least` are known. The windows of all features share the rows of a position: one shuffle, and neither copies nor a join."""
+    day, value = Window.partitionBy("pos"), {f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features}
+    rank = {f: (F.row_number().over(day.orderBy(v.asc_nulls_last(), "instrument_id")) - 0.5) / F.count(v).over(day) for f, v in value.items()}
+    return rows.withColumns({f: F.when(v.isNotNull() & (F.count(v).over(day) >= least), rank[f]).otherwise(UNKNOWN) for f, v in value.items()})
 
 
 def purged_fold(rows: DataFrame, target: str, horizon: int, purge: int, first: int, least: int) -> DataFrame:
