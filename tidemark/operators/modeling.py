@@ -81,15 +81,18 @@ def walk_forward_scores(
         if year not in spans or spans[year][1] > last:
             raise ValueError(f"year {year} is not wholly within the sealed rows")
     own = sealed(rows, last)
-    design = written(VectorAssembler(inputCols=features, outputCol="x").transform(ranked_design(own.select("instrument_id", "pos", *features), features, least_known)).select("instrument_id", "pos", "x"), "design")
+    named = list(dict.fromkeys(labels.values()))
+    design = written(VectorAssembler(inputCols=features, outputCol="x").transform(ranked_design(own.select("instrument_id", "pos", *features, *named), features, least_known)).select("instrument_id", "pos", "x", *named), "design")
     weekly = weekly_positions(days).select("pos")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scores = []
     for horizon, label in labels.items():
-        z = winsor_z(own.select("instrument_id", "pos", F.col(label).alias("label")).join(weekly, "pos"), "label", *winsor, least_known)
-        labelled = written(design.join(z.select("instrument_id", "pos", F.col("z").alias("target")).where("target is not null"), ["instrument_id", "pos"]), "labelled")
+        z = winsor_z(design.select("instrument_id", "pos", "x", F.col(label).alias("label")).join(F.broadcast(weekly), "pos"), "label", *winsor, least_known)
+        labelled = written(z.select("instrument_id", "pos", "x", F.col("z").alias("target")).where("target is not null"), "labelled")
         for year in years:
             first, end = spans[year]
-            fold = purged_fold(labelled, "target", horizon, purge, first, least_rows)
+            # Rows in a fixed order: sums of the trees' statistics do not depend on the sizes of files.
+            fold = purged_fold(labelled, "target", horizon, purge, first, least_rows).repartition(parts, "pos").sortWithinPartitions("pos", "instrument_id")
             asked = design.where(F.col("pos").between(first, end))
             for seed in seeds:
                 model = GBTRegressor(featuresCol="x", labelCol="target", predictionCol="score", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed * 1_000_003 + horizon * 10_007 + year).fit(fold)

@@ -93,7 +93,8 @@ def ensemble_average(scores: DataFrame, least: int = 1) -> DataFrame:
 
     Unknown scores are left out of means; a member without spread, or with fewer than `least` known scores at the position, gives none.
     """
-    w = Window.partitionBy("pos", "horizon", "seed")
+    # In a fixed order, so that the last digit of a sum does not depend on how rows arrived.
+    w = Window.partitionBy("pos", "horizon", "seed").orderBy("instrument_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     spread = F.when((F.stddev_pop("score").over(w) > 1e-12) & (F.count("score").over(w) >= least), F.stddev_pop("score").over(w))
     z = F.try_divide(F.col("score") - F.avg("score").over(w), spread)
     by_seed = scores.withColumn("z", z).groupBy("pos", "instrument_id", "seed").agg(F.avg("z").alias("z"))
