@@ -25,10 +25,10 @@ def point_metrics(streams: DataFrame, key: str) -> DataFrame:
 
 
 def longest_underwater(streams: DataFrame, key: str) -> DataFrame:
-    """Longest run of positions below the running peak, which starts at 1."""
+    """Longest run of positions below the running peak, which starts at 1; a level that only rounding puts below it is at the peak."""
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     s = streams.withColumn("level", F.sum("log_return").over(w))
-    s = s.withColumn("under", F.col("level") < F.greatest(F.max("level").over(w), F.lit(0.0)))
+    s = s.withColumn("under", F.col("level") < F.greatest(F.max("level").over(w), F.lit(0.0)) - 1e-12)
     s = s.withColumn("island", F.sum((~F.col("under")).cast("int")).over(w))
     runs = s.groupBy(key, "island").agg(F.sum(F.col("under").cast("long")).alias("run"))
     return runs.groupBy(key).agg(F.max("run").alias("longest"))
