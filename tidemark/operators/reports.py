@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +42,7 @@ def report_card(profiles: DataFrame, integrity: DataFrame, mismatches: DataFrame
 
 def quantile_at(values: Column, share: Column) -> Column:
     """Linear quantile of an array at a share that may differ from row to row; NULL of none."""
-    ordered = F.array_sort(values)
+    ordered = F.sort_array(values)
     place = share * (F.size(values) - 1)
     low = F.floor(place).cast("int")
     a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(values) - 1))
@@ -52,6 +56,11 @@ def challenge_deltas(outcomes: DataFrame, key: str, family: DataFrame, alpha: fl
     of one false promotion in the whole family at alpha. A key's draws are as many as the bootstrap has, so they fit an array.
     """
     own = outcomes.groupBy(key).agg(F.collect_list("growth").alias("g"), F.collect_list("tail").alias("t"), F.avg("growth").alias("growth_mean"), F.avg("tail").alias("tail_mean"))
+    return challenge_bounds(own, key, family, alpha)
+
+
+def challenge_bounds(own: DataFrame, key: str, family: DataFrame, alpha: float) -> DataFrame:
+    """challenge_deltas of the draws as arrays (key, g, t, growth_mean, tail_mean), a row a key."""
     level = F.lit(alpha) / (1 + F.col("prior"))
     j = own.join(family.select(key, "prior"), key)
     return j.select(key, level.alias("alpha"), "growth_mean", quantile_at(F.col("g"), level).alias("growth_lower"), "tail_mean", quantile_at(F.col("t"), level).alias("tail_lower"))
@@ -103,32 +112,61 @@ def challenge_decision(challengers: DataFrame, neighbours: DataFrame, changes: D
     return out.select(*challengers.columns, "path", against.alias("reasons"))
 
 
-def numeric_leaves(specs: DataFrame, key: str, text: str, depth: int = 6) -> DataFrame:
-    """(key, path, value): numbers of a JSON spec by dotted path, at most `depth` objects deep; a deeper number is an error.
+def _distinct(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    if len(own := dict(pairs)) < len(pairs):
+        raise ValueError("a name comes twice")
+    return own
+
+
+def _no_number(text: str) -> float:
+    raise ValueError(f"{text} is no JSON")
+
+
+_SPECS = json.JSONDecoder(object_pairs_hook=_distinct, parse_int=float, parse_constant=_no_number)
+
+
+def numeric_leaves(text: str | None, depth: int = 6) -> dict[str, list[float]]:
+    """Numbers of a JSON spec by dotted path, at most `depth` objects deep; a deeper number is an error.
 
-    Texts, truth values, lists and nulls have no neighbourhood and are no leaves.
+    Texts, truth values, lists and nulls have no neighbourhood and are no leaves; a text that is no JSON has none. Names with a dot
+    may give one path twice.
     """
-    level = specs.select(key, F.lit("").alias("path"), F.try_parse_json(F.col(text)).alias("v"))
-    found = None
+    try:
+        level = [("", _SPECS.decode(text))] if text is not None else []
+    except ValueError:
+        return {}
+    found: dict[str, list[float]] = {}
     for step in range(depth + 1):
-        kind = F.schema_of_variant("v")
-        number = kind.rlike(r"^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$")
-        at = level.where(number).select(key, "path", F.try_variant_get("v", "$", "double").alias("value"))
-        found = at if found is None else found.unionByName(at)
-        objects = level.where(kind.startswith("OBJECT<") & (kind != "OBJECT<>"))
-        if step == depth:
-            deep = objects.where(F.lit(depth) >= 0).select(F.raise_error(F.lit("a spec is nested too deeply")).cast("double").alias("value"))
-            return found.unionByName(deep.select(F.lit(None).cast(dict(specs.dtypes)[key]).alias(key), F.lit("").alias("path"), "value"))
-        entries = F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))
-        level = objects.select(key, "path", F.explode(entries).alias("e")).select(key, F.concat_ws(".", F.nullif("path", F.lit("")), F.col("e.key")).alias("path"), F.col("e.value").alias("v"))
+        inner = []
+        for path, v in level:
+            if isinstance(v, float):
+                found.setdefault(path, []).append(v)
+            elif isinstance(v, dict):
+                if v and step == depth:
+                    raise ValueError("a spec is nested too deeply")
+                inner += ((f"{path}.{k}" if path else k, x) for k, x in v.items())
+        level = inner
     return found
 
 
 def knob_changes(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
-    """(key, path, was, now): numeric leaves of two JSON specs that differ, or that only one of them has."""
-    a = numeric_leaves(pairs, key, right).withColumnRenamed("value", "was")
-    b = numeric_leaves(pairs, key, left).withColumnRenamed("value", "now")
-    return a.join(b, [key, "path"], "full").where(~F.col("was").eqNullSafe(F.col("now")))
+    """(key, path, was, now): numeric leaves of two JSON specs that differ, or that only one of them has. A pair is one row, so nothing is joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, paths, was, now = [], [], [], []
+            for i, (a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                old, new = numeric_leaves(a), numeric_leaves(b)
+                for path in old | new:
+                    for w in old.get(path, (None,)):
+                        for n in new.get(path, (None,)):
+                            if w != n:
+                                at.append(i), paths.append(path), was.append(w), now.append(n)
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(paths, pa.string()), pa.array(was, pa.float64()), pa.array(now, pa.float64())]
+            yield pa.record_batch(columns, names=[key, "path", "was", "now"])
+
+    kind = pairs.schema[key].dataType.simpleString()
+    return pairs.select(key, right, left).mapInArrow(run, f"`{key}` {kind}, path string, was double, now double")
 
 
 def slippage_table(fills: DataFrame, auction: DataFrame, market: DataFrame, offsets: list[int], tick: Column, printed: str = "open", expected: str = "expected") -> DataFrame:
