@@ -178,11 +178,11 @@ def slippage_table(fills: DataFrame, auction: DataFrame, market: DataFrame, offs
     """
     price = F.when(F.col("kind") == "open", F.get_json_object("payload", f"$.{printed}")).otherwise(F.get_json_object("payload", f"$.{expected}")).try_cast("bigint")
     quotes = auction.withColumn("p", price).where("p > 0")
-    opens = quotes.where("kind = 'open'").groupBy("session", "instrument_id").agg(F.max("p").alias("captured_open"))
-    before = quotes.where(F.col("kind") == "expected").groupBy("session", "instrument_id").pivot("offset", offsets).agg(F.max("p"))
+    said = [F.max(F.when((F.col("kind") == "expected") & (F.col("offset") == o), F.col("p"))).alias(str(o)) for o in offsets]
+    heard = quotes.groupBy("session", "instrument_id").agg(F.max(F.when(F.col("kind") == "open", F.col("p"))).alias("captured_open"), *said)
     official = market.where("open > 0").withColumn("tick", tick).select("session", "instrument_id", F.col("open").alias("official_open"), "adtv20", "tick")
     keys = ["session", "instrument_id"]
-    j = fills.join(official, keys, "left").join(opens, keys, "left").join(before, keys, "left")
+    j = fills.join(official, keys, "left").join(heard, keys, "left")
     against = F.when(F.col("side") == "buy", 1).otherwise(-1)
     anchor = F.coalesce("captured_open", "official_open")
     drifts = [(against * (F.col(f"`{o}`") - anchor) / F.col("tick")).alias(f"expected_minus_open_ticks_m{abs(o)}") for o in offsets]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation as E
@@ -14,7 +12,7 @@ from tidemark.operators import reports as R
 from tidemark.plans.evaluation import SQL as EVALUATION_SQL
 from tidemark.plans.evaluation import S, bootstrap_given_starts, streams, with_market
 from tidemark.plans.panel import PANEL, REGIMES, _tick, panel
-from tidemark.plans.pit import NAMES, STEPS, _calendar, _cells, _facts, _known
+from tidemark.plans.pit import NAMES, STEPS, _calendar, _end, _facts, _known
 from tidemark.sources import tables as T
 from tidemark.sources.scratch import written
 
@@ -52,13 +50,14 @@ def release_pairs(spark, sf_dir):
 def earnings_surprises(spark, sf_dir):
     """At each session, by the newer of filing and release."""
     facts = written(_facts(spark, sf_dir), "facts")
-    cells = _cells(spark, sf_dir, facts)
     values = [c for m in METRICS for c in (m, f"{m}_ly")]
     known = K.quarter_complete(facts).select("company_id", "quarter", F.col("pos").alias("known_pos"))
     filed = pit.fact_steps(facts, NAMES).join(known, ["company_id", "quarter"]).select("company_id", "pos", "quarter", "known_pos", *values)
     released = pit.release_pair_steps(_quarters(spark, sf_dir, facts), METRICS)
-    shown = [pit.asof_steps(x, cells, "company_id").where("quarter is not null") for x in (filed, released)]
-    best = pit.best_earnings(*shown).join(F.broadcast(_calendar(spark, sf_dir)), "pos").withColumn("age", F.year("session") * 4 + F.quarter("session") - 1 - F.col("quarter"))
+    changes = pit.changes_of([filed, released], "company_id")
+    shown = [pit.asof_steps(x, changes, "company_id").where("quarter is not null") for x in (filed, released)]
+    # What is shown changes with a step only, so the choice is made there and held for the sessions up to the next one.
+    best = pit.held_steps(pit.best_earnings(*shown), _end(spark, sf_dir), "company_id").join(F.broadcast(_calendar(spark, sf_dir)), "pos").withColumn("age", F.year("session") * 4 + F.quarter("session") - 1 - F.col("quarter"))
     out = pit.earnings_surprise(best.withColumn("mcap", (F.col("company_id") + 1) * 1_000_000.0))
     six = [F.when(F.col(c).isNotNull(), F.floor(F.col(c) * 1e4 + 0.5000001) / 1e4).alias(c) for c in ("sue_op_e", "sue_ni_e", "sue_sales_e")]
     return out.select("company_id", "pos", "quarter", "origin", *six)
@@ -105,7 +104,7 @@ def knob_changes(spark, sf_dir):
 
 def slippage(spark, sf_dir):
     """Lines are fills, bars the market; auction quotes are JSON of the open and of prices expected 20, 5 and 1 minutes before it, some of them absent or broken."""
-    p = panel(spark, sf_dir).select("session", "instrument_id", "open", "market", "adtv20")
+    p = written(panel(spark, sf_dir).select("session", "instrument_id", "open", "market", "adtv20"), "panel")
     fills = T.table(spark, sf_dir, "lineitem").select(
         F.to_date("l_shipdate").alias("session"), F.col("l_suppkey").alias("instrument_id"), "l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 2 == 0, "sell").otherwise("buy").alias("side"),
         F.col("l_quantity").cast("long").alias("quantity"), F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("long").alias("price"),
@@ -114,13 +113,14 @@ def slippage(spark, sf_dir):
 
     def quote(kind, offset, name, value, payload=None):
         text = F.to_json(F.struct(value.alias(name))) if payload is None else payload
-        return p.select("session", "instrument_id", F.lit(kind).alias("kind"), F.lit(offset).alias("offset"), text.alias("payload"))
+        return F.struct(F.lit(kind).alias("kind"), F.lit(offset).alias("offset"), text.alias("payload"))
 
     printed = F.when(i % 5 == 0, F.lit("no json")).when(i % 7 == 0, F.to_json(F.struct((opened + 60).cast("string").alias("open")))).otherwise(F.to_json(F.struct(opened.alias("open"))))
     quotes = [quote("open", 0, "", opened, printed), *(quote("expected", o, "expected", F.when((i + o) % 4 != 0, opened + o)) for o in (-20, -5, -1))]
+    auction = p.select("session", "instrument_id", F.explode(F.array(*quotes)).alias("quote")).select("session", "instrument_id", "quote.*")
     market = p.withColumn("open", F.when(i % 13 != 0, opened))
     tick = P.tick_for(F.col("open"), F.col("session"), REGIMES)
-    got = R.slippage_table(fills, reduce(lambda a, b: a.unionByName(b), quotes), market, [-20, -5, -1], tick)
+    got = R.slippage_table(fills, auction, market, [-20, -5, -1], tick)
     cut = [F.floor(F.col(c) * 1e6 + 0.5) / 1e6 for c in ("model_minus_open_ticks", "notional_over_adtv20", *(f"expected_minus_open_ticks_m{o}" for o in (20, 5, 1)))]
     names = ("model_minus_open_ticks", "notional_over_adtv20", "m20", "m5", "m1")
     return got.select("l_orderkey", "l_linenumber", "official_open", "captured_open", "tick", "open_mismatch", *(c.alias(n) for c, n in zip(cut, names, strict=True)))
