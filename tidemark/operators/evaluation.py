@@ -43,10 +43,16 @@ def bootstrap_starts(lengths: DataFrame, key: str, draws: int, horizon: int, blo
 
 
 def block_bootstrap(streams: DataFrame, starts: DataFrame, key: str, horizon: int, block: int) -> DataFrame:
-    """(key, draw, i, log_return): resampled paths; the last block is cut at the horizon."""
-    steps = starts.select(key, "draw", "k", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o"))
-    steps = steps.select(key, "draw", (F.col("k") * block + F.col("o")).alias("i"), (F.col("start") + F.col("o")).alias("pos")).where(F.col("i") < horizon)
-    return steps.join(streams.select(key, "pos", "log_return"), [key, "pos"]).drop("pos")
+    """(key, draw, i, log_return): resampled paths; the last block is cut at the horizon.
+
+    Positions count from 0 without gaps, so a block is a slice of its stream's array: streams meet their starts by key alone, and no row of a
+    path is shuffled.
+    """
+    own = streams.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "log_return"))).alias("own"))
+    cut = F.least(F.lit(block), horizon - F.col("k") * block).cast("int")
+    blocks = starts.where(F.col("k") * block < horizon).join(own, key)
+    steps = blocks.select(key, "draw", "k", F.posexplode(F.slice(F.col("own")["log_return"], F.col("start").cast("int") + 1, cut)).alias("o", "log_return"))
+    return steps.select(key, "draw", (F.col("k") * block + F.col("o")).alias("i"), "log_return")
 
 
 def growth_profile(paths: DataFrame, key: str, low: float, limit: float) -> DataFrame:
